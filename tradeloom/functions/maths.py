@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ HART_LIMIT = 7.07106781186547
 ROOT_TWO_PI = 2.506628274631
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def safe_div(num: Column, den: Column) -> Column:
     """num / den, NULL where den is 0 or NULL."""
     return num / F.nullif(den, F.lit(0.0))
@@ -54,23 +61,27 @@ def poly(x: Column, coef: tuple[float, ...]) -> Column:
 
 def probit(p: Column) -> Column:
     """Normal quantile of a probability, clipped away from 0 and 1."""
-    p = clip(p, PROBIT_CLIP, 1.0 - PROBIT_CLIP)
-    lower = p < 0.5
-    t = F.sqrt(-2.0 * F.ln(F.when(lower, p).otherwise(1.0 - p)))
-    z = t - poly(t, PROBIT_NUM) / poly(t, PROBIT_DEN)
-    return F.when(lower, -z).otherwise(z)
+
+    def score(p):
+        t = F.sqrt(-2.0 * F.ln(F.least(p, 1.0 - p)))
+        z = let(t, lambda t: t - poly(t, PROBIT_NUM) / poly(t, PROBIT_DEN))
+        return F.when(p < 0.5, -z).otherwise(z)
+
+    return let(clip(p, PROBIT_CLIP, 1.0 - PROBIT_CLIP), score)
 
 
 def normal_cdf(z: Column) -> Column:
     """Normal distribution function."""
-    x = F.abs(z)
-    density = F.exp(-x * x / 2.0)
-    near = density * poly(x, HART_NUM) / poly(x, HART_DEN)
-    tail = x + 0.65
-    for k in (4.0, 3.0, 2.0, 1.0):
-        tail = x + F.lit(k) / tail
-    upper = F.when(x < HART_LIMIT, near).otherwise(density / tail / ROOT_TWO_PI)
-    return F.when(z > 0, 1.0 - upper).otherwise(upper)
+
+    def upper(x):
+        density = F.exp(-x * x / 2.0)
+        near = density * poly(x, HART_NUM) / poly(x, HART_DEN)
+        tail = x + 0.65
+        for k in (4.0, 3.0, 2.0, 1.0):
+            tail = x + F.lit(k) / tail
+        return F.when(x < HART_LIMIT, near).otherwise(density / tail / ROOT_TWO_PI)
+
+    return let(z, lambda z: let(let(F.abs(z), upper), lambda u: F.when(z > 0, 1.0 - u).otherwise(u)))
 
 
 def tick_round(price: Column, tick: float) -> Column:
@@ -101,5 +112,5 @@ def hash_uniform(*parts: Column | int | str) -> Column:
 
 
 def tidy(x: Column, digits: int = 6) -> Column:
-    """Rounded, with negative zero turned into zero."""
-    return F.round(x, digits) + F.lit(0.0)
+    """Rounded for comparison: nudged off exact halves, with negative zero turned into zero."""
+    return F.round(x + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.maths import normal_cdf, probit, safe_div
-from tradeloom.operators.ordered import ROWS_PER_BLOCK, rolling, running, union_all
+from tradeloom.operators.ordered import ROWS_PER_BLOCK, rolling, running
 
 # Single-bar range volatility scales for price points and for log ranges.
 RANGE_SCALE = math.sqrt(1.0 / (4.0 * math.log(2.0)))
@@ -119,41 +119,53 @@ def session_vwap(bars: DataFrame) -> DataFrame:
     return out.withColumn("vwap", vwap).drop("_pv", "_v")
 
 
-def ema(df: DataFrame, x: str, span: int, name: str, keys: list[str] | None = None, pos: str = "bar_idx") -> DataFrame:
-    """Exponential mean with alpha = 2 / (span + 1), seeded by the first value.
+def emas(
+    df: DataFrame, x: str, spans: dict[str, int], keys: list[str] | None = None, pos: str = "bar_idx"
+) -> DataFrame:
+    """Exponential means {column: span} with alpha = 2 / (span + 1), each seeded by the first value.
 
     The recursion y = q*y + u is linear, so a block of rows acts on its carry-in as q^size*y + b.
     Block sums b come from a grouped sum; a carry is the decayed sum of the blocks before it, as far
     back as a weight still matters in double precision; rows then need only their own block.
+    All spans share one pass: rows are repeated per span and folded back at the end.
     """
     keys = keys or KEYS
-    alpha = 2.0 / (span + 1.0)
-    q = 1.0 - alpha
-    if span == 1:
-        return df.withColumn(name, F.col(x))
-    decay = -math.log(q)
-    size = max(2, min(256, int(25.0 / decay)))
-    depth = max(1, math.ceil(42.0 / (decay * size)))
-    lit_q = F.lit(q)
-    u = F.when(F.col(pos) == 0, F.col(x)).otherwise(F.col(x) * alpha)
-    rows = df.withColumns({"_ema_blk": F.floor(F.col(pos) / size), "_at": F.col(pos) % size, "_u": u})
-    sums = rows.groupBy(*keys, "_ema_blk").agg(F.sum(F.col("_u") * F.pow(lit_q, size - 1 - F.col("_at"))).alias("_b"))
+    entries, deepest = [], 1
+    for i, (name, span) in enumerate(spans.items()):
+        q = 1.0 - 2.0 / (span + 1.0)
+        decay = -math.log(q) if q > 0 else math.inf
+        size = max(2, min(256, int(25.0 / decay)))
+        deepest = max(deepest, math.ceil(42.0 / (decay * size)))
+        row = F.when(F.lit(i == 0), F.struct(*[c for c in df.columns if c not in keys and c != pos]))
+        fields = {"_span": F.lit(name), "_q": F.lit(q), "_size": F.lit(size), "_row": row}
+        entries.append(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    q, at = F.col("_q"), F.col(pos) % F.col("_size")
+    rows = df.select(*keys, pos, F.col(x).alias("_seed"), F.explode(F.array(*entries)).alias("_e"))
+    u = F.when(F.col(pos) == 0, F.col("_seed")).otherwise(F.col("_seed") * (1.0 - q))
+    rows = rows.select(*keys, pos, "_seed", "_e.*").withColumns({"_u": u, "_at": at, "_blk": F.floor(F.col(pos) / F.col("_size"))})
+    by = [*keys, "_span", "_blk"]
+    weight = F.when(at == F.col("_size") - 1, F.lit(1.0)).otherwise(F.pow(q, F.col("_size") - 1 - F.col("_at")))
+    sums = rows.groupBy(*by, (F.pow(q, F.col("_size"))).alias("_fade")).agg(F.sum(F.col("_u") * weight).alias("_b"))
 
     def carry(frame, w):
-        earlier = F.collect_list("_b").over(w.rowsBetween(-depth, -1))
-        return frame.withColumn("_carry", F.aggregate(earlier, F.lit(0.0), lambda acc, b: acc * (q**size) + b))
+        earlier = F.collect_list("_b").over(w.rowsBetween(-deepest, -1))
+        fold = F.aggregate(earlier, F.lit(0.0), lambda acc, b: acc * F.col("_fade") + b)
+        return frame.withColumn("_carry", fold)
 
-    carries = rolling(sums, keys, "_ema_blk", carry, back=depth).drop("_b")
-    out = rows.join(carries, [*keys, "_ema_blk"])
-    w = Window.partitionBy(*keys, "_ema_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    local = F.sum(F.col("_u") * F.pow(lit_q, -F.col("_at"))).over(w)
-    y = F.pow(lit_q, F.col("_at")) * (lit_q * F.col("_carry") + local)
-    return out.withColumn(name, y).drop("_ema_blk", "_at", "_u", "_carry")
+    carries = rolling(sums, [*keys, "_span"], "_blk", carry, back=deepest).select(*by, "_carry")
+    w = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    local = F.sum(F.col("_u") / F.nullif(F.pow(q, F.col("_at")), F.lit(0.0))).over(w)
+    y = F.when(q == 0, F.col("_seed")).otherwise(F.pow(q, F.col("_at")) * (q * F.col("_carry") + local))
+    out = rows.join(carries, by).withColumn("_y", y)
+    picks = [F.max(F.when(F.col("_span") == n, F.col("_y"))).alias(n) for n in spans]
+    folded = out.groupBy(*keys, pos).agg(F.first("_row", ignorenulls=True).alias("_row"), *picks)
+    rest = [F.col(f"_row.{c}").alias(c) if c not in keys and c != pos else F.col(c) for c in df.columns]
+    return folded.select(*rest, *spans)
 
 
 def add_ema_pair(bars: DataFrame, fast: int, slow: int) -> DataFrame:
     """Fast and slow mean, their spread and crossings; before the first bar fast is not above slow."""
-    out = ema(ema(bars, "close", fast, "ema_fast"), "close", slow, "ema_slow")
+    out = emas(bars, "close", {"ema_fast": fast, "ema_slow": slow})
     above = F.col("ema_fast") > F.col("ema_slow")
 
     def build(frame, w):
@@ -258,5 +270,7 @@ def zscores_by_window(bars: DataFrame, windows: Iterable[int], x: str = "close")
 
 def emas_by_span(bars: DataFrame, spans: Iterable[int], x: str = "close") -> DataFrame:
     """One row per (bar, distinct span) with its exponential mean."""
-    base = bars.select(*KEYS, "bar_idx", x)
-    return union_all([ema(base, x, s, "ema").withColumn("span", F.lit(s)).drop(x) for s in sorted(set(spans))])
+    names = {f"_e{s}": s for s in sorted(set(spans))}
+    wide = emas(bars.select(*KEYS, "bar_idx", x), x, names)
+    entries = [F.struct(F.lit(s).alias("span"), F.col(n).alias("ema")) for n, s in names.items()]
+    return wide.select(*KEYS, "bar_idx", F.inline(F.array(*entries)))

@@ -31,8 +31,11 @@ def running(
     mins: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
     reverse: bool = False,
+    exclusive: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums, maxima and minima per key, plus whole-key totals.
+    """Running sums, maxima and minima per key, plus whole-key totals.
+
+    Each row sees the rows up to itself, or only those before it if ``exclusive``.
 
     ``block`` must rise with ``order``. Rows are windowed per (key, block); one summary row per block
     is scanned per key and added back. Both sides are partitioned alike, so rows move once.
@@ -40,7 +43,8 @@ def running(
     sums, maxes, mins, totals = sums or {}, maxes or {}, mins or {}, totals or {}
     by = [*keys, "_block"]
     rows = df.withColumn("_block", F.struct(*block))
-    inside = Window.partitionBy(*by).orderBy(*_sorted(order, reverse)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by).orderBy(*_sorted(order, reverse))
+    inside = inside.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     folds = {"s": (F.sum, sums), "x": (F.max, maxes), "n": (F.min, mins)}
 
     summary = [fn(c).alias(f"_b{tag}_{name}") for tag, (fn, cols) in folds.items() for name, c in cols.items()]
@@ -58,8 +62,8 @@ def running(
     out = out.join(carried, by)
     final = {}
     for name in sums:
-        carry = F.col(f"_os_{name}")
-        final[name] = F.when(carry.isNull(), F.col(f"_ls_{name}")).otherwise(carry + F.coalesce(F.col(f"_ls_{name}"), carry * 0))
+        carry, local = F.col(f"_os_{name}"), F.col(f"_ls_{name}")
+        final[name] = F.coalesce(carry + local, carry, local)
     for name in maxes:
         final[name] = F.greatest(f"_ox_{name}", f"_lx_{name}")
     for name in mins:
@@ -149,9 +153,10 @@ def value_cdf(
     if grid is None:
         marks = [i / splits for i in range(1, splits)]
         edges = counts.agg(F.percentile_approx(value, marks, 2000).alias("edges")).scalar()
-        grid = F.size(F.filter(edges, lambda e: e < F.col(value)))
+        counts = counts.withColumn("_edges", edges)
+        grid = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     out = running(counts, keys, [value], [grid], sums={"_cum": F.col("n")}, totals={"total": F.col("n")})
-    return out.withColumn("below", F.col("_cum") - F.col("n")).drop("_cum")
+    return out.withColumn("below", F.col("_cum") - F.col("n")).drop("_cum", "_edges")
 
 
 def quantiles(

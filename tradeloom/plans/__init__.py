@@ -5,4 +5,5 @@ from tradeloom.plans import (  # noqa: F401, E402
     bar_queries,
     indicator_queries,
     signal_queries,
+    trade_queries,
 )

@@ -31,9 +31,7 @@ PAIR = S.SERIES + S.EMA_PAIR
          {S.r6('e200.y')} AS ema_200
   FROM e2 JOIN e8 USING (symbol, bar_idx) JOIN e21 USING (symbol, bar_idx) JOIN e200 USING (symbol, bar_idx)""", BARS))
 def n1(spark, d):
-    df = bars(spark, d)
-    for span in (2, 8, 21, 200):
-        df = N.ema(df, "close", span, f"ema_{span}")
+    df = N.emas(bars(spark, d), "close", {f"ema_{n}": n for n in (2, 8, 21, 200)})
     return out(df, "ema_2", "ema_8", "ema_21", "ema_200")
 
 

@@ -18,10 +18,10 @@ def poly(x: str, coef) -> str:
 
 
 def probit(p: str) -> str:
-    p = f"least(greatest({p}, {dbl(maths.PROBIT_CLIP)}), {dbl(1.0 - maths.PROBIT_CLIP)})"
+    raw, p = p, f"least(greatest({p}, {dbl(maths.PROBIT_CLIP)}), {dbl(1.0 - maths.PROBIT_CLIP)})"
     t = f"sqrt(-2.0::DOUBLE * ln(CASE WHEN {p} < 0.5 THEN {p} ELSE 1.0::DOUBLE - {p} END))"
     z = f"({t} - {poly(t, maths.PROBIT_NUM)} / {poly(t, maths.PROBIT_DEN)})"
-    return f"(CASE WHEN {p} < 0.5 THEN -{z} ELSE {z} END)"
+    return f"(CASE WHEN {raw} IS NULL THEN NULL WHEN {p} < 0.5 THEN -{z} ELSE {z} END)"
 
 
 def normal_cdf(z: str) -> str:
@@ -91,4 +91,5 @@ EMA_PAIR = ema_cte("ef", 8) + ema_cte("es", 21) + """, pair AS MATERIALIZED (
 
 
 def r6(x: str, digits: int = 6) -> str:
-    return f"round({x}, {digits}) + 0.0"
+    """The same rounding as ``tidy``."""
+    return f"round(({x}) + {10.0 ** -(digits + 3)!r}, {digits}) + 0.0"
