@@ -120,8 +120,9 @@ def equity_curve(
     block: Sequence[Column],
     pnl: Column,
     start: float | Column,
+    start_is_peak: bool = True,
 ) -> DataFrame:
-    """Equity after each row and its running peak, the start counted as a peak."""
+    """Equity after each row and its running peak; the start counts as a peak unless told otherwise."""
     start = F.lit(start) if not isinstance(start, Column) else start
     by = [*keys, "_block"]
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -135,7 +136,7 @@ def equity_curve(
     out = out.withColumns(
         {
             "equity": start + F.col("_base") + F.col("_cum"),
-            "peak": start + F.greatest(F.lit(0.0), F.col("_prior"), high),
+            "peak": start + F.greatest(F.lit(0.0 if start_is_peak else None).cast("double"), F.col("_prior"), high),
         }
     )
     return out.drop("_block", "_cum", "_base", "_prior")
@@ -144,19 +145,19 @@ def equity_curve(
 def value_cdf(
     df: DataFrame, keys: Sequence[str], value: str, grid: Column | None = None, splits: int = 32
 ) -> DataFrame:
-    """Distinct values per key with their count ``n``, the rows ``below`` them and the key ``total``.
+    """Distinct values per key with their count ``_n``, the rows ``_below`` them and the key's ``_total``.
 
     Equal values are counted first, so ties cost one row. Blocks are value ranges: ``grid`` if given,
     else ``splits`` ranges of near-equal weight from a bounded quantile sketch.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     if grid is None:
         marks = [i / splits for i in range(1, splits)]
         edges = counts.agg(F.percentile_approx(value, marks, 2000).alias("edges")).scalar()
         counts = counts.withColumn("_edges", edges)
         grid = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    out = running(counts, keys, [value], [grid], sums={"_cum": F.col("n")}, totals={"total": F.col("n")})
-    return out.withColumn("below", F.col("_cum") - F.col("n")).drop("_cum", "_edges")
+    out = running(counts, keys, [value], [grid], sums={"_cum": F.col("_n")}, totals={"_total": F.col("_n")})
+    return out.withColumn("_below", F.col("_cum") - F.col("_n")).drop("_cum", "_edges")
 
 
 def quantiles(
@@ -171,9 +172,9 @@ def quantiles(
     cdf = value_cdf(df, keys, value, grid, splits)
     aggs, final = [], []
     for name, q in probs.items():
-        h = (F.col("total") - 1) * F.lit(float(q))
+        h = (F.col("_total") - 1) * F.lit(float(q))
         lo, hi = F.floor(h), F.ceil(h)
-        covers = lambda i: (F.col("below") <= i) & (i < F.col("below") + F.col("n"))
+        covers = lambda i: (F.col("_below") <= i) & (i < F.col("_below") + F.col("_n"))
         aggs += [
             F.max(F.when(covers(lo), F.col(value))).alias(f"_lo_{name}"),
             F.max(F.when(covers(hi), F.col(value))).alias(f"_hi_{name}"),
@@ -194,9 +195,9 @@ def many_quantiles(
     aggs, final = [], []
     for name, (_, q) in wanted.items():
         mine = F.col("_what") == name
-        h = (F.col("total") - 1) * F.lit(float(q))
+        h = (F.col("_total") - 1) * F.lit(float(q))
         for tag, i in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = mine & (F.col("below") <= i) & (i < F.col("below") + F.col("n"))
+            hit = mine & (F.col("_below") <= i) & (i < F.col("_below") + F.col("_n"))
             aggs.append(F.max(F.when(hit, F.col("_value"))).alias(f"_{tag}_{name}"))
         aggs.append(F.max(F.when(mine, h - F.floor(h))).alias(f"_w_{name}"))
         final.append((F.col(f"_lo_{name}") + F.col(f"_w_{name}") * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name))
@@ -208,7 +209,7 @@ def average_rank(
 ) -> DataFrame:
     """Rank from 1 in rising order, ties averaged; NULLs stay NULL, or share the bottom rank."""
     cdf = value_cdf(df, keys, value, grid)
-    ranks = cdf.select(*keys, value, (F.col("below") + (F.col("n") + 1) / 2.0).alias(name))
+    ranks = cdf.select(*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(name))
     out = df.join(ranks, [*keys, value], "left")
     if nulls_last:
         sizes = df.groupBy(*keys).agg(

@@ -4,6 +4,8 @@ from tradeloom.plans.registry import ORACLE, QUERIES  # noqa: F401
 from tradeloom.plans import (  # noqa: F401, E402
     bar_queries,
     indicator_queries,
+    rank_queries,
     signal_queries,
+    stat_queries,
     trade_queries,
 )
