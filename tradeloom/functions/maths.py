@@ -111,6 +111,10 @@ def hash_uniform(*parts: Column | int | str) -> Column:
     return hash_draw(*parts) / F.lit(4294967296.0)
 
 
+def nudge(digits: int) -> float:
+    return float(f"3.7e-{digits + 4}")
+
+
 def tidy(x: Column, digits: int = 6) -> Column:
     """Rounded for comparison: nudged off exact halves, with negative zero turned into zero."""
-    return F.round(x + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)
+    return F.round(x + F.lit(nudge(digits)), digits) + F.lit(0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradeloom.functions.maths import safe_div
 from tradeloom.operators.ordered import average_rank, equity_curve, many_quantiles, running
 from tradeloom.operators.trades import START_EQUITY
+from tradeloom.session import materialise
 
 # Walk-forward gates, training span and caps.
 TRAIN_YEARS = 5.8056
@@ -227,20 +228,27 @@ def melt(df: DataFrame, ids: list[str], columns: list[str], name: str, value: st
     return df.select(*ids, F.inline(F.array(*entries)))
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 10) -> DataFrame:
-    """Rank correlation per key over complete pairs; NULL below ``least`` pairs."""
+def spearman(df: DataFrame, keys: list[str], row_id: list[str], x: str, y: str, least: int = 10) -> DataFrame:
+    """Rank correlation per key over complete pairs; NULL below ``least`` pairs.
+
+    ``row_id`` with the keys identifies a pair; both sides are ranked in one pass.
+    """
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(pairs, keys, x, "_rx"), keys, y, "_ry")
-    n = F.count(F.lit(1))
+    long = melt(pairs, [*keys, *row_id], [x, y], "_side", "_value")
+    ranked = average_rank(long, [*keys, "_side"], "_value", "_rank")
+    side = lambda c: F.max(F.when(F.col("_side") == c, F.col("_rank")))
+    both = ranked.groupBy(*keys, *row_id).agg(side(x).alias("_rx"), side(y).alias("_ry"))
     flat = (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
-    return ranked.groupBy(*keys).agg(n.alias("n_pairs"), F.when((n >= least) & flat, F.corr("_rx", "_ry")).alias("rho"))
+    n = F.count(F.lit(1))
+    return both.groupBy(*keys).agg(n.alias("n_pairs"), F.when((n >= least) & flat, F.corr("_rx", "_ry")).alias("rho"))
 
 
-def spearman_table(df: DataFrame, id_column: str, scores: list[str], truths: list[str]) -> DataFrame:
-    """Rank correlation of every score with every truth."""
-    long = melt(df, [id_column, *truths], scores, "score", "_x")
-    long = melt(long, [id_column, "score", "_x"], truths, "truth", "_y")
-    return spearman(long, ["score", "truth"], "_x", "_y")
+def spearman_table(df: DataFrame, row_id: str, scores: list[str], truths: list[str]) -> DataFrame:
+    """Rank correlation of every score with every truth; the score table is written once and reused."""
+    df = materialise(df.select(row_id, *scores, *truths), "scores")
+    long = melt(df, [row_id, *truths], scores, "score", "_x")
+    long = melt(long, [row_id, "score", "_x"], truths, "truth", "_y")
+    return spearman(long, ["score", "truth"], [row_id], "_x", "_y")
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:

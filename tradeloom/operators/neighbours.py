@@ -74,7 +74,7 @@ def _search(asks: DataFrame, rows: DataFrame, sizes: DataFrame, k: int) -> DataF
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
     )
     p = rows.join(plan, "cell").select(
-        "id", "vec", "grp", "cell", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"),
+        *[F.col(c).alias(c) for c in ("id", "vec", "grp", "cell")], F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
     )
     by = ["cell", "chunk", "part"]

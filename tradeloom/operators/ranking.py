@@ -6,29 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.maths import hash_draw, hash_uniform, safe_div
-from tradeloom.operators.metrics import COST, TRAIN_YEARS, sharpe
+from tradeloom.operators.metrics import COST, TRAIN_YEARS, melt, sharpe
 from tradeloom.operators.ordered import average_rank, quantiles, with_position
+from tradeloom.session import materialise
 
 # Metric weights of the composite score.
 COMPOSITE_WEIGHTS = {"sharpe_ratio": 0.4, "total_return_pct": 0.3, "profit_factor": 0.15, "max_drawdown_pct": 0.15}
 
 
-def rank_share(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average rank over the row count, NULLs ranked last."""
-    out = average_rank(df, [], column, "_rank", nulls_last=True)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return out.withColumn(name, F.col("_rank") / total).drop("_rank")
+def composite_score(
+    df: DataFrame, key: str, weights: dict[str, float] | None = None, inverted: tuple[str, ...] = ("max_drawdown_pct",)
+) -> DataFrame:
+    """(key, composite_score): weighted sum of rank shares, NULLs ranked last; inverted metrics count down.
 
-
-def composite_score(df: DataFrame, weights: dict[str, float] | None = None, inverted: tuple[str, ...] = ("max_drawdown_pct",)) -> DataFrame:
-    """Weighted sum of rank shares; inverted metrics count down."""
+    All metrics are ranked in one pass over (key, metric, value) rows.
+    """
     weights = weights or COMPOSITE_WEIGHTS
-    score = F.lit(0.0)
-    for metric, weight in weights.items():
-        df = rank_share(df, metric, f"_share_{metric}")
-        share = F.col(f"_share_{metric}")
-        score = score + (1.0 - share if metric in inverted else share) * weight
-    return df.withColumn("composite_score", score).drop(*[f"_share_{m}" for m in weights])
+    df = materialise(df.select(key, *weights), "metrics")
+    long = melt(df, [key], list(weights), "metric", "value")
+    ranked = average_rank(long, ["metric"], "value", "_rank", nulls_last=True)
+    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
+    table = F.create_map(*[F.lit(v) for kv in weights.items() for v in kv])
+    share = ranked.withColumn("_total", total).withColumn("_share", F.col("_rank") / F.col("_total"))
+    part = F.when(F.col("metric").isin(*inverted), 1.0 - F.col("_share")).otherwise(F.col("_share"))
+    return share.groupBy(key).agg(F.sum(part * table[F.col("metric")]).alias("composite_score"))
 
 
 def top_k(df: DataFrame, score: str, k: int, tie: str, least_trades: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 from tradeloom.plans.registry import ORACLE, QUERIES  # noqa: F401
 from tradeloom.plans import (  # noqa: F401, E402
     bar_queries,
+    feature_queries,
     indicator_queries,
     rank_queries,
     signal_queries,

@@ -115,7 +115,7 @@ def t12(spark, d):
     return spine.select(F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-@query("T13_year_span", sql("""SELECT symbol, round((epoch(max(time)) - epoch(min(time))) / (365.25 * 86400) + 1e-12, 9) + 0.0 AS years
+@query("T13_year_span", sql("""SELECT symbol, round((epoch(max(time)) - epoch(min(time))) / (365.25 * 86400) + 3.7e-13, 9) + 0.0 AS years
   FROM raw_bars GROUP BY 1""", BARS))
 def t13(spark, d):
     span = clock.years_between(F.min("time"), F.max("time"))
@@ -123,8 +123,8 @@ def t13(spark, d):
 
 
 @query("T14_shifted_cutoffs", sql("""SELECT symbol, shift_days, shift_bars, cutoff_bar, raw <> cutoff_bar AS was_clipped,
-  round(cutoff_bar / n + 1e-12, 9) AS train_frac,
-  round((epoch(t_end) - epoch(t_first)) / (365.25 * 86400) + 1e-12, 9) AS years_span FROM (
+  round(cutoff_bar / n + 3.7e-13, 9) AS train_frac,
+  round((epoch(t_end) - epoch(t_first)) / (365.25 * 86400) + 3.7e-13, 9) AS years_span FROM (
     SELECT g.*, b.time AS t_end FROM (
       SELECT *, greatest(1, least(n, raw)) AS cutoff_bar FROM (
         SELECT *, round_even(shift_days * bars_per_day, 0)::BIGINT AS shift_bars,

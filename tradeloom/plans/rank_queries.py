@@ -28,7 +28,7 @@ def j4(spark, d):
 
 
 @query("J5_spine_join", """WITH s AS (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY))::DATE AS day FROM orders)
-  SELECT strftime(day, '%Y-%m-%d') AS day, count(o_orderkey) AS n_trades, round(coalesce(sum(o_totalprice), 0) + 1e-6, 3) + 0.0 AS pnl_day
+  SELECT strftime(day, '%Y-%m-%d') AS day, count(o_orderkey) AS n_trades, round(coalesce(sum(o_totalprice), 0) + 3.7e-7, 3) + 0.0 AS pnl_day
   FROM s LEFT JOIN orders ON o_orderdate::DATE = day GROUP BY day""")
 def j5(spark, d):
     o = table(spark, d, "orders").withColumn("d", col("o_orderdate").cast("date"))
@@ -100,7 +100,7 @@ def j11(spark, d):
 
 @query("J12_benchmark", """WITH q AS (SELECT l_shipdate::DATE AS day, avg(l_extendedprice) AS close FROM lineitem WHERE isodow(l_shipdate) IN (1, 4) GROUP BY 1),
   d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), j AS (SELECT d.day, q.close FROM d ASOF LEFT JOIN q ON d.day >= q.day)
-  SELECT strftime(day, '%Y-%m-%d') AS day, round(close / (SELECT arg_min(close, day) FROM j WHERE close IS NOT NULL) * 50000 + 1e-7, 4) + 0.0 AS scaled FROM j""")
+  SELECT strftime(day, '%Y-%m-%d') AS day, round(close / (SELECT arg_min(close, day) FROM j WHERE close IS NOT NULL) * 50000 + 3.7e-8, 4) + 0.0 AS scaled FROM j""")
 def j12(spark, d):
     days = table(spark, d, "orders").select(col("o_orderdate").cast("date").alias("day")).distinct()
     li = table(spark, d, "lineitem").filter(F.weekday("l_shipdate").isin(0, 3))
@@ -143,7 +143,7 @@ def scored_combos(spark, d):
     p = per_combo(spark, d).join(M.max_drawdown(t, BY, ORDER, trade_block(), "net_pnl", 50000.0), BY)
     p = p.select("combo_id", "n_trades", F.round("sharpe_ratio", 9).alias("sharpe_ratio"), F.round("total_return_dollars", 6).alias("total_return_pct"),
                  F.round("profit_factor", 9).alias("profit_factor"), F.round("max_drawdown_pct", 9).alias("max_drawdown_pct"))
-    return K.composite_score(p)
+    return K.composite_score(p, "combo_id")
 
 
 @query("K1_composite_rank", sql(SCORE_SQL + f"SELECT combo_id, {r6('score')} AS composite_score FROM cs", TRADES))

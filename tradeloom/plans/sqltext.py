@@ -92,4 +92,4 @@ EMA_PAIR = ema_cte("ef", 8) + ema_cte("es", 21) + """, pair AS MATERIALIZED (
 
 def r6(x: str, digits: int = 6) -> str:
     """The same rounding as ``tidy``."""
-    return f"round(({x}) + {10.0 ** -(digits + 3)!r}, {digits}) + 0.0"
+    return f"round(({x}) + {maths.nudge(digits)!r}, {digits}) + 0.0"

@@ -359,7 +359,7 @@ def sql_rank(x, part=""):
   FROM (SELECT *, {sql_rank('n_trades')} AS a, {sql_rank('sharpe_ratio')} AS b FROM per)""", TRADES))
 def a29(spark, d):
     p = per_combo(spark, d)
-    rho = M.spearman(p, [], "n_trades", "sharpe_ratio").select("rho").scalar()
+    rho = M.spearman(p, [], ["combo_id"], "n_trades", "sharpe_ratio").select("rho").scalar()
     return p.agg(tidy(F.corr("n_trades", "sharpe_ratio")).alias("pearson")).withColumn("spearman", tidy(rho))
 
 
