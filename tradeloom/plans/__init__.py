@@ -9,6 +9,7 @@ from tradeloom.plans import (  # noqa: F401, E402
     rank_queries,
     resample_queries,
     signal_queries,
+    source_queries,
     stat_queries,
     trade_queries,
 )
