@@ -29,22 +29,24 @@ def parameter_vectors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return z.select(F.col(key).cast("bigint").alias("id"), F.array(*[F.coalesce(f"z_{c}", F.lit(0.0)) for c in columns]).alias("vec"))
 
 
-def _best(queries: pd.DataFrame, pool: pd.DataFrame, k: int) -> pd.DataFrame:
-    """k nearest pool rows of each query row, never itself nor a member of the skipped group; ties by id."""
+def _best(queries: pd.DataFrame, pool: pd.DataFrame, k: int, skips: list[int]) -> pd.DataFrame:
+    """k nearest pool rows per query row and skipped group, never the row itself; ties by id."""
     frames = [pd.DataFrame({"id": [], "skip": [], "neighbour": [], "dist": []}).astype({"id": "int64", "skip": "int64", "neighbour": "int64", "dist": "float64"})]
     if len(queries) and len(pool):
         pool = pool.sort_values("id")
-        points, ids, groups = np.array(pool["vec"].tolist(), dtype=float), pool["id"].to_numpy(), pool["grp"].to_numpy()
+        points, ids, groups = np.stack(pool["vec"].to_numpy()), pool["id"].to_numpy(), pool["grp"].to_numpy()
         for start in range(0, len(queries), 256):
             part = queries.iloc[start : start + 256]
-            dist = _matrix(np.array(part["vec"].tolist(), dtype=float), points)
-            qid, skip = part["id"].to_numpy(), part["skip"].to_numpy()
-            dist[(qid[:, None] == ids[None, :]) | (skip[:, None] == groups[None, :])] = np.inf
-            order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(qid)), order.shape[1])
-            flat = dist[rows, order.ravel()]
-            ok = np.isfinite(flat)
-            frames.append(pd.DataFrame({"id": qid[rows][ok], "skip": skip[rows][ok], "neighbour": ids[order.ravel()][ok], "dist": flat[ok]}))
+            qid = part["id"].to_numpy()
+            full = _matrix(np.stack(part["vec"].to_numpy()), points)
+            full[qid[:, None] == ids[None, :]] = np.inf
+            for skip in skips:
+                dist = np.where(groups[None, :] == skip, np.inf, full)
+                order = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(qid)), order.shape[1])
+                flat = dist[rows, order.ravel()]
+                ok = np.isfinite(flat)
+                frames.append(pd.DataFrame({"id": qid[rows][ok], "skip": skip, "neighbour": ids[order.ravel()][ok], "dist": flat[ok]}))
     return pd.concat(frames)
 
 
@@ -65,12 +67,12 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _search(asks: DataFrame, rows: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+def _search(asks: DataFrame, rows: DataFrame, sizes: DataFrame, k: int, skips: list[int]) -> DataFrame:
     """Best k per query over the cells it visits; groups hold a chunk of the cell and a part of the visits."""
     visits = asks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
     plan = F.broadcast(sizes.select("cell", "chunks").join(visits, "cell"))  # one row per pivot
     q = asks.join(plan, "cell").select(
-        "id", "vec", "skip", "cell", F.pmod(F.xxhash64("id", "skip"), "parts").cast("int").alias("part"),
+        "id", "vec", "cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
     )
     p = rows.join(plan, "cell").select(
@@ -78,7 +80,8 @@ def _search(asks: DataFrame, rows: DataFrame, sizes: DataFrame, k: int) -> DataF
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
     )
     by = ["cell", "chunk", "part"]
-    return _merge(q.groupBy(*by).cogroup(p.groupBy(*by)).applyInPandas(lambda left, right: _best(left, right, k), SCHEMA), k)
+    found = q.groupBy(*by).cogroup(p.groupBy(*by)).applyInPandas(lambda left, right: _best(left, right, k, skips), SCHEMA)
+    return _merge(found, k)
 
 
 def nearest(vectors: DataFrame, k: int = 10, held_out: list[int] | None = None) -> DataFrame:
@@ -87,8 +90,9 @@ def nearest(vectors: DataFrame, k: int = 10, held_out: list[int] | None = None)
     ``vectors``: id bigint, vec array<double>, and grp bigint if ``held_out`` lists groups: then every
     row is asked once per listed group, with that group kept out of the pool.
     """
+    skips = list(held_out or [-2])
     base = vectors.withColumn("grp", F.col("grp") if held_out else F.lit(-1).cast("bigint"))
-    pivots = min(MOST_PIVOTS, max(8, int(base.count() ** 0.5)))
+    pivots = min(MOST_PIVOTS, max(8, int(base.count() ** 0.5 / 4)))
     centres = base.orderBy(hash_draw("pivot", F.col("id")), "id").limit(pivots).select(F.col("id").alias("cell"), F.col("vec").alias("centre"))
     centres = materialise(centres, "pivots")  # at most MOST_PIVOTS vectors
     book = centres.agg(F.collect_list(F.struct("cell", "centre"))).scalar()
@@ -97,20 +101,20 @@ def nearest(vectors: DataFrame, k: int = 10, held_out: list[int] | None = None)
     rows = materialise(rows.select("id", "vec", "grp", F.col("home.cell").alias("cell"), F.col("home.d").alias("to_centre")), "cells")
     sizes = rows.groupBy("cell").agg(F.max("to_centre").alias("reach"), F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
     sizes = materialise(sizes.join(centres, "cell"), "sizes")
-    skips = F.explode(F.array(*[F.lit(g).cast("bigint") for g in (held_out or [-2])]))
-    asks = rows.select("id", "vec", skips.alias("skip"), "cell")
-    first = materialise(_search(asks, rows, sizes, k), "first")
+    asks = rows.select("id", "vec", "cell")
+    first = materialise(_search(asks, rows, sizes, k, skips), "first")
 
-    radius = first.filter(F.col("rank") == k).select("id", "skip", F.col("dist").alias("radius"))
+    full = first.filter(F.col("rank") == k).groupBy("id").agg(F.count(F.lit(1)).alias("full"), F.max("dist").alias("far"))
+    radius = full.filter(F.col("full") == len(skips)).select("id", F.col("far").alias("radius"))
     cells = sizes.agg(F.collect_list(F.struct("cell", "centre", "reach"))).scalar()
 
     def may_hold(c):
         gap = _distance(c["centre"], F.col("vec")) - c["reach"] - 1e-9
         return (c["cell"] != F.col("cell")) & (F.col("radius").isNull() | (gap <= F.col("radius")))
 
-    more = asks.join(radius, ["id", "skip"], "left").withColumn("book", cells)
-    more = more.select("id", "vec", "skip", F.explode(F.transform(F.filter("book", may_hold), lambda c: c["cell"])).alias("cell"))
-    second = _search(more, rows, sizes, k)
+    more = asks.join(radius, "id", "left").withColumn("book", cells)
+    more = more.select("id", "vec", F.explode(F.transform(F.filter("book", may_hold), lambda c: c["cell"])).alias("cell"))
+    second = _search(more, rows, sizes, k, skips)
     return _merge(first.drop("rank").unionByName(second.drop("rank")), k)
 
 

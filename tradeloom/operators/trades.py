@@ -75,14 +75,14 @@ def resolve_exits(cands: DataFrame, signals: DataFrame, bars: DataFrame, tp_firs
     tree = [materialise(level, "tree") for level in summary_tree(bars, SYMBOL)]
     priced = price_bars(bars)
     out = next_opposite(cands, signals)
-    hours = [r[0] for r in cands.select("tod_exit_hour").distinct().filter("tod_exit_hour > 0").collect()]
+    hours = [r[0] for r in signals.select("tod_exit_hour").distinct().filter("tod_exit_hour > 0").collect()]
     if hours:
         due = next_bar_at_hour(bars, hours, SYMBOL)
         out = out.join(due, [*SYMBOL, "entry_bar", "tod_exit_hour"], "left")
     else:
         out = out.withColumn("hour_bar", F.lit(None).cast("bigint"))
     lengths = bars.groupBy(*SYMBOL).agg(F.max("bar_idx").alias("last_bar"))
-    out = out.join(lengths, SYMBOL)
+    out = materialise(out.join(lengths, SYMBOL), "asked")  # read twice: by the walk and by what follows it
 
     long = F.col("side") == 1
     one_r = F.col("entry_price") + F.col("stop_pts") * F.col("side")

@@ -121,8 +121,7 @@ def io12b(spark, d):
     for flag, v in (("A", 10), ("R", 11), ("N", 12)):
         paths.append(f"{base}/sweep_v{v}")
         t.filter(col("flag") == flag).write.parquet(paths[-1])
-    # Spark names the files itself, so the version is read from the folder part of the path
-    df = spark.read.parquet(*paths).withColumn("sweep_version", Q.version_of_file(F.regexp_replace(F.input_file_name(), "/[^/]*$", "")))
+    df = Q.read_versions(spark, paths)
     return df.groupBy("sweep_version").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 5_000_000
-VERSION_PATTERN = r"v(\d+)"
+VERSION_PATTERN = r".*[/_]v(\d+)"
 
 
 def scan(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -18,7 +18,7 @@ def append(df: DataFrame, path: str, partition: str) -> None:
     """Add rows under their partition. Rows go to writers by partition and a salt, so that a large
     partition is written by many tasks and a small one by few."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = (F.rand(7) * tasks).cast("int") if tasks > 1 else F.lit(0)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(tasks))
     spread = df.withColumn("_salt", salt).repartition(tasks, partition, "_salt").drop("_salt")
     spread.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(partition).parquet(path)
 
@@ -68,11 +68,11 @@ def parse_key(key: Column) -> tuple[Column, Column]:
 
 
 def version_of_file(path: Column) -> Column:
-    """Version number in a file name, NULL if there is none."""
-    return F.nullif(F.regexp_extract(F.element_at(F.split(path, "/"), -1), VERSION_PATTERN, 1), F.lit("")).cast("int")
+    """The last version number in a path, NULL if there is none."""
+    return F.nullif(F.regexp_extract(path, VERSION_PATTERN, 1), F.lit("")).cast("int")
 
 
 def read_versions(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several sweep files with the version of each row's file."""
-    df = spark.read.option("recursiveFileLookup", True).parquet(*paths)
+    """Several sweep tables with the version of each row's path."""
+    df = spark.read.parquet(*paths)
     return df.withColumn("sweep_version", version_of_file(F.input_file_name()))
