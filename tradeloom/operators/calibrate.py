@@ -158,9 +158,9 @@ def isotonic(df: DataFrame, keys: list[str], p: str, y: str, least: int = MIN_LE
 
 def knots(fit: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, x[], v[]): the ends of every step, for interpolation in between."""
-    ends = fit.select(*keys, F.explode(F.array_distinct(F.array(F.struct(F.col("lo").alias("x"), "value"), F.struct(F.col("hi").alias("x"), "value")))).alias("k"))
-    per = ends.groupBy(*keys).agg(F.array_sort(F.collect_list("k")).alias("k"))  # steps are few after pooling
-    return per.select(*keys, F.transform("k", lambda k: k["x"]).alias("x"), F.transform("k", lambda k: k["value"]).alias("v"))
+    ends = fit.select(*keys, F.explode(F.array_distinct(F.array(F.struct(F.col("lo").alias("x"), "value"), F.struct(F.col("hi").alias("x"), "value")))).alias("_knot"))
+    per = ends.groupBy(*keys).agg(F.array_sort(F.collect_list("_knot")).alias("_knots"))  # steps are few after pooling
+    return per.select(*keys, F.transform("_knots", lambda k: k["x"]).alias("x"), F.transform("_knots", lambda k: k["value"]).alias("v"))
 
 
 def interpolate(p: Column, x: Column, v: Column) -> Column:

@@ -30,7 +30,7 @@ def join_params(rows: DataFrame, params: DataFrame, on: list[str], condition: Co
         out = rows.join(F.broadcast(params), on)
     else:
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(SALTS)))
-        spread = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        spread = params.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         out = salted.join(spread, [*on, "_salt"]).drop("_salt")
     return out if condition is None else out.filter(condition)
 
