@@ -161,13 +161,14 @@ def kelly_sized(df: DataFrame, p: Column, rr: float) -> DataFrame:
 
 
 def portfolio_equity(df: DataFrame, order: list[str], bar: str = "exit_bar", pnl: str = "pnl", start: float = START_EQUITY,
-                     same_bar_trades: bool = True) -> DataFrame:
+                     same_bar_trades: bool = True, block: list[Column] | None = None) -> DataFrame:
     """All combos in one account: results arrive at exit bars, in order within a bar.
 
+    Sums are carried from bar to bar; ``block`` splits busy bars further and must rise with ``order``.
     ``same_bar_trades=False`` leaves out trades that enter and exit on one bar.
     """
     rows = df if same_bar_trades else df.filter(F.col("exit_bar") > F.col("entry_bar"))
-    out = running(rows, [], [bar, *order], [F.floor(F.col(bar) / 256)], sums={"_sum": F.col(pnl)})
+    out = running(rows, [], [bar, *order], [F.col(bar), *(block or [])], sums={"_sum": F.col(pnl)})
     return out.withColumn("equity_after", F.col("_sum") + start).drop("_sum")
 
 

@@ -142,8 +142,13 @@ def equity_curve(
     return out.drop("_block", "_cum", "_base", "_prior")
 
 
+def default_splits(df: DataFrame) -> int:
+    """Value ranges for ``value_cdf``: they follow the shuffle width the cluster is set to."""
+    return max(16, min(1024, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def value_cdf(
-    df: DataFrame, keys: Sequence[str], value: str, grid: Column | None = None, splits: int = 32
+    df: DataFrame, keys: Sequence[str], value: str, grid: Column | None = None, splits: int | None = None
 ) -> DataFrame:
     """Distinct values per key with their count ``_n``, the rows ``_below`` them and the key's ``_total``.
 
@@ -152,8 +157,9 @@ def value_cdf(
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     if grid is None:
-        marks = [i / splits for i in range(1, splits)]
-        edges = counts.agg(F.percentile_approx(value, marks, 2000).alias("edges")).scalar()
+        splits = splits or default_splits(df)
+        marks = [i / splits for i in range(1, splits)] or [0.5]
+        edges = counts.agg(F.percentile_approx(value, marks, 10 * splits).alias("edges")).scalar()
         counts = counts.withColumn("_edges", edges)
         grid = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     out = running(counts, keys, [value], [grid], sums={"_cum": F.col("_n")}, totals={"_total": F.col("_n")})
@@ -166,7 +172,7 @@ def quantiles(
     value: str,
     probs: dict[str, float],
     grid: Column | None = None,
-    splits: int = 32,
+    splits: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, whatever the size of a key."""
     cdf = value_cdf(df, keys, value, grid, splits)
@@ -185,7 +191,7 @@ def quantiles(
 
 
 def many_quantiles(
-    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column, float]], splits: int = 16
+    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column, float]], splits: int | None = None
 ) -> DataFrame:
     """Exact quantiles of several expressions at once: {name: (expression, probability)}."""
     frame = df.select(*keys, *[c.cast("double").alias(f"_v_{name}") for name, (c, _) in wanted.items()])

@@ -63,11 +63,12 @@ def rank_of(df: DataFrame, key: str, score: str) -> DataFrame:
 def jaccard_matrix(baskets: DataFrame, basket: str, member: str) -> DataFrame:
     """Overlap of every pair of top-k baskets.
 
-    Baskets are few and bounded by k, so each is one array.
+    Baskets are few (one per ranker or arm) and bounded by k, so each is one array and all of them
+    fit into one row.
     """
-    sets = baskets.groupBy(basket).agg(F.collect_set(member).alias("_set"))
-    right = sets.select(F.col(basket).alias("basket_b"), F.col("_set").alias("_other"))
-    pairs = sets.join(F.broadcast(right), F.lit(True)).withColumnRenamed(basket, "basket_a")
+    sets = baskets.groupBy(F.col(basket).alias("basket_a")).agg(F.collect_set(member).alias("_set"))
+    book = sets.agg(F.collect_list(F.struct(F.col("basket_a").alias("basket_b"), F.col("_set").alias("_other")))).scalar()
+    pairs = sets.withColumn("_book", book).select("basket_a", "_set", F.inline("_book"))
     both = F.size(F.array_intersect("_set", "_other"))
     either = F.size(F.array_union("_set", "_other"))
     return pairs.select("basket_a", "basket_b", both.alias("n_shared"), F.coalesce(safe_div(both, either), F.lit(0.0)).alias("jaccard"))

@@ -154,7 +154,7 @@ def portfolio(spark, d):
 
 @query("F14_portfolio_equity", sql(PORT + f"SELECT combo_id, seq, exit_bar, {r6('pnl')} AS pnl, {r6('50000 + sum(pnl) OVER (ORDER BY exit_bar, combo_id, seq)', 4)} AS equity_after FROM pf", TRADES))
 def f14(spark, d):
-    out = FE.portfolio_equity(portfolio(spark, d), ["combo_id", "seq"])
+    out = FE.portfolio_equity(portfolio(spark, d), ["combo_id", "seq"], block=[F.floor(col("combo_id") / 10_000)])
     return out.select("combo_id", "seq", "exit_bar", tidy(col("pnl")).alias("pnl"), tidy(col("equity_after"), 4).alias("equity_after"))
 
 

@@ -309,7 +309,7 @@ def k15(spark, d):
 
     t = trades(spark, d).select("trade_date", *KEYS4, "net_pnl", "flag")
     streams = union_all([t.filter(col("flag") == f).withColumn("src", F.lit(f.lower())) for f in ("A", "R")])
-    out = with_position(streams, [], ["trade_date", "src", *KEYS4], [col("trade_date")], "at")
+    out = with_position(streams, [], ["trade_date", "src", *KEYS4], [col("trade_date"), col("src"), F.floor(col("order_no") / 1_000_000)], "at")
     return out.select("src", *KEYS4, "at")
 
 

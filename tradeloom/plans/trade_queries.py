@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.clock import hhmm
@@ -114,6 +115,17 @@ def swept(spark, d):
     return X.backtest(cands, sig, b)
 
 
+def wide_sweep(spark, d):
+    """1,200 parameter sets over all bars, down to the trades taken; for timing."""
+    rules = combos(spark).select("min_rr", *RULE_FIELDS).distinct()
+    grid = W.product(rules, z_window=[12, 24], z_band_k=[0.8 + 0.1 * i for i in range(10)], stop_pts=[10.0 + 5.0 * i for i in range(20)])
+    number = F.dense_rank().over(Window.orderBy("z_window", "z_band_k", "stop_pts", *RULE_FIELDS))
+    many = materialise(grid.withColumn("combo_id", number), "combos")
+    b = materialise(bars(spark, d), "bars")
+    sig = materialise(W.sweep_signals(b, many), "signals")
+    return X.backtest(X.entries(sig, X.price_bars(b)), sig, b)
+
+
 @query("J1_combos_by_bars", sql(SWEEP + f"SELECT combo_id, symbol, bar_idx, signal, {r6('zscore')} AS zscore FROM sig", *SETUP))
 def j1(spark, d):
     out = W.sweep_signals(bars(spark, d), combos(spark))
