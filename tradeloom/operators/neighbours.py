@@ -51,11 +51,12 @@ def _best(queries: pd.DataFrame, pool: pd.DataFrame, k: int, skips: list[int]) -
 
 
 def _matrix(q: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """Distances to 12 digits, so that equal ones tie whatever the order of their sums."""
     out = np.empty((len(q), len(pool)))
     for i, row in enumerate(q):
         diff = pool - row
         out[i] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-    return out
+    return np.round(out, 12)
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -91,7 +92,7 @@ def nearest(vectors: DataFrame, k: int = 10, held_out: list[int] | None = None)
     row is asked once per listed group, with that group kept out of the pool.
     """
     skips = list(held_out or [-2])
-    base = vectors.withColumn("grp", F.col("grp") if held_out else F.lit(-1).cast("bigint"))
+    base = materialise(vectors.withColumn("grp", F.col("grp") if held_out else F.lit(-1).cast("bigint")), "vectors")
     pivots = min(MOST_PIVOTS, max(8, int(base.count() ** 0.5 / 4)))
     centres = base.orderBy(hash_draw("pivot", F.col("id")), "id").limit(pivots).select(F.col("id").alias("cell"), F.col("vec").alias("centre"))
     centres = materialise(centres, "pivots")  # at most MOST_PIVOTS vectors

@@ -113,7 +113,7 @@ Z3 = ["n_trades", "win_rate", "avg_r"]
 
 
 @query("J13_nearest_parameters", sql(PER + ", z AS MATERIALIZED (SELECT combo_id, sharpe_ratio, [" + ", ".join(f"(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ())::DOUBLE" for c in Z3) + f"""] AS v FROM per),
-  p AS (SELECT a.combo_id AS id, b.sharpe_ratio AS t, row_number() OVER (PARTITION BY a.combo_id ORDER BY list_distance(a.v, b.v), b.combo_id) AS rk FROM z a JOIN z b ON a.combo_id <> b.combo_id)
+  p AS (SELECT a.combo_id AS id, b.sharpe_ratio AS t, row_number() OVER (PARTITION BY a.combo_id ORDER BY round(list_distance(a.v, b.v), 12), b.combo_id) AS rk FROM z a JOIN z b ON a.combo_id <> b.combo_id)
   SELECT id, count(*) AS n_neighbours, {rounded(knn_mean='avg(t)', knn_std='stddev_samp(t)')} FROM p WHERE rk <= 10 GROUP BY 1""", TRADES))
 def j13(spark, d):
     p = per_combo(spark, d).withColumnRenamed("avg_r_multiple", "avg_r")
@@ -122,7 +122,7 @@ def j13(spark, d):
 
 
 @query("J14_fold_neighbours", f"""WITH v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v, ('0x' || substr(md5('fold|' || vec_id), 1, 8))::BIGINT % 5 AS fold FROM embeddings),
-  p AS (SELECT a.vec_id AS id, f.fold AS skip, b.label AS t, row_number() OVER (PARTITION BY a.vec_id, f.fold ORDER BY list_distance(a.v, b.v), b.vec_id) AS rk
+  p AS (SELECT a.vec_id AS id, f.fold AS skip, b.label AS t, row_number() OVER (PARTITION BY a.vec_id, f.fold ORDER BY round(list_distance(a.v, b.v), 12), b.vec_id) AS rk
     FROM v a, (SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS fold) f, v b WHERE a.vec_id <> b.vec_id AND b.fold <> f.fold)
   SELECT id, skip AS held_out, count(*) AS n_neighbours, {rounded(knn_mean='avg(t)', knn_std='stddev_samp(t)')} FROM p WHERE rk <= 10 GROUP BY 1, 2""")
 def j14(spark, d):
