@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tradeloom.llm.repeats import OP10_SQL, op10_substring
 from tradeloom.llm.simhash import op6_simhash
 
-QUERIES = {"op6_simhash": op6_simhash}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op6_simhash": op6_simhash, "op10_substring": op10_substring}
+ORACLE: dict[str, str] = {"op10_substring": OP10_SQL}
