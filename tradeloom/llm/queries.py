@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tradeloom.llm.repeats import OP10_SQL, op10_substring
 from tradeloom.llm.simhash import op6_simhash
+from tradeloom.llm.toxicity import op1_toxicity
 
-QUERIES = {"op6_simhash": op6_simhash, "op10_substring": op10_substring}
+QUERIES = {"op1_toxicity": op1_toxicity, "op6_simhash": op6_simhash, "op10_substring": op10_substring}
 ORACLE: dict[str, str] = {"op10_substring": OP10_SQL}
