@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from tradeloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from tradeloom.llm.repeats import OP10_SQL, op10_substring
 from tradeloom.llm.simhash import op6_simhash
 from tradeloom.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op6_simhash": op6_simhash, "op10_substring": op10_substring}
-ORACLE: dict[str, str] = {"op10_substring": OP10_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op6_simhash": op6_simhash, "op8_decontamination": op8_decontamination, "op10_substring": op10_substring}
+ORACLE: dict[str, str] = {"op8_decontamination": OP8_SQL, "op10_substring": OP10_SQL}
