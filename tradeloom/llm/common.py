@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradeloom.session import materialise
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,6 +64,17 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield held
 
 
+def step(df: DataFrame, name: str) -> DataFrame:
+    """Write a finished step and read it back; the shuffle files it no longer needs leave the disks at once.
+
+    Spark drops them when the driver's objects are collected, which a driver with a large heap may never do by itself.
+    """
+    written = materialise(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return written
+
+
 def text_hash(text: Column) -> Column:
     """Second half of a row's key; rows that share id and text are alike in every result."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -7,9 +7,10 @@ from tradeloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from tradeloom.llm.language import op3_language
 from tradeloom.llm.packing import op4_packing
 from tradeloom.llm.repeats import OP10_SQL, op10_substring
+from tradeloom.llm.rules import OP5_SQL, op5_rules
 from tradeloom.llm.simhash import op6_simhash
 from tradeloom.llm.token_file import op9_token_file
 from tradeloom.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op7_chat": op7_chat, "op8_decontamination": op8_decontamination, "op9_token_file": op9_token_file, "op10_substring": op10_substring}
-ORACLE: dict[str, str] = {"op7_chat": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_substring": OP10_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_packing": op4_packing, "op5_rules": op5_rules, "op6_simhash": op6_simhash, "op7_chat": op7_chat, "op8_decontamination": op8_decontamination, "op9_token_file": op9_token_file, "op10_substring": op10_substring}
+ORACLE: dict[str, str] = {"op5_rules": OP5_SQL, "op7_chat": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_substring": OP10_SQL}

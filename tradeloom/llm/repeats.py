@@ -15,14 +15,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import map_rows, sorted_groups, table, text_hash
-from tradeloom.session import materialise
+from tradeloom.llm.common import map_rows, sorted_groups, step, table, text_hash
 
 WINDOW = 35  # consecutive words judged together
 M = 4  # words hashed to one minimiser candidate; WINDOW - M + 1 must be a power of two
@@ -84,7 +85,10 @@ def _scan(rows: list) -> Iterator[tuple]:
 
 
 def _cut_strings(rows: list) -> Iterator[tuple]:
-    """Super-k-mers of the minimisers in ``wanted``: (row key, first window, minimiser, packed words)."""
+    """Super-k-mers of the minimisers in ``wanted``: (row key, first window, minimiser, packed words and their mark).
+
+    The mark, a 128-bit digest, names the string on the way back to its documents; windows are compared by their words.
+    """
     for doc_id, key, text, wanted in rows:
         start, end = spans(text)
         value, _ = minimisers(word_hashes(text, start, end))
@@ -93,53 +97,58 @@ def _cut_strings(rows: list) -> Iterator[tuple]:
         use = np.isin(value[first].view(np.int64), np.array(wanted, dtype=np.int64))
         words = text.split()
         for a, b, v in zip(first[use].tolist(), last[use].tolist(), value[first[use]].view(np.int64).tolist()):
-            yield doc_id, key, a, v, b" ".join(words[a : b + WINDOW])
+            packed = b" ".join(words[a : b + WINDOW])
+            yield doc_id, key, a, v, packed, xxhash.xxh3_128_digest(packed)
 
 
 def repeated_windows(strings: list[bytes], times: list[int], window: int = WINDOW) -> list[list[int]]:
-    """For each distinct string, which of its windows occur twice or more, a string counting ``times`` over."""
-    parts = [s.split() for s in strings]
-    rank = {w: i for i, w in enumerate(sorted({w for p in parts for w in p}))}
-    coded = [np.array([rank[w] for w in p], dtype=">u4") for p in parts]
-    rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(c, window) for c in coded])
-    order, new = _sorted_rows(np.ascontiguousarray(rows))
-    owner = np.repeat(np.arange(len(parts)), [len(p) - window + 1 for p in parts])
-    run = np.cumsum(new) - 1
-    total = np.bincount(run, weights=np.array(times, dtype=np.float64)[owner[order]])
-    repeated = np.zeros(len(rows), dtype=bool)
-    repeated[order] = total[run] > 1
-    ends = np.cumsum([len(p) - window + 1 for p in parts])
-    return [np.flatnonzero(r).tolist() for r in np.split(repeated, ends[:-1])]
-
-
-def _sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows by their words, and where in that order a new row begins."""
-    whole = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
-    order = np.argsort(whole, kind="stable")
-    same = whole[order]
-    return order, np.concatenate(([True], same[1:] != same[:-1]))
+    """For each distinct packed string, which of its windows occur twice or more, a string counting ``times`` over."""
+    found: list[list[int]] = [[] for _ in strings]
+    cuts: list[tuple[bytes, int, int]] = []
+    for k, packed in enumerate(strings):
+        ends = [m for m, b in enumerate(packed) if b == 0x20]
+        ends.append(len(packed))
+        n = len(ends) - window + 1
+        if times[k] > 1:
+            found[k] = list(range(n))
+        if len(strings) > 1 or n > 1:
+            start = 0
+            for i in range(n):
+                cuts.append((packed[start : ends[i + window - 1]], k, i))
+                start = ends[i] + 1
+    cuts.sort()
+    marked: set[tuple[int, int]] = set()
+    for (a, k, i), (b, other, j) in zip(cuts, cuts[1:]):
+        if a == b:
+            marked.add((k, i))
+            marked.add((other, j))
+    for k, i in sorted(marked):
+        if times[k] == 1:
+            found[k].append(i)
+    return found
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in sorted_groups(batches, ["minimiser"]):
         cut = np.flatnonzero(np.concatenate(([True], part["minimiser"][1:] != part["minimiser"][:-1], [True])))
-        packed, at = [], []
+        key, mark, at = [], [], []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            strings = part["packed"][a:b].tolist()
-            found = repeated_windows(strings, part["times"][a:b].tolist())
-            packed += [s for s, f in zip(strings, found) if f]
-            at += [f for f in found if f]
-        if packed:
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(at, pa.list_(pa.int32()))], names=["packed", "at"])
+            for k, found in enumerate(repeated_windows(part["packed"][a:b].tolist(), part["times"][a:b].tolist()), a):
+                if found:
+                    key.append(part["minimiser"][k])
+                    mark.append(part["mark"][k])
+                    at.append(found)
+        if key:
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(mark, pa.binary()), pa.array(at, pa.list_(pa.int32()))], names=["minimiser", "mark", "at"])
 
 
 def _wide_buckets(strings: DataFrame) -> DataFrame:
     """The same as ``_buckets`` for minimisers of too many strings: windows as rows, summed before and after the shuffle."""
-    words = strings.select("packed", "times", F.split(F.col("packed").cast("string"), " ").alias("w"))
+    words = strings.select("minimiser", "mark", "times", F.split(F.col("packed").cast("string"), " ").alias("w"))
     at = F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("at")
-    windows = words.select("packed", "times", "w", at).select("packed", "times", "at", F.array_join(F.slice("w", F.col("at") + 1, WINDOW), " ").alias("window"))
+    windows = words.select("minimiser", "mark", "times", "w", at).select("minimiser", "mark", "times", "at", F.array_join(F.slice("w", F.col("at") + 1, WINDOW), " ").alias("window"))
     often = windows.groupBy("window").agg(F.sum("times").alias("total")).where("total > 1").select("window")
-    return windows.join(often, "window", "left_semi").groupBy("packed").agg(F.collect_list("at").alias("at"))
+    return windows.join(often, "window", "left_semi").groupBy("minimiser", "mark").agg(F.collect_list("at").alias("at"))
 
 
 def covered(n: int, windows: list[int], window: int = WINDOW) -> np.ndarray:
@@ -151,12 +160,15 @@ def covered(n: int, windows: list[int], window: int = WINDOW) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _cut_text(rows: list) -> Iterator[tuple]:
+def _cut_text(rows: list, texts: bool) -> Iterator[tuple]:
     for doc_id, key, text, windows in rows:
         start, end = spans(text)
         gone = covered(len(start), windows)
         words = np.array(text.split(), dtype=object)
         digest = hashlib.sha256(b" ".join(words[~gone].tolist())).hexdigest()
+        if not texts:
+            yield doc_id, key, int(gone.sum()), digest, None
+            continue
         # a run of removed words goes with the white space after it
         edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
         keep, at = [], 0
@@ -167,38 +179,38 @@ def _cut_text(rows: list) -> Iterator[tuple]:
         yield doc_id, key, int(gone.sum()), digest, b"".join(keep) + text[at:]
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     """Return per row of ``docs`` (doc_id, text): doc_id, text_key, n_words, n_removed, kept_sha256, kept_text.
 
-    ``kept_text`` is null where nothing is removed. Null or empty texts and texts under ``WINDOW`` words have no window and
+    ``kept_text`` is null where nothing is removed, and everywhere without ``texts``. Null or empty texts and texts under ``WINDOW`` words have no window and
     stay. A row repeated with its id is another occurrence of its windows, so both lose them. Null ids and very long texts
     are treated as any other; other columns are ignored; an empty table gives no rows.
     """
     keyed = docs.select("doc_id", text_hash(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
-    scan = materialise(map_rows(keyed, _scan, "doc_id long, text_key long, n_words long, kept_sha256 string, minimisers array<long>"), "minimisers")
+    scan = step(map_rows(keyed, _scan, "doc_id long, text_key long, n_words long, kept_sha256 string, minimisers array<long>"), "minimisers")
     each = scan.select("doc_id", "text_key", F.explode("minimisers").alias("minimiser"))
     twice = each.groupBy("minimiser").count().where("count > 1").select("minimiser")
     wanted = each.join(twice, "minimiser", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("minimiser").alias("wanted"))
     chosen = wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "wanted")
     held = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "wanted")
-    held = materialise(held, "repeat-candidates")
-    pieces = materialise(map_rows(held, _cut_strings, "doc_id long, text_key long, first int, minimiser long, packed binary"), "super-k-mers")
+    pieces = step(map_rows(held, _cut_strings, "doc_id long, text_key long, first int, minimiser long, packed binary, mark binary"), "super-k-mers")
 
-    strings = materialise(pieces.groupBy("minimiser", "packed").agg(F.count("*").alias("times")), "strings")
+    strings = step(pieces.groupBy("minimiser", "packed", "mark").agg(F.count("*").alias("times")), "strings")
     wide = strings.groupBy("minimiser").count().where(F.col("count") > BUCKET).select("minimiser")
     narrow = strings.join(wide, "minimiser", "left_anti").repartition("minimiser").sortWithinPartitions("minimiser")
-    found = narrow.mapInArrow(_buckets, "packed binary, at array<int>").unionByName(_wide_buckets(strings.join(wide, "minimiser", "left_semi")))
-    found = materialise(found, "repeated-windows")
-    cut = pieces.join(found, "packed").select("doc_id", "text_key", F.transform("at", lambda x: x + F.col("first")).alias("at"))
-    per_row = cut.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("at")).alias("windows"))
+    found = narrow.mapInArrow(_buckets, "minimiser long, mark binary, at array<int>").unionByName(_wide_buckets(strings.join(wide, "minimiser", "left_semi")))
+    found = step(found, "repeated-windows")
+    cut = pieces.select("doc_id", "text_key", "first", "minimiser", "mark").join(found, ["minimiser", "mark"])
+    cut = cut.select("doc_id", "text_key", F.transform("at", lambda x: x + F.col("first")).alias("at"))
+    per_row = step(cut.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("at")).alias("windows")), "windows")
     per_row = per_row.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "windows")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     changed = map_rows(
-        held.join(per_row, same).select("doc_id", "text_key", "text", "windows"),
-        _cut_text,
+        keyed.join(per_row, same).select("doc_id", "text_key", "text", "windows"),
+        partial(_cut_text, texts=texts),
         "doc_id long, text_key long, n_removed long, kept_sha256 string, kept_text binary",
     )
-    changed = materialise(changed, "cut-texts").dropDuplicates(["doc_id", "text_key"])
+    changed = step(changed, "cut-texts").dropDuplicates(["doc_id", "text_key"])
     changed = changed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_removed", F.col("kept_sha256").alias("cut_sha256"), F.col("kept_text").cast("string").alias("kept_text"))
     return scan.join(changed, same, "left").select(
         "doc_id", "text_key", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), "kept_text"
@@ -206,7 +218,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP10_SQL = r"""
