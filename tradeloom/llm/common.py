@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.session import materialise
+from tradeloom.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,10 +69,11 @@ def step(df: DataFrame, name: str) -> DataFrame:
 
     Spark drops them when the driver's objects are collected, which a driver with a large heap may never do by itself.
     """
-    written = materialise(df, name)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return written
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_hash(text: Column) -> Column:

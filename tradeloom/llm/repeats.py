@@ -5,8 +5,8 @@
    first, pre-aggregated by document, and the rest of the text travels no further.
 2. Documents with such a minimiser are cut into super-k-mers: runs of consecutive windows with one minimiser travel as one
    packed string of words to the minimiser's bucket. Equal strings are one row with a count before they leave their task.
-3. In a bucket the windows of its strings are sorted by their words and counted exactly. A bucket of more than
-   ``BUCKET`` strings (the edges of a passage found everywhere) is not gathered: its windows are rows of an ordinary
+3. In a bucket the windows of its strings are sorted by their words and counted exactly. A minimiser of more than
+   ``BUCKET`` places (the edges of a passage found everywhere) is not gathered: its windows are rows of an ordinary
    aggregation with partial sums.
 4. The repeated windows of each string go back to the documents that hold it, and covered words are cut.
 """
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from tradeloom.llm.common import map_rows, sorted_groups, step, table, text_hash
 
 WINDOW = 35  # consecutive words judged together
-M = 4  # words hashed to one minimiser candidate; WINDOW - M + 1 must be a power of two
-BUCKET = 2048  # distinct strings of a minimiser that one task sorts
+M = 6  # words hashed to one minimiser candidate
+BUCKET = 2048  # places of a minimiser, and so distinct strings, that one task sorts
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
 def spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -59,33 +59,35 @@ def minimisers(hashes: np.ndarray, window: int = WINDOW, m: int = M) -> tuple[np
     n = len(hashes) - m + 1
     value = np.zeros(n, dtype=np.uint64)
     for k in range(m):
-        value += hashes[k : k + n] * _MIX[k]
+        value = value * _MIX[0] + hashes[k : k + n]
     value ^= value >> np.uint64(29)
     value *= _MIX[1]
-    place, reach = np.arange(n), 1
-    while reach < window - m + 1:
-        later = value[reach:] < value[:-reach]
-        value = np.where(later, value[reach:], value[:-reach])
-        place = np.where(later, place[reach:], place[:-reach])
-        reach *= 2
+    value ^= value >> np.uint64(32)
+    place, reach, width = np.arange(n), 1, window - m + 1
+    while reach < width:
+        by = min(reach, width - reach)  # two stretches of ``reach`` candidates, overlapping at the last step
+        later = value[by:] < value[:-by]
+        value = np.where(later, value[by:], value[:-by])
+        place = np.where(later, place[by:], place[:-by])
+        reach += by
     return value, place
 
 
 def _scan(rows: list) -> Iterator[tuple]:
     for doc_id, key, text in rows:
         words = (text or b"").split()
-        found: list[int] = []
+        found: list[tuple[int, int]] = []
         if len(words) >= WINDOW:
             start, end = spans(text)
             value, place = minimisers(word_hashes(text, start, end))
             first = np.concatenate(([True], place[1:] != place[:-1]))
             kinds, times = np.unique(value[first], return_counts=True)
-            found = np.concatenate((kinds, kinds[times > 1])).view(np.int64).tolist()  # a second place is listed once more
+            found = list(zip(kinds.view(np.int64).tolist(), times.tolist()))
         yield doc_id, key, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), found
 
 
 def _cut_strings(rows: list) -> Iterator[tuple]:
-    """Super-k-mers of the minimisers in ``wanted``: (row key, first window, minimiser, packed words and their mark).
+    """Super-k-mers of the minimisers in ``wanted``: (row key, first window, minimiser, wide, packed words and their mark).
 
     The mark, a 128-bit digest, names the string on the way back to its documents; windows are compared by their words.
     """
@@ -94,11 +96,12 @@ def _cut_strings(rows: list) -> Iterator[tuple]:
         value, _ = minimisers(word_hashes(text, start, end))
         first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
         last = np.append(first[1:], len(value)) - 1
-        use = np.isin(value[first].view(np.int64), np.array(wanted, dtype=np.int64))
+        wide = {w["minimiser"]: w["wide"] for w in wanted}
+        use = np.isin(value[first].view(np.int64), np.array(list(wide), dtype=np.int64))
         words = text.split()
         for a, b, v in zip(first[use].tolist(), last[use].tolist(), value[first[use]].view(np.int64).tolist()):
             packed = b" ".join(words[a : b + WINDOW])
-            yield doc_id, key, a, v, packed, xxhash.xxh3_128_digest(packed)
+            yield doc_id, key, a, v, wide[v], packed, xxhash.xxh3_128_digest(packed)
 
 
 def repeated_windows(strings: list[bytes], times: list[int], window: int = WINDOW) -> list[list[int]]:
@@ -187,18 +190,17 @@ def repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     are treated as any other; other columns are ignored; an empty table gives no rows.
     """
     keyed = docs.select("doc_id", text_hash(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
-    scan = step(map_rows(keyed, _scan, "doc_id long, text_key long, n_words long, kept_sha256 string, minimisers array<long>"), "minimisers")
-    each = scan.select("doc_id", "text_key", F.explode("minimisers").alias("minimiser"))
-    twice = each.groupBy("minimiser").count().where("count > 1").select("minimiser")
-    wanted = each.join(twice, "minimiser", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("minimiser").alias("wanted"))
+    scan = step(map_rows(keyed, _scan, "doc_id long, text_key long, n_words long, kept_sha256 string, minimisers array<struct<minimiser: long, times: int>>"), "minimisers")
+    each = scan.select("doc_id", "text_key", F.inline("minimisers"))
+    twice = each.groupBy("minimiser").agg(F.sum("times").alias("places")).where("places > 1").select("minimiser", (F.col("places") > BUCKET).alias("wide"))
+    wanted = each.join(twice, "minimiser").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("minimiser", "wide")).alias("wanted"))
     chosen = wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "wanted")
     held = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "wanted")
-    pieces = step(map_rows(held, _cut_strings, "doc_id long, text_key long, first int, minimiser long, packed binary, mark binary"), "super-k-mers")
+    pieces = step(map_rows(held, _cut_strings, "doc_id long, text_key long, first int, minimiser long, wide boolean, packed binary, mark binary"), "super-k-mers")
 
-    strings = step(pieces.groupBy("minimiser", "packed", "mark").agg(F.count("*").alias("times")), "strings")
-    wide = strings.groupBy("minimiser").count().where(F.col("count") > BUCKET).select("minimiser")
-    narrow = strings.join(wide, "minimiser", "left_anti").repartition("minimiser").sortWithinPartitions("minimiser")
-    found = narrow.mapInArrow(_buckets, "minimiser long, mark binary, at array<int>").unionByName(_wide_buckets(strings.join(wide, "minimiser", "left_semi")))
+    strings = step(pieces.groupBy("minimiser", "wide", "packed", "mark").agg(F.count("*").alias("times")), "strings")
+    narrow = strings.where("not wide").select("minimiser", "packed", "mark", "times").repartition("minimiser").sortWithinPartitions("minimiser")
+    found = narrow.mapInArrow(_buckets, "minimiser long, mark binary, at array<int>").unionByName(_wide_buckets(strings.where("wide")))
     found = step(found, "repeated-windows")
     cut = pieces.select("doc_id", "text_key", "first", "minimiser", "mark").join(found, ["minimiser", "mark"])
     cut = cut.select("doc_id", "text_key", F.transform("at", lambda x: x + F.col("first")).alias("at"))
