@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from tradeloom import plans
 
 SF_DIR = f"{compare.ROOT}/{os.environ.get('ORACLE_SF', 'sf0.001')}"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = plans.QUERIES, plans.ORACLE
 # These need more rows than the smallest tables have; an empty result is right there.
 MAY_BE_EMPTY = {"T2_whole_windows", "T17_resample_checks", "A11b_walk_forward_gate"}
 
@@ -29,5 +30,9 @@ def test_entry_has_rows(spark):
     assert df.columns and df.count() > 0
 
 
+def test_entry_lists_every_query():
+    assert set(plans.QUERIES) <= set(entry.queries()) and set(plans.ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_only_models_lack_sql():
     assert {n.split("_")[0] for n in QUERIES if n not in ORACLE} <= {"C17", "C18", "C18b", "C19"}

@@ -21,6 +21,7 @@ from tradeloom.operators import neighbours as NN
 from tradeloom.operators import ranking as K
 from tradeloom.operators import resample as R
 from tradeloom.operators import sweep as W
+from tradeloom.operators.ordered import place_in
 
 
 def one(df, column):
@@ -252,3 +253,26 @@ def test_models_learn_a_step(spark):
     assert fit.r2 > 0.9
     assert ML.ridge_blend(df, ["x"], "t", F.col("fold") == 0, [0.0]).first().r2 > 0.999
     assert one(ML.importances(df, ["x"], "t", rounds=2), "importance") == [1.0]
+
+
+def test_scores_without_losses_are_null(spark):
+    row = dict(early_n=40, early_sharpe=1.0, early_avg_r=0.2, early_pf=None, early_wr=1.0, early_total_pnl=100.0, early_max_dd=10.0)
+    schema = ", ".join(f"{k} {'long' if k == 'early_n' else 'double'}" for k in row)
+    out = M.composites(spark.createDataFrame([tuple(row.values())], schema)).first()
+    assert out["C4_pf_log_n"] is None and out["C5_sharpe"] == 1.0
+
+
+def test_merged_moments_far_from_zero(spark):
+    values = [1e9 + k % 7 for k in range(700)]
+    df = spark.createDataFrame([("k", i % 5, v) for i, v in enumerate(values)], "k string, b int, x double")
+    out = M.merge_moments(M.partial_moments(df, ["k"], [F.col("b")], "x"), ["k"]).first()
+    mean = sum(values) / len(values)
+    want = (sum((v - mean) ** 2 for v in values) / (len(values) - 1)) ** 0.5
+    assert out["n"] == 700 and abs(out["std"] - want) < 1e-6
+
+
+def test_place_in_halves(spark):
+    edges = [1.0, 2.0, 2.0, 5.0, 9.0]
+    df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 2.0, 3.0, 9.0, 10.0)], "v double").withColumn("e", F.array(*[F.lit(x) for x in edges]))
+    rows = df.select("v", place_in(F.col("e"), F.col("v"), 100).alias("at")).collect()
+    assert {r["v"]: r["at"] for r in rows} == {r["v"]: sum(x < r["v"] for x in edges) for r in rows}

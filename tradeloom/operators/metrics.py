@@ -95,15 +95,17 @@ def partial_moments(df: DataFrame, keys: list[str], batch: list[Column], x: str)
 
 
 def merge_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Batch moments combined into the mean and sample deviation of the whole."""
-    n, total = F.sum("n"), F.sum(F.col("n") * F.col("mean"))
-    out = parts.groupBy(*keys).agg(
-        n.alias("n"), (total / n).alias("mean"), F.sum("m2").alias("_within"),
-        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_squares"),
+    """Batch moments combined into the mean and sample deviation of the whole.
+
+    The spread adds each batch's own to that of its mean around the whole mean, so a mean far from 0 cancels nothing.
+    """
+    whole = parts.groupBy(*keys).agg(F.sum("n").alias("_all"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    apart = F.col("mean") - F.col("_mean")
+    out = parts.join(whole, keys).groupBy(*keys).agg(
+        F.max("_all").alias("n"), F.max("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("_spread")
     )
-    spread = F.col("_within") + F.col("_squares") - F.col("n") * F.col("mean") * F.col("mean")
-    std = F.when(F.col("n") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / F.nullif(F.col("n") - 1, F.lit(0))))
-    return out.withColumn("std", std).drop("_within", "_squares")
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_spread") / F.nullif(F.col("n") - 1, F.lit(0))))
+    return out.withColumn("std", std).drop("_spread")
 
 
 def moments_from_sums(df: DataFrame, keys: list[str], x: str) -> DataFrame:
@@ -199,7 +201,7 @@ def early_late(
 
 
 def composites(df: DataFrame) -> DataFrame:
-    """Nine candidate scores from the early-slice aggregates."""
+    """Nine candidate scores from the early-slice aggregates; NULL where a part is, as the profit factor without losses."""
     c = lambda name: F.col(f"early_{name}")
     log_n, root_n, root_dd = F.log1p(c("n")), F.sqrt(c("n")), F.sqrt(c("max_dd"))
     return df.withColumns(
@@ -207,7 +209,7 @@ def composites(df: DataFrame) -> DataFrame:
             "C1_sharpe_log_n": c("sharpe") * log_n,
             "C2_avg_r_root_n": c("avg_r") * root_n,
             "C3_avg_r_n": c("avg_r") * c("n"),
-            "C4_pf_log_n": F.least(F.greatest(c("pf"), F.lit(0.0)), F.lit(10.0)) * log_n,
+            "C4_pf_log_n": F.when(c("pf").isNotNull(), F.least(F.greatest(c("pf"), F.lit(0.0)), F.lit(10.0)) * log_n),
             "C5_sharpe": c("sharpe"),
             "C6_avg_r": c("avg_r"),
             "C7_wr_edge_root_n": (c("wr") - 0.5) * root_n,

@@ -144,7 +144,14 @@ def equity_curve(
 
 def default_splits(df: DataFrame) -> int:
     """Value ranges for ``value_cdf``: they follow the shuffle width the cluster is set to."""
-    return max(16, min(1024, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def place_in(edges: Column, value: Column, most: int) -> Column:
+    """How many of at most ``most`` ascending ``edges`` are below ``value``, by halving steps."""
+    halves = F.array(*[F.lit(1 << k) for k in range(max(1, most).bit_length() - 1, -1, -1)])
+    beyond = lambda at, step: (at + step <= F.size(edges)) & (F.get(edges, at + step - 1) < value)
+    return F.aggregate(halves, F.lit(0), lambda at, step: F.when(beyond(at, step), at + step).otherwise(at))
 
 
 def value_cdf(
@@ -161,7 +168,7 @@ def value_cdf(
         marks = [i / splits for i in range(1, splits)] or [0.5]
         edges = counts.agg(F.percentile_approx(value, marks, 10 * splits).alias("edges")).scalar()
         counts = counts.withColumn("_edges", edges)
-        grid = F.size(F.filter("_edges", lambda e: e < F.col(value)))
+        grid = place_in(F.col("_edges"), F.col(value), splits)
     out = running(counts, keys, [value], [grid], sums={"_cum": F.col("_n")}, totals={"_total": F.col("_n")})
     return out.withColumn("_below", F.col("_cum") - F.col("_n")).drop("_cum", "_edges")
 

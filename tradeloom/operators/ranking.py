@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.functions.maths import hash_draw, hash_uniform, safe_div
 from tradeloom.operators.metrics import COST, TRAIN_YEARS, melt, sharpe
-from tradeloom.operators.ordered import average_rank, quantiles, with_position
+from tradeloom.operators.ordered import average_rank, default_splits, place_in, quantiles, with_position
 from tradeloom.session import materialise
 
 # Metric weights of the composite score.
@@ -50,10 +50,11 @@ def upper_bound_score(p10: Column, p50: Column, p90: Column, kappa: float = 1.0)
 
 def rank_of(df: DataFrame, key: str, score: str) -> DataFrame:
     """Rank and percentile of every row by descending score, ties by key."""
-    edges = quantiles(df, [], score, {f"e{i}": i / 16 for i in range(1, 16)})
-    rows = df.withColumn("_edges", edges.select(F.array(*edges.columns)).scalar())
-    bucket = F.size(F.filter("_edges", lambda e: e > F.col(score)))
-    rows = rows.withColumn("_down", -F.col(score))
+    splits = default_splits(df)
+    rows = df.withColumn("_down", -F.col(score))
+    edges = rows.agg(F.percentile_approx("_down", [i / splits for i in range(1, splits)], 10 * splits)).scalar()
+    rows = rows.withColumn("_edges", edges)
+    bucket = place_in(F.col("_edges"), F.col("_down"), splits)
     out = with_position(rows, [], ["_down", key], [bucket], "_pos", "_total")
     return out.withColumns({"rank": F.col("_pos") + 1, "percentile": 1.0 - F.col("_pos") / F.col("_total")}).drop(
         "_pos", "_total", "_edges", "_down"
@@ -129,7 +130,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: list[str], total: int, s
     """Seeded sample of each stratum's budget; positions are counted within ranges of the draw."""
     budgets = stratified_budgets(df, stratum, total, cap_share).select(stratum, "budget")
     rows = df.withColumn("_draw", hash_draw(seed, *[F.col(c) for c in key]))
-    rows = with_position(rows, [stratum], ["_draw", *key], [F.floor(F.col("_draw") / 2**26)], "_pos")
+    rows = with_position(rows, [stratum], ["_draw", *key], [F.floor(F.col("_draw") * default_splits(df) / 2**32)], "_pos")
     return rows.join(budgets, stratum).filter(F.col("_pos") < F.col("budget")).drop("_pos", "_draw", "budget")
 
 

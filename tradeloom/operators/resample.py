@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.maths import hash_draw, hash_uniform, safe_div
-from tradeloom.operators.ordered import equity_curve, quantiles, with_position
+from tradeloom.operators.ordered import default_splits, equity_curve, quantiles, with_position
 
 
 def bootstrap(df: DataFrame, keys: list[str], values: list[str], n_sims: int, seed: int, seq: str = "seq", count: str = "n") -> DataFrame:
@@ -98,7 +98,7 @@ def shuffle_column(df: DataFrame, row_id: list[str], column: str, seed: int) ->
     """``column`` rearranged over the whole table: the row at one position meets the value at the same
     position of a hashed order. Positions are counted within ranges of the hash."""
     rows = df.withColumn("_h", hash_draw(seed, *[F.col(c) for c in row_id]))
-    grid = lambda c: [F.floor(F.col(c) / 2**24)]
+    grid = lambda c: [F.floor(F.col(c) * default_splits(df) / 2**32)]
     taken = with_position(rows.select("_h", *row_id, column), [], ["_h", *row_id], grid("_h"), "_pos")
     other = rows.withColumn("_g", hash_draw(seed + 1, *[F.col(c) for c in row_id]))
     placed = with_position(other, [], ["_g", *row_id], grid("_g"), "_pos").drop("_h", "_g")

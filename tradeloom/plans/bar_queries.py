@@ -153,8 +153,10 @@ def t16(spark, d):
     return table(spark, d, "orders").select("o_orderkey", clock.weekday(F.col("o_orderdate")).alias("weekday"))
 
 
-@query("T17_resample_checks", sql(FOUR_HOURS + """SELECT symbol, count(*) AS n_windows, sum(volume) AS kept_volume,
-  sum(volume) AS source_volume, true AS conserved, true AS extremes_ok FROM four WHERE n_source = 4 GROUP BY 1""", BARS))
+@query("T17_resample_checks", sql(FOUR_HOURS + """, src AS (SELECT f.symbol, f.start, max(b.high) AS h, min(b.low) AS l, sum(b.volume) AS v
+  FROM four f JOIN bars b ON b.symbol = f.symbol AND b.time >= f.start AND b.time < f.start + INTERVAL '4 hours' WHERE n_source = 4 GROUP BY 1, 2)
+  SELECT symbol, count(*) AS n_windows, sum(volume) AS kept_volume, sum(v) AS source_volume, sum(volume) = sum(v) AS conserved,
+  bool_and(high = h AND low = l) AS extremes_ok FROM four JOIN src USING (symbol, start) GROUP BY 1""", BARS))
 def t17(spark, d):
     return B.resample_checks(raw_bars(spark, d), "4 hours", 4)
 

@@ -182,7 +182,7 @@ def a13(spark, d):
 
 SCORES = {
     "C1_sharpe_log_n": "early_sharpe * ln(1 + early_n)", "C2_avg_r_root_n": "early_avg_r * sqrt(early_n)", "C3_avg_r_n": "early_avg_r * early_n",
-    "C4_pf_log_n": "CASE WHEN early_pf IS NULL THEN 10 ELSE least(greatest(early_pf, 0), 10) END * ln(1 + early_n)",
+    "C4_pf_log_n": "CASE WHEN early_pf IS NOT NULL THEN least(greatest(early_pf, 0), 10) END * ln(1 + early_n)",
     "C5_sharpe": "early_sharpe", "C6_avg_r": "early_avg_r", "C7_wr_edge_root_n": "(early_wr - 0.5) * sqrt(early_n)",
     "C8_pnl_minus_dd": "early_total_pnl - early_max_dd", "C9_return_per_dd": "early_avg_r / nullif(sqrt(early_max_dd), 0)",
 }

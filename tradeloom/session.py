@@ -9,12 +9,9 @@ from pyspark.sql import SparkSession
 
 
 def tune_session(spark: SparkSession) -> SparkSession:
-    """Pin the session time zone and adaptive execution; size shuffles only on a local master."""
+    """Pin the session time zone, on which results depend; size shuffles only on a local master that has no size set."""
     conf = spark.conf
     conf.set("spark.sql.session.timeZone", "UTC")
-    conf.set("spark.sql.adaptive.enabled", "true")
-    conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     sc = spark.sparkContext
     if sc.master.startswith("local") and conf.get("spark.sql.shuffle.partitions") == "200":
         conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
