@@ -21,7 +21,7 @@ from tradeloom.llm.tokens import Encoder
 
 LENGTH, END = 2048, 1
 GRAIN = 16  # lengths are planned in classes of so many ids, 128 of them; a piece wastes 15 ids at most
-RANKED = 2000  # pieces of a class that one task ranks, about
+RANKED = 250  # pieces of a class that one task ranks, about
 GAP = 1e-3  # relative distance from the linear program's bound at which pricing ends
 
 

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 from tokenizers import Tokenizer
-from tokenizers.processors import ByteLevel
 
-MEMO = 250_000  # pieces remembered by a worker; then it starts anew
+MEMO = 500_000  # pieces remembered by a worker; then it starts anew
 LONGEST = 64  # characters of a piece worth remembering
-BLOB = 1 << 16  # characters encoded in one call
+TOGETHER = 4096  # pieces encoded in one call
 
 # letters, stops and single line breaks: every tokenizer of these families starts a token where one of them ends
 _FINE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,]+|\n(?!\n)")
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,]+")
 _BESIDE = re.compile(r" \s|\s ")  # a space beside another blank; a line break inside a piece is left to the tokenizer
 
+# byte-level vocabularies write each byte as a printable character: itself if it is one, else the next free one from 256 on
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to encoding the whole text at once.
@@ -23,14 +32,16 @@ class Encoder:
     A text is cut at single spaces between two non-blank characters, where no tokenizer of either family lets a token pass:
     ``lead`` says whether the space belongs to the token after it (byte-level) or is dropped (word-end). A text with any
     other blank next to a space is encoded whole. A new piece is cut further into words, stops and line breaks where it has
-    nothing else, so that words are shared by the pieces they stand in. New pieces are encoded many at a time, as one text with a separator that
-    the tokenizer always splits at, and told apart by the places of their tokens.
+    nothing else, so that words are shared by the pieces they stand in; these need no normalising or splitting but lower
+    case, and go to the tokenizer's model itself. Other new pieces are encoded many at a time, as one text with a separator
+    that is always a token of its own; pieces that hold the separator are encoded alone.
     """
 
     def __init__(self, path: str, lead: bool):
         self.tokenizer, self.lead, self.memo = Tokenizer.from_file(path), lead, {}
-        if lead:
-            self.tokenizer.post_processor = ByteLevel(trim_offsets=False)  # places of tokens keep their leading space
+        self.model = self.tokenizer.model.tokenize
+        self.gap = "\n" if lead else " | "
+        (self.gap_id,) = self.tokenizer.encode(self.gap, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str] | None:
         """None if the text has to be encoded whole."""
@@ -40,47 +51,48 @@ class Encoder:
         return [parts[0], *[" " + p for p in parts[1:]]] if self.lead else parts
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def word(self, piece: str) -> bytes:
+        """Ids of letters or stops, with their leading space if any."""
+        mapped = (piece if self.lead else piece.lower()).encode().decode("latin-1").translate(_BYTES)
+        return _packed([t.id for t in self.model(mapped)])
 
     def learn(self, pieces: list[str]) -> None:
         """Put the ids of ``pieces`` into the memo."""
-        part: list[str] = []
-        size = 0
-        for piece in [*pieces, None]:
-            if piece is not None and piece.isspace():
-                self.memo[piece] = self.whole(piece)
-                continue
-            if part and (piece is None or size + len(piece) > BLOB):
-                self._learn(part)
-                part, size = [], 0
-            if piece is not None:
-                part.append(piece)
-                size += len(piece) + 1
-
-    def _learn(self, pieces: list[str]) -> None:
-        gap = "\n" if self.lead else " "
-        joined = [p if self.lead and p[0] == " " else gap + p for p in pieces]
-        ends = np.cumsum([len(p) for p in joined])
-        starts = ends - [len(p) for p in pieces]
-        found = self.tokenizer.encode("".join(joined), add_special_tokens=False)
-        ids, at = np.array(found.ids, dtype="<u4"), np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-        first, last = np.searchsorted(at, starts).tolist(), np.searchsorted(at, ends).tolist()
-        for piece, a, b in zip(pieces, first, last):
-            self.memo[piece] = ids[a:b].tobytes()
+        mark = self.gap.strip(" ")
+        plain = []
+        word, simple, memo = self.word, _WORD.fullmatch, self.memo
+        for piece in pieces:
+            if simple(piece):
+                memo[piece] = word(piece)
+            elif mark in piece:
+                memo[piece] = self.whole(piece)
+            else:
+                plain.append(piece)
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(self.gap.join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.gap_id) * 4
+            if len(cuts) != len(some) - 1:
+                raise ValueError("the separator is not a token of its own")
+            data, starts = ids.tobytes(), [0, *(cuts + 4).tolist()]
+            self.memo.update(zip(some, [data[a:b] for a, b in zip(starts, [*cuts.tolist(), len(data)])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) if t else [] for t in texts]
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = list({p for pieces in cut if pieces for p in pieces if p not in memo})
-        parts = [_FINE.findall(p) for p in new]
-        parts = [f if len(f) > 1 and sum(map(len, f)) == len(p) else None for p, f in zip(new, parts)]
-        self.learn(list({x for p, f in zip(new, parts) for x in f or (p,) if x not in memo}))
-        for piece, fine in zip(new, parts):
-            if fine:
-                memo[piece] = b"".join([memo[x] for x in fine])
-        out = [self.whole(t) if pieces is None else b"".join([memo[p] for p in pieces]) for t, pieces in zip(texts, cut)]
+        new = list(set().union(*[p for p in cut if p]).difference(memo))
+        parts = [f if len(f) > 1 and len("".join(f)) == len(p) else None for p, f in zip(new, map(_FINE.findall, new))]
+        fine = set().union(*[f for f in parts if f]).union([p for p, f in zip(new, parts) if not f]).difference(memo)
+        self.learn(list(fine))
+        get = memo.__getitem__
+        for piece, f in zip(new, parts):
+            if f:
+                memo[piece] = b"".join(map(get, f))
+        out = [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
         for piece in new:
             if len(piece) > LONGEST or "\n" in piece:
                 del memo[piece]
