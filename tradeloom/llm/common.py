@@ -80,9 +80,3 @@ def text_hash(text: Column) -> Column:
     """Second half of a row's key; rows that share id and text are alike in every result."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
-
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One row per id. Only rows whose id occurs twice are shuffled whole."""
-    twice = docs.groupBy(F.col(doc_id).alias("_twice")).count().where("count > 1").select("_twice")
-    once = docs.join(twice, docs[doc_id].eqNullSafe(twice["_twice"]), "left_anti")
-    return once.unionByName(docs.join(twice, docs[doc_id].eqNullSafe(twice["_twice"]), "left_semi").dropDuplicates([doc_id]))

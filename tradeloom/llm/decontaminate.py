@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import table, text_hash
-from tradeloom.session import materialise
+from tradeloom.llm.common import step, table, text_hash
 
 SPAN = 12
 MASKS = ("110110011011", "101101110101")  # 1: the token counts, 0: it is ignored
@@ -57,13 +56,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     documents only adds rows to those documents; nothing is gathered by seed. Empty tables give no rows.
     """
     items = benchmark.select("item_id", _hashes(F.col("text")).alias("h")).dropDuplicates(["item_id", "h"]).withColumn("item_key", F.xxhash64("h")).where(F.size("h") >= SPAN)
-    items = materialise(items, "items")
+    items = step(items, "items")
     parts = seeds(items, "item_id", "item_key").withColumnRenamed("at", "item_at")
     small = parts.count() * 40 <= BROADCAST_BYTES
     keyed = docs.select("doc_id", text_hash(F.col("text")).alias("text_key"), "text")
     placed = seeds(keyed.select("doc_id", "text_key", _hashes(F.col("text")).alias("h")), "doc_id", "text_key")
     hits = placed.join(F.broadcast(parts) if small else parts, "seed").groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
-    hits = materialise(hits, "seed-hits")
+    hits = step(hits, "seed-hits")
     found = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "item_id", "item_key", "shifts")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     beside = keyed.join(found, same).select("doc_id", "text_key", _hashes(F.col("text")).alias("h"), "item_id", "item_key", "shifts")

@@ -28,6 +28,7 @@ from tradeloom.llm.common import map_rows, sorted_groups, step, table, text_hash
 WINDOW = 35  # consecutive words judged together
 M = 6  # words hashed to one minimiser candidate
 BUCKET = 2048  # places of a minimiser, and so distinct strings, that one task sorts
+SALTS = 32  # parts that the strings of a common window are dealt to
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -150,8 +151,9 @@ def _wide_buckets(strings: DataFrame) -> DataFrame:
     words = strings.select("minimiser", "mark", "times", F.split(F.col("packed").cast("string"), " ").alias("w"))
     at = F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("at")
     windows = words.select("minimiser", "mark", "times", "w", at).select("minimiser", "mark", "times", "at", F.array_join(F.slice("w", F.col("at") + 1, WINDOW), " ").alias("window"))
-    often = windows.groupBy("window").agg(F.sum("times").alias("total")).where("total > 1").select("window")
-    return windows.join(often, "window", "left_semi").groupBy("minimiser", "mark").agg(F.collect_list("at").alias("at"))
+    often = windows.groupBy("window").agg(F.sum("times").alias("total")).where("total > 1").select("window", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int"))  # one window may stand in most strings
+    return salted.join(often, ["window", "salt"], "left_semi").groupBy("minimiser", "mark").agg(F.collect_list("at").alias("at"))
 
 
 def covered(n: int, windows: list[int], window: int = WINDOW) -> np.ndarray:

@@ -20,9 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import map_rows, sorted_groups, table, without_repeats
+from tradeloom.llm.common import map_rows, sorted_groups, step, table
 from tradeloom.llm.graph import components
-from tradeloom.session import materialise
 
 SHINGLE, MOST, SEED = 4, 4, 42
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # (first bit, bits)
@@ -153,8 +152,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fingerprint; other columns are ignored; an empty table gives no rows.
     """
     prints = map_rows(docs.select("doc_id", F.col("text").cast("binary")), lambda rows: [(i, fingerprint(t)) for i, t in rows], "doc_id long, fp long")
-    prints = materialise(prints, "fingerprints")
-    codes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("fp_rows")), "codes")
+    prints = step(prints, "fingerprints")
+    codes = step(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("fp_rows")), "codes")
     roots = components(links(codes.select("fp")))
     rooted = codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", "first_id", "fp_rows", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -168,5 +167,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents whose id names their component, once each; groups without any id keep one row."""
-    chosen = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return without_repeats(docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_kept"]), "left_semi"))
+    named = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = named.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_kept"]))
+    columns = [docs[c] for c in docs.columns]
+    once, repeated = joined.where("_rows = 1").select(*columns), joined.where("_rows > 1").select(*columns)
+    return once.unionByName(repeated.dropDuplicates(["doc_id"]))

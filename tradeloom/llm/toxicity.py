@@ -254,20 +254,30 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model["terms"], model["weights"])
-        beta = model["beta"]
+        judge = _Judge(model)
         for batch in batches:
-            ids, out = batch.column(0), []
-            for value in batch.column(1):
-                x, n, cited = scorer.features(value.as_py())
-                out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(x, beta[:-1]) + beta[-1]))))) if beta else 0.0, n, cited))
+            out = [judge(value.as_py()) for value in batch.column(1)]
             if out:
                 s, n, cited = zip(*out)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(s, pa.float64()), pa.array(n, pa.int64()), pa.array(cited, pa.int64())], names=["doc_id", "score", "n_hits", "n_quoted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array(n, pa.int64()), pa.array(cited, pa.int64())], names=["doc_id", "score", "n_hits", "n_quoted"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, n_hits long, n_quoted long")
 
 
+class _Judge:
+    """(score, hits, quoted hits) of a text under a model."""
+
+    def __init__(self, model: dict):
+        self.scorer, self.beta = Scorer(model["terms"], model["weights"]), model["beta"]
+
+    def __call__(self, text: str | None) -> tuple[float, int, int]:
+        x, n, cited = self.scorer.features(text)
+        if not self.beta:
+            return 0.0, n, cited
+        z = sum(a * b for a, b in zip(x, self.beta)) + self.beta[-1]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), n, cited
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
@@ -275,11 +285,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the texts that score ``least`` or more; the model learns from ``labelled`` documents."""
-    toxic = score(docs.withColumn("doc_id", text_key(docs)), learn(labelled, labels)).where(F.col("score") >= least).select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic, text_key(docs) == F.col("_toxic"), "left_anti")
+    """``docs`` without the texts that score ``least`` or more; the model learns from ``labelled`` documents.
 
+    Rows pass with all their columns in the one scan that scores them.
+    """
+    model = learn(labelled, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _Judge(model)
+        for batch in batches:
+            yield batch.filter(pa.array([judge(value.as_py())[0] < least for value in batch.column("text")], pa.bool_()))
 
-def text_key(docs: DataFrame):
-    """A hash of the text: the score depends on nothing else, so copies leave together."""
-    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.mapInArrow(run, docs.schema)
