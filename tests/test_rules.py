@@ -276,3 +276,10 @@ def test_place_in_halves(spark):
     df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 2.0, 3.0, 9.0, 10.0)], "v double").withColumn("e", F.array(*[F.lit(x) for x in edges]))
     rows = df.select("v", place_in(F.col("e"), F.col("v"), 100).alias("at")).collect()
     assert {r["v"]: r["at"] for r in rows} == {r["v"]: sum(x < r["v"] for x in edges) for r in rows}
+
+
+def test_times_with_a_zone_are_refused(spark):
+    bars = spark.sql("SELECT TIMESTAMP_NTZ'2020-01-01 00:00:00' AS time")
+    assert B.check_contract(bars).first()["ok"]
+    with pytest.raises(TypeError):
+        B.check_contract(bars.withColumn("time", F.col("time").cast("timestamp_ltz")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType
 
 from tradeloom.functions.clock import epoch_seconds
 from tradeloom.operators.ordered import ROWS_PER_BLOCK, rolling, running, with_position
@@ -72,7 +73,9 @@ def drop_malformed(raw: DataFrame, time_format: str, prices: list[str]) -> DataF
 
 
 def check_contract(bars: DataFrame, first_year: int = 2005) -> DataFrame:
-    """One row: row count, first and last year, and whether the years are plausible."""
+    """One row: row count, first and last year, and whether the years are plausible. Times with a zone are refused."""
+    if not isinstance(bars.schema["time"].dataType, (TimestampNTZType, DateType)):
+        raise TypeError("bar times must be free of zones: cast them to timestamp_ntz first")
     last = F.year(F.max("time"))
     first = F.year(F.min("time"))
     return bars.agg(

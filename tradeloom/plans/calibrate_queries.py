@@ -80,29 +80,34 @@ def class_sql(src, key, least=100):
       FROM (SELECT *, {sql_rank('p', key)} AS rk FROM {src}) GROUP BY 1 HAVING count(*) >= {least})"""
 
 
-LEVELS = ", lv AS MATERIALIZED (SELECT combo_id, flag, seq, rr, pwin AS p, (mfe_pts >= rr * stop_pts / 5)::INT AS y FROM ordered_trades, (SELECT unnest([1.0, 1.5, 2.0])::DOUBLE AS rr))"
+def levels_sql(ratios):
+    return f", lv AS MATERIALIZED (SELECT combo_id, flag, seq, rr, pwin AS p, (mfe_pts >= rr * stop_pts / 5)::INT AS y FROM ordered_trades, (SELECT unnest({ratios})::DOUBLE AS rr))"
+
+
+STREAMED = [1.0, 1.5, 2.0]  # ratios of the queries that calibrate one stream after the other
+LEVELS, ALL_LEVELS = levels_sql(STREAMED), levels_sql(FE.RR_LEVELS)
 CLASS = ["brier", "log_loss", "mean_pred", "mean_y", "auc"]
 
 
-def leveled(spark, d):
-    t = ordered_trades(spark, d).withColumn("rr", F.explode(F.array(F.lit(1.0), F.lit(1.5), F.lit(2.0))))
+def leveled(spark, d, ratios=STREAMED):
+    t = ordered_trades(spark, d).withColumn("rr", F.explode(F.array(*[F.lit(x) for x in ratios])))
     won = (col("mfe_pts") >= col("rr") * col("stop_pts") / 5.0).cast("int")
     return t.select("combo_id", "flag", "seq", "rr", col("pwin").alias("p"), won.alias("y"))
 
 
-@query("C5_classification", sql(LEVELS + f"SELECT rr, c.n, {rounded(**{c: c for c in CLASS}, ece_20='e.ece')} FROM {class_sql('lv', 'rr')} c JOIN {ece_sql('lv', 'rr', 'p', 'y')} e USING (rr)", TRADES))
+@query("C5_classification", sql(ALL_LEVELS + f"SELECT rr, c.n, {rounded(**{c: c for c in CLASS}, ece_20='e.ece')} FROM {class_sql('lv', 'rr')} c JOIN {ece_sql('lv', 'rr', 'p', 'y')} e USING (rr)", TRADES))
 def c5(spark, d):
-    return picks(C.classification_metrics(leveled(spark, d), ["rr"], "p", "y"), ["rr", "n"], *CLASS, "ece_20")
+    return picks(C.classification_metrics(leveled(spark, d, FE.RR_LEVELS), ["rr"], "p", "y"), ["rr", "n"], *CLASS, "ece_20")
 
 
-@query("C5b_classification_overall", sql(LEVELS + f", al AS (SELECT 'all' AS k, * FROM lv) SELECT c.n, {rounded(**{c: c for c in CLASS}, ece_20='e.ece')} FROM {class_sql('al', 'k')} c JOIN {ece_sql('al', 'k', 'p', 'y')} e USING (k)", TRADES))
+@query("C5b_classification_overall", sql(ALL_LEVELS + f", al AS (SELECT 'all' AS k, * FROM lv) SELECT c.n, {rounded(**{c: c for c in CLASS}, ece_20='e.ece')} FROM {class_sql('al', 'k')} c JOIN {ece_sql('al', 'k', 'p', 'y')} e USING (k)", TRADES))
 def c5b(spark, d):
-    return picks(C.classification_metrics(leveled(spark, d), [], "p", "y"), ["n"], *CLASS, "ece_20")
+    return picks(C.classification_metrics(leveled(spark, d, FE.RR_LEVELS), [], "p", "y"), ["n"], *CLASS, "ece_20")
 
 
-@query("C6_degradation", sql(LEVELS + f", ref AS {class_sql(chr(40) + 'SELECT * FROM lv WHERE seq < 400' + chr(41), 'rr')}, now AS {class_sql(chr(40) + 'SELECT * FROM lv WHERE seq >= 400' + chr(41), 'rr')} SELECT rr, {rounded(brier_change='now.brier - ref.brier', auc_change='now.auc - ref.auc')} FROM now JOIN ref USING (rr)", TRADES))
+@query("C6_degradation", sql(ALL_LEVELS + f", ref AS {class_sql(chr(40) + 'SELECT * FROM lv WHERE seq < 400' + chr(41), 'rr')}, now AS {class_sql(chr(40) + 'SELECT * FROM lv WHERE seq >= 400' + chr(41), 'rr')} SELECT rr, {rounded(brier_change='now.brier - ref.brier', auc_change='now.auc - ref.auc')} FROM now JOIN ref USING (rr)", TRADES))
 def c6(spark, d):
-    t = leveled(spark, d)
+    t = leveled(spark, d, FE.RR_LEVELS)
     ref = C.classification_metrics(t.filter("seq < 400"), ["rr"], "p", "y").select("rr", col("brier").alias("b"), col("auc").alias("a"))
     now = C.classification_metrics(t.filter("seq >= 400"), ["rr"], "p", "y").join(ref, "rr")
     return now.select("rr", tidy(col("brier") - col("b")).alias("brier_change"), tidy(col("auc") - col("a")).alias("auc_change"))
@@ -126,9 +131,9 @@ def at_points(df, keys, fit):
     return points.select(*keys, tidy(col("p"), 9).alias("p"), tidy(C.interpolate(col("p"), col("x"), col("v"))).alias("value"))
 
 
-@query("C7_isotonic_per_level", sql(LEVELS + iso_sql("iso", "lv", "rr", 100) + f"SELECT rr, {r6('p', 9)} AS p, {r6('v')} AS value FROM iso", TRADES))
+@query("C7_isotonic_per_level", sql(ALL_LEVELS + iso_sql("iso", "lv", "rr", 100) + f"SELECT rr, {r6('p', 9)} AS p, {r6('v')} AS value FROM iso", TRADES))
 def c7(spark, d):
-    t = leveled(spark, d)
+    t = leveled(spark, d, FE.RR_LEVELS)
     return at_points(t, ["rr"], C.isotonic(t, ["rr"], "p", "y"))
 
 
