@@ -38,14 +38,17 @@ def seeds(hashed: DataFrame, *keys: str) -> DataFrame:
     return placed.select(*keys, "at", F.explode(F.array(*masked)).alias("seed"))
 
 
-def _agreement(doc: Column, item: Column, shift: Column) -> Column:
-    """Most agreeing tokens in a window of the aligned stretch, and the window's width, as a struct."""
-    low, high = F.greatest(F.lit(0), -shift), F.least(F.size(item), F.size(doc) - shift)
-    same = F.transform(F.sequence(low, high - 1), lambda j: (item[j] == doc[j + shift]).cast("int"))
+def _agreement(doc: Column, item: Column, low: Column) -> Column:
+    """Most agreeing tokens in a window of the aligned stretch ``doc``, which begins at place ``low`` of ``item``; one pass."""
     width = F.least(F.lit(WIDTH), F.size(item))
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    best = F.when(high - low >= width, F.array_max(F.transform(F.sequence(F.lit(1), high - low - width + 1), lambda a: total(F.slice(same, a, width)))))
-    return F.struct(F.coalesce(best, F.lit(0)).alias("agree"), width.alias("width"))
+    same = lambda j: (doc[j] == item[j + low]).cast("int")
+
+    def further(state: Column, j: Column) -> Column:
+        now = state["now"] + same(j) - F.when(j >= width, same(j - width)).otherwise(0)
+        return F.struct(now.alias("now"), F.when(j >= width - 1, F.greatest(state["best"], now)).otherwise(0).alias("best"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(doc) - 1), start, further, lambda state: state["best"])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -65,13 +68,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = step(hits, "seed-hits")
     found = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "item_id", "item_key", "shifts")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    beside = keyed.join(found, same).select("doc_id", "text_key", _hashes(F.col("text")).alias("h"), "item_id", "item_key", "shifts")
     known = items.select(F.col("item_id").alias("_item"), F.col("item_key").alias("_item_key"), F.col("h").alias("item"))
-    beside = beside.join(F.broadcast(known) if small else known, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_key") == F.col("_item_key")))
-    best = F.array_max(F.transform("shifts", lambda s: _agreement(F.col("h"), F.col("item"), s)))
-    checked = beside.select("doc_id", "text_key", "item_id", best.alias("best"))
-    right = checked.where(F.col("best.agree") >= F.ceil(F.col("best.width") * SHARE))
-    return right.groupBy("doc_id", "text_key", "item_id").agg(F.max("best.agree").cast("long").alias("agree"))
+    ours = F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_key") == F.col("_item_key"))
+    known = F.broadcast(known) if small else known
+    beside = keyed.join(found, same).select("doc_id", "text_key", _hashes(F.col("text")).alias("h"), "item_id", "item_key", "shifts")
+    # the stretch of the document beside the item, cut once and written, so that no later expression hashes the text again
+    lain = beside.select("doc_id", "text_key", "h", "item_id", "item_key", F.explode("shifts").alias("shift")).join(known, ours)
+    low = F.greatest(F.lit(0), -F.col("shift"))
+    high = F.least(F.size("item"), F.size("h") - F.col("shift"))
+    lain = step(lain.select("doc_id", "text_key", "item_id", "item_key", low.alias("low"), F.slice("h", low + F.col("shift") + 1, high - low).alias("part")), "aligned")
+    checked = lain.join(known, ours).select("doc_id", "text_key", "item_id", F.least(F.lit(WIDTH), F.size("item")).alias("width"), _agreement(F.col("part"), F.col("item"), F.col("low")).alias("agree"))
+    right = checked.where(F.col("agree") >= F.ceil(F.col("width") * SHARE))
+    return right.groupBy("doc_id", "text_key", "item_id").agg(F.max("agree").cast("long").alias("agree"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
