@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradeloom.llm.common import map_rows, step, table
-from tradeloom.llm.tokens import Encoder
+from tradeloom.llm.tokens import worker_encoder
 
 LENGTH, END = 2048, 1
 GRAIN = 16  # lengths are planned in classes of so many ids, 128 of them; a piece wastes 15 ids at most
@@ -133,13 +133,11 @@ def layout(chosen: list[tuple[np.ndarray, int]], classes: int) -> dict[int, tupl
 
 def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """Whole sequences and the remainder of each document, with the digest of their ids."""
-    state: dict = {}  # filled once per task
 
     def rows(part: list) -> Iterator[tuple]:
-        if not state:
-            state["encoder"] = Encoder(vocabulary, lead=True)
+        encoder = worker_encoder(vocabulary, lead=True)
         last = np.array([end], dtype="<u4").tobytes()
-        for (doc_id, _), ids in zip(part, state["encoder"].encode([t or "" for _, t in part])):
+        for (doc_id, _), ids in zip(part, encoder.encode([t or "" for _, t in part])):
             ids += last
             n = len(ids) // 4
             for at in range(0, n, length):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.llm.common import table
 from tradeloom.llm.packing import vocabulary_path
-from tradeloom.llm.tokens import Encoder
+from tradeloom.llm.tokens import worker_encoder
 from tradeloom.session import scratch_path
 
 END = 2
@@ -51,11 +51,18 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     selector, taken = np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64)
     undecided = np.ones(n, dtype=bool)
     for k, (count, bits) in enumerate(LAYOUT, 1):
-        wide = np.concatenate(([0], np.cumsum(ids >> np.uint64(bits) != 0)))
-        stop = np.minimum(place + count, block_end)
-        fits = undecided & (wide[stop] == wide[:-1])
-        selector[fits], taken[fits] = k, (stop - place)[fits]
-        undecided &= ~fits
+        small = np.flatnonzero(ids < np.uint64(1 << bits))
+        if not len(small):
+            continue
+        stop = np.minimum(small + count, block_end[small])
+        last = np.arange(len(small)) + (stop - small) - 1
+        inside = last < len(small)
+        fits = inside & (small[np.where(inside, last, 0)] == stop - 1) & undecided[small]  # the ids up to ``stop`` are all small
+        starts = small[fits]
+        selector[starts], taken[starts] = k, stop[fits] - starts
+        undecided[starts] = False
+        if len(small) == n:
+            break  # every id fits this width
     after, heads, at = (place + taken).tolist(), [], 0
     while at < n:
         heads.append(at)
@@ -64,14 +71,12 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     kind, size = selector[head], taken[head]
     width = np.where(kind == 0, 2, 1)  # an escape takes a second word
     slot = np.cumsum(width) - width
+    bits = np.array([0] + [b for _, b in LAYOUT], dtype=np.uint64)[kind]
+    inside = (place - np.repeat(head, size)).astype(np.uint64)
+    payload = np.bitwise_or.reduceat(ids << (inside * np.repeat(bits, size)), head)
     words = np.zeros(int(width.sum()), dtype="<u8")
-    words[slot] = kind.astype(np.uint64) << np.uint64(60)
-    for k, (count, bits) in enumerate(LAYOUT, 1):
-        of = np.flatnonzero(kind == k)
-        for j in range(count if len(of) else 0):
-            of = of[size[of] > j]
-            words[slot[of]] |= ids[head[of] + j] << np.uint64(j * bits)
-    words[slot[kind == 0] + 1] = ids[head[kind == 0]]
+    words[slot] = kind.astype(np.uint64) << np.uint64(60) | np.where(kind == 0, np.uint64(0), payload)
+    words[slot[kind == 0] + 1] = payload[kind == 0]
     return words, slot[head % block == 0].astype("<u4")
 
 
@@ -151,7 +156,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end: int = END, se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        encoder, last = Encoder(vocabulary, lead=False), np.array([end], dtype="<u4").tobytes()
+        encoder, last = worker_encoder(vocabulary, lead=False), np.array([end], dtype="<u4").tobytes()
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
         size = 0

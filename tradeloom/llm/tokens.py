@@ -6,6 +6,7 @@ import re
 import struct
 
 import numpy as np
+import tokenizers
 from tokenizers import Tokenizer
 
 MEMO = 500_000  # pieces remembered by a worker; then it starts anew
@@ -97,3 +98,11 @@ class Encoder:
             if len(piece) > LONGEST or "\n" in piece:
                 del memo[piece]
         return out
+
+
+def worker_encoder(path: str, lead: bool) -> Encoder:
+    """The encoder of this Python process, which serves many tasks: later tasks find the words of earlier ones known."""
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if (path, lead) not in kept:
+        kept[path, lead] = Encoder(path, lead)
+    return kept[path, lead]
