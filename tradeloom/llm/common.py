@@ -80,3 +80,16 @@ def text_hash(text: Column) -> Column:
     """Second half of a row's key; rows that share id and text are alike in every result."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
+
+def keep_smallest(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``rooted`` (doc_id, text_key, root): the smallest id, then the smallest text_key.
+
+    A row without an id stays only where no member has one. Rows alike in id and text are kept once.
+    """
+    rows = rooted.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("_rows"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "_rows")).alias("best"))
+    chosen = best.select(F.col("best.doc_id").alias("_kept"), F.col("best.text_key").alias("_key"), F.col("best._rows").alias("_rows"))
+    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_kept"]) & (text_hash(docs["text"]) == chosen["_key"]))
+    columns = [docs[c] for c in docs.columns]
+    once, repeated = joined.where("_rows = 1").select(*columns), joined.where("_rows > 1").select(*columns)
+    return once.unionByName(repeated.withColumn("_key", text_hash(F.col("text"))).dropDuplicates(["doc_id", "_key"]).drop("_key"))
