@@ -60,3 +60,12 @@ def test_near_copy_six_bits_apart_goes(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert len(_groups(texts)) == 1 and len({simhash.fingerprint(t.encode()) for t in texts}) == 3
     assert [r["doc_id"] for r in keep_smallest(docs, near_copies.near_copies(docs)).collect()] == [0]
+
+
+def test_survivors_by_component_not_by_id(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, b), (None, c), (7, c), (7, d), (7, d), (8, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted([(0, a), (0, b), (7, c), (7, d)])
+    for kept in (simhash.keep_one(docs), keep_smallest(docs, near_copies.near_copies(docs))):
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == want

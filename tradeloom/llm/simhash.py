@@ -17,10 +17,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import map_rows, sorted_groups, step, table
+from tradeloom.llm.common import keep_smallest, map_rows, sorted_groups, step, table, text_hash
 from tradeloom.llm.graph import components
 
 SHINGLE, MOST, SEED = 4, 4, 42
@@ -144,21 +144,24 @@ def links(codes: DataFrame) -> DataFrame:
     return units.mapInArrow(_unit_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, *key: Column) -> DataFrame:
     """Return one row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id, fp_rows.
 
+    With ``key``, a long named text_key, also text_key and root, the fingerprint that stands for the component.
+
     Texts without words (null, empty, blanks) have fingerprint zero and link like any other. A null id takes part but
     never names a component unless no member has an id, and then the component is null. Repeated rows are one
     fingerprint; other columns are ignored; an empty table gives no rows.
     """
-    prints = map_rows(docs.select("doc_id", F.col("text").cast("binary")), lambda rows: [(i, fingerprint(t)) for i, t in rows], "doc_id long, fp long")
+    extra = ["text_key"] if key else []
+    prints = map_rows(docs.select("doc_id", F.col("text").cast("binary"), *key), lambda rows: [(i, fingerprint(t), *k) for i, t, *k in rows], "doc_id long, fp long" + ", text_key long" * len(key))
     prints = step(prints, "fingerprints")
     codes = step(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("fp_rows")), "codes")
     roots = components(links(codes.select("fp")))
     rooted = codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", "first_id", "fp_rows", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id", "fp_rows")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp_rows")
+    classes = rooted.join(named, "root").select("fp", "component_id", "fp_rows", *(["root"] if key else []))
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp_rows", *extra, *(["root"] if key else []))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,10 +169,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose id names their component, once each; groups without any id keep one row."""
-    named = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = named.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_kept"]))
-    columns = [docs[c] for c in docs.columns]
-    once, repeated = joined.where("_rows = 1").select(*columns), joined.where("_rows > 1").select(*columns)
-    return once.unionByName(repeated.dropDuplicates(["doc_id"]))
+    """The first document of each component: the smallest id, then the smallest text hash; rows alike in both once."""
+    return keep_smallest(docs, near_duplicates(docs, text_hash(F.col("text")).alias("text_key")))
