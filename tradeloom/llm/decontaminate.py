@@ -1,22 +1,27 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-A spaced seed is a fixed mask over ``SPAN`` consecutive tokens that ignores some places, so a hit survives substitutions
-there. Every place of a benchmark item and of a document is hashed once per mask; equal hashes are hits. A hit fixes how an
-item lies along a document, and the tokens around it are then compared along that alignment: a document is contaminated
-where ``WIDTH`` aligned tokens (all tokens of a shorter item) agree in at least ``SHARE`` of the places.
+A spaced seed is a fixed mask over consecutive tokens that ignores some places, so a hit survives substitutions there.
+Every place of a benchmark item and of a document is hashed once per mask; equal hashes are hits. A hit fixes how an item
+lies along a document, and the tokens around it are then compared along that alignment: a document is contaminated where
+``WIDTH`` aligned tokens (all tokens of a shorter item) agree in at least ``SHARE`` of the places. The masks of a width hit
+every window that meets this rule, which a test enumerates; documents are hashed for the widths the benchmark has.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.llm.common import step, table, text_hash
 
-SPAN = 12
-MASKS = ("110110011011", "101101110101")  # 1: the token counts, 0: it is ignored
 WIDTH, SHARE = 13, 0.8
-BROADCAST_BYTES = 8 << 20  # seeds of the benchmark, at 40 bytes a row, are sent to every task up to this size; its items have fewer tokens than seeds and SPAN
+BROADCAST_BYTES = 8 << 20  # seeds of the benchmark, at 40 bytes a row, are sent to every task up to this size, and so are its items
+#: 1: the token counts, 0: it is ignored; every two misses in a window of this width leave one of its masks untouched somewhere
+MASKS = {13: ("11101111", "1111010011", "100100111011"), 12: ("111011", "11100101"), 11: ("1101011", "111001001"), 10: ("111011", "11010011", "11111")}
+SQL_SPAN, SQL_MASKS = 12, ("110110011011", "101101110101")  # seeds of the SQL, which find a part of the windows
 
 _TOKEN = r"[\p{L}\p{N}]+"
 
@@ -30,12 +35,23 @@ def _hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def seeds(hashed: DataFrame, *keys: str) -> DataFrame:
+def masks(width: int) -> tuple[str, ...]:
+    """Masks that hit every window of ``width`` tokens with as many misses as ``SHARE`` allows."""
+    if width in MASKS:
+        return MASKS[width]
+    if math.ceil(width * SHARE) == width:
+        return ("1" * width,)
+    return tuple("1" * k + "0" + "1" * (width - k - 1) for k in range(width))
+
+
+def seeds(hashed: DataFrame, shapes: list[str], *keys: str) -> DataFrame:
     """One row per place and mask of ``h`` (array of token hashes): keys, at (place), seed (hash of mask and tokens)."""
-    place = F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("at")
-    placed = hashed.where(F.size("h") >= SPAN).select(*keys, "h", place)
-    masked = [F.xxhash64(F.lit(k), *[F.col("h")[F.col("at") + i] for i, c in enumerate(mask) if c == "1"]) for k, mask in enumerate(MASKS)]
-    return placed.select(*keys, "at", F.explode(F.array(*masked)).alias("seed"))
+    least = min(map(len, shapes))
+    place = F.explode(F.sequence(F.lit(0), F.size("h") - least)).alias("at")
+    placed = hashed.where(F.size("h") >= least).select(*keys, "h", place)
+    masked = [F.xxhash64(F.lit(m), *[F.get("h", F.col("at") + i) for i, c in enumerate(m) if c == "1"]) for m in shapes]
+    masked = [s if len(m) == least else F.when(F.col("at") + len(m) <= F.size("h"), s) for m, s in zip(shapes, masked)]
+    return placed.select(*keys, "at", F.explode(F.array(*masked)).alias("seed")).where("seed IS NOT NULL")
 
 
 def _agreement(doc: Column, item: Column, low: Column) -> Column:
@@ -54,16 +70,19 @@ def _agreement(doc: Column, item: Column, low: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps, one row per (doc_id, text_key, item_id): agree, the most agreeing tokens in a window.
 
-    Items and documents under ``SPAN`` tokens have no seed and overlap nothing. Null texts have no tokens. Null ids are
+    An item of under ``WIDTH`` tokens is sought whole; one without tokens overlaps nothing. Null texts have no tokens. Null ids are
     kept as they are. Repeated documents give one row, repeated items each their own by id. A seed common to many
     documents only adds rows to those documents; nothing is gathered by seed. Empty tables give no rows.
     """
-    items = benchmark.select("item_id", _hashes(F.col("text")).alias("h")).dropDuplicates(["item_id", "h"]).withColumn("item_key", F.xxhash64("h")).where(F.size("h") >= SPAN)
+    items = benchmark.select("item_id", _hashes(F.col("text")).alias("h")).dropDuplicates(["item_id", "h"]).withColumn("item_key", F.xxhash64("h")).where(F.size("h") > 0)
     items = step(items, "items")
-    parts = seeds(items, "item_id", "item_key").withColumnRenamed("at", "item_at")
+    width = F.least(F.lit(WIDTH), F.size("h"))
+    widths = sorted(r[0] for r in items.select(width).distinct().collect()) or [WIDTH]
+    shapes = sorted({m for w in widths for m in masks(w)})
+    parts = reduce(DataFrame.unionByName, [seeds(items.where(width == w), list(masks(w)), "item_id", "item_key") for w in widths]).withColumnRenamed("at", "item_at")
     small = parts.count() * 40 <= BROADCAST_BYTES
     keyed = docs.select("doc_id", text_hash(F.col("text")).alias("text_key"), "text")
-    placed = seeds(keyed.select("doc_id", "text_key", _hashes(F.col("text")).alias("h")), "doc_id", "text_key")
+    placed = seeds(keyed.select("doc_id", "text_key", _hashes(F.col("text")).alias("h")), shapes, "doc_id", "text_key")
     hits = placed.join(F.broadcast(parts) if small else parts, "seed").groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
     hits = step(hits, "seed-hits")
     found = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "item_id", "item_key", "shifts")
@@ -96,14 +115,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _masked_sql(words: str, at: str) -> str:
-    return ", ".join(f"struct_pack(m := {k}, k := [{', '.join(f'{words}[{at} + {i + 1}]' for i, c in enumerate(mask) if c == '1')}])" for k, mask in enumerate(MASKS))
+    return ", ".join(f"struct_pack(m := {k}, k := [{', '.join(f'{words}[{at} + {i + 1}]' for i, c in enumerate(mask) if c == '1')}])" for k, mask in enumerate(SQL_MASKS))
 
 
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN}') AS w FROM benchmark),
-dp AS (SELECT row_no, w, unnest(range(0, len(w) - {SPAN - 1})) AS pos FROM d WHERE len(w) >= {SPAN}),
-bp AS (SELECT item_id, w, unnest(range(0, len(w) - {SPAN - 1})) AS pos FROM b WHERE len(w) >= {SPAN}),
+dp AS (SELECT row_no, w, unnest(range(0, len(w) - {SQL_SPAN - 1})) AS pos FROM d WHERE len(w) >= {SQL_SPAN}),
+bp AS (SELECT item_id, w, unnest(range(0, len(w) - {SQL_SPAN - 1})) AS pos FROM b WHERE len(w) >= {SQL_SPAN}),
 ds AS (SELECT row_no, pos, unnest([{_masked_sql("w", "pos")}]) AS seed FROM dp),
 bs AS (SELECT item_id, pos AS item_pos, unnest([{_masked_sql("w", "pos")}]) AS seed FROM bp),
 h AS (SELECT DISTINCT row_no, item_id, pos - item_pos AS shift FROM ds JOIN bs USING (seed)),
