@@ -52,7 +52,7 @@ def test_components_are_brute_force_jaccard(spark, monkeypatch):
     assert none.count() == 0 and keep_smallest(docs.where("1 = 0"), none).count() == 0
 
 
-def test_near_copy_six_bits_apart_goes(spark):
+def test_near_copies_beyond_four_bits_go(spark):
     chance = random.Random(8)
     words = [f"w{chance.randrange(10**6)}" for _ in range(240)]
     texts = [" ".join(words), " ".join(words[:100] + ["other"] + words[101:200] + ["word"] + words[201:])]
