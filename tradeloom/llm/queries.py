@@ -5,6 +5,7 @@ from __future__ import annotations
 from tradeloom.llm.chat import OP7_SQL, op7_chat
 from tradeloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from tradeloom.llm.language import op3_language
+from tradeloom.llm.main_text import op13_main_text
 from tradeloom.llm.packing import op4_packing
 from tradeloom.llm.quality import op2_quality
 from tradeloom.llm.repeats import OP10_SQL, op10_substring
@@ -13,5 +14,17 @@ from tradeloom.llm.simhash import op6_simhash
 from tradeloom.llm.token_file import op9_token_file
 from tradeloom.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_language": op3_language, "op4_packing": op4_packing, "op5_rules": op5_rules, "op6_simhash": op6_simhash, "op7_chat": op7_chat, "op8_decontamination": op8_decontamination, "op9_token_file": op9_token_file, "op10_substring": op10_substring}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
+    "op3_language": op3_language,
+    "op4_packing": op4_packing,
+    "op5_rules": op5_rules,
+    "op6_simhash": op6_simhash,
+    "op7_chat": op7_chat,
+    "op8_decontamination": op8_decontamination,
+    "op9_token_file": op9_token_file,
+    "op10_substring": op10_substring,
+    "op13_main_text": op13_main_text,
+}
 ORACLE: dict[str, str] = {"op5_rules": OP5_SQL, "op7_chat": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_substring": OP10_SQL}
