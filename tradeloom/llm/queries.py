@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tradeloom.llm.chat import OP7_SQL, op7_chat
 from tradeloom.llm.decontaminate import OP8_SQL, op8_decontamination
+from tradeloom.llm.divergence import OP11_SQL, op11_divergence
 from tradeloom.llm.language import op3_language
 from tradeloom.llm.main_text import op13_main_text
 from tradeloom.llm.packing import op4_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_file": op9_token_file,
     "op10_substring": op10_substring,
+    "op11_divergence": op11_divergence,
     "op13_main_text": op13_main_text,
 }
-ORACLE: dict[str, str] = {"op5_rules": OP5_SQL, "op7_chat": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_substring": OP10_SQL}
+ORACLE: dict[str, str] = {"op5_rules": OP5_SQL, "op7_chat": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_substring": OP10_SQL, "op11_divergence": OP11_SQL}
