@@ -14,6 +14,7 @@ from tradeloom.llm.rules import OP5_SQL, op5_rules
 from tradeloom.llm.simhash import op6_simhash
 from tradeloom.llm.token_file import op9_token_file
 from tradeloom.llm.toxicity import op1_toxicity
+from tradeloom.llm.variants import OP12_SQL, op12_variants
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_file": op9_token_file,
     "op10_substring": op10_substring,
     "op11_divergence": op11_divergence,
+    "op12_variants": op12_variants,
     "op13_main_text": op13_main_text,
 }
-ORACLE: dict[str, str] = {"op5_rules": OP5_SQL, "op7_chat": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_substring": OP10_SQL, "op11_divergence": OP11_SQL}
+ORACLE: dict[str, str] = {"op5_rules": OP5_SQL, "op7_chat": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_substring": OP10_SQL, "op11_divergence": OP11_SQL, "op12_variants": OP12_SQL}
