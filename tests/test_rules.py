@@ -184,19 +184,6 @@ def test_isotonic_matches_plain_pooling(spark, scored):
         assert all(np.diff(got[k][1]) >= 0)
 
 
-@pytest.mark.parametrize("window", [None, 130])
-def test_recalibration_matches_plain_refits(spark, scored, window):
-    got = C.recalibrate(spark.createDataFrame(scored), ["k"], "seq", "p", "y", 100, 60, "c", window).toPandas()
-    for k, g in got.groupby("k"):
-        g = g.sort_values("seq")
-        p, y, want = g.p.to_numpy(), g.y.to_numpy(), g.p.to_numpy().copy()
-        for a in range(100, len(g), 60):
-            lo = max(0, a - window) if window else 0
-            if len(set(y[lo:a])) == 2:
-                want[a : a + 60] = np.interp(p[a : a + 60], *pooled(list(p[lo:a]), list(y[lo:a])))
-        assert np.allclose(g.c, want)
-
-
 @pytest.mark.parametrize("dims,chunk", [(2, 2048), (2, 16), (20, 50)])
 def test_nearest_matches_brute_force(spark, monkeypatch, dims, chunk):
     monkeypatch.setattr(NN, "CHUNK_ROWS", chunk)

@@ -180,31 +180,6 @@ def apply_calibrators(df: DataFrame, own: DataFrame, own_keys: list[str], pooled
     return out.withColumn(name, value).drop("_x1", "_v1", "_x2", "_v2")
 
 
-def recalibrate(df: DataFrame, keys: list[str], seq: str, p: str, y: str, min_fit: int, refit: int, name: str, window: int | None = None) -> DataFrame:
-    """Refit every ``refit`` rows on the rows before (all, or the last ``window``) and apply to the next.
-
-    Rows before ``min_fit``, and stretches whose history has one class, keep the raw probability.
-    Histories are counted per distinct probability before they are handed on to the later refits.
-    """
-    at = F.col(seq)
-    sizes = df.groupBy(*keys).agg(F.floor((F.max(seq) - min_fit) / refit).alias("_last"))
-    first = F.greatest(F.lit(0).cast("bigint"), F.floor((at - min_fit) / refit) + 1)
-    until = F.floor((at + (window - min_fit)) / refit) if window else F.lit(None).cast("bigint")
-    cells = df.groupBy(*keys, p, first.alias("_first"), until.alias("_until")).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"))
-    cells = cells.join(sizes, keys).withColumn("_end", F.least("_last", F.coalesce("_until", "_last")))
-    cells = cells.filter(F.col("_first") <= F.col("_end")).withColumn("_fit", F.explode(F.sequence("_first", "_end")))
-    cells = cells.groupBy(*keys, "_fit", p).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
-    table = knots(_fit_counts(cells, [*keys, "_fit"], p), [*keys, "_fit"])
-    rows = df.withColumn("_fit", F.floor((at - min_fit) / refit))
-    out = rows.join(table, [*keys, "_fit"], "left")
-    return out.withColumn(name, F.coalesce(interpolate(F.col(p), F.col("x"), F.col("v")), F.col(p))).drop("_fit", "x", "v")
-
-
-def _fit_counts(cells: DataFrame, keys: list[str], p: str) -> DataFrame:
-    rate = F.col("_s") / F.col("_n")
-    return isotonic(cells.withColumn("_rate", rate), keys, p, "_rate", 1, F.col("_n").cast("double"))
-
-
 def fold_of(key: Column, folds: int, seed: str = "fold") -> Column:
     """Fold by key, so that a key is never split."""
     return (hash_draw(seed, key) % folds).cast("int")

@@ -9,6 +9,7 @@ from tradeloom.operators import calibrate as C
 from tradeloom.operators import features as FE
 from tradeloom.operators import learn as ML
 from tradeloom.operators import metrics as M
+from tradeloom.operators import recalibrate as RC
 from tradeloom.operators.ordered import union_all, with_position
 from tradeloom.plans import sqltext as S
 from tradeloom.plans.inputs import TRADES, ordered_trades, sql, trades
@@ -84,30 +85,30 @@ def levels_sql(ratios):
     return f", lv AS MATERIALIZED (SELECT combo_id, flag, seq, rr, pwin AS p, (mfe_pts >= rr * stop_pts / 5)::INT AS y FROM ordered_trades, (SELECT unnest({ratios})::DOUBLE AS rr))"
 
 
-STREAMED = [1.0, 1.5, 2.0]  # ratios of the queries that calibrate one stream after the other
-LEVELS, ALL_LEVELS = levels_sql(STREAMED), levels_sql(FE.RR_LEVELS)
+LEVELS = levels_sql(FE.RR_LEVELS)
+OWN_LEAST = 600 * len(FE.RR_LEVELS)  # a combo's own calibrator needs the levels of 600 trades
 CLASS = ["brier", "log_loss", "mean_pred", "mean_y", "auc"]
 
 
-def leveled(spark, d, ratios=STREAMED):
+def leveled(spark, d, ratios=FE.RR_LEVELS):
     t = ordered_trades(spark, d).withColumn("rr", F.explode(F.array(*[F.lit(x) for x in ratios])))
     won = (col("mfe_pts") >= col("rr") * col("stop_pts") / 5.0).cast("int")
     return t.select("combo_id", "flag", "seq", "rr", col("pwin").alias("p"), won.alias("y"))
 
 
-@query("C5_classification", sql(ALL_LEVELS + f"SELECT rr, c.n, {rounded(**{c: c for c in CLASS}, ece_20='e.ece')} FROM {class_sql('lv', 'rr')} c JOIN {ece_sql('lv', 'rr', 'p', 'y')} e USING (rr)", TRADES))
+@query("C5_classification", sql(LEVELS + f"SELECT rr, c.n, {rounded(**{c: c for c in CLASS}, ece_20='e.ece')} FROM {class_sql('lv', 'rr')} c JOIN {ece_sql('lv', 'rr', 'p', 'y')} e USING (rr)", TRADES))
 def c5(spark, d):
-    return picks(C.classification_metrics(leveled(spark, d, FE.RR_LEVELS), ["rr"], "p", "y"), ["rr", "n"], *CLASS, "ece_20")
+    return picks(C.classification_metrics(leveled(spark, d), ["rr"], "p", "y"), ["rr", "n"], *CLASS, "ece_20")
 
 
-@query("C5b_classification_overall", sql(ALL_LEVELS + f", al AS (SELECT 'all' AS k, * FROM lv) SELECT c.n, {rounded(**{c: c for c in CLASS}, ece_20='e.ece')} FROM {class_sql('al', 'k')} c JOIN {ece_sql('al', 'k', 'p', 'y')} e USING (k)", TRADES))
+@query("C5b_classification_overall", sql(LEVELS + f", al AS (SELECT 'all' AS k, * FROM lv) SELECT c.n, {rounded(**{c: c for c in CLASS}, ece_20='e.ece')} FROM {class_sql('al', 'k')} c JOIN {ece_sql('al', 'k', 'p', 'y')} e USING (k)", TRADES))
 def c5b(spark, d):
-    return picks(C.classification_metrics(leveled(spark, d, FE.RR_LEVELS), [], "p", "y"), ["n"], *CLASS, "ece_20")
+    return picks(C.classification_metrics(leveled(spark, d), [], "p", "y"), ["n"], *CLASS, "ece_20")
 
 
-@query("C6_degradation", sql(ALL_LEVELS + f", ref AS {class_sql(chr(40) + 'SELECT * FROM lv WHERE seq < 400' + chr(41), 'rr')}, now AS {class_sql(chr(40) + 'SELECT * FROM lv WHERE seq >= 400' + chr(41), 'rr')} SELECT rr, {rounded(brier_change='now.brier - ref.brier', auc_change='now.auc - ref.auc')} FROM now JOIN ref USING (rr)", TRADES))
+@query("C6_degradation", sql(LEVELS + f", ref AS {class_sql(chr(40) + 'SELECT * FROM lv WHERE seq < 400' + chr(41), 'rr')}, now AS {class_sql(chr(40) + 'SELECT * FROM lv WHERE seq >= 400' + chr(41), 'rr')} SELECT rr, {rounded(brier_change='now.brier - ref.brier', auc_change='now.auc - ref.auc')} FROM now JOIN ref USING (rr)", TRADES))
 def c6(spark, d):
-    t = leveled(spark, d, FE.RR_LEVELS)
+    t = leveled(spark, d)
     ref = C.classification_metrics(t.filter("seq < 400"), ["rr"], "p", "y").select("rr", col("brier").alias("b"), col("auc").alias("a"))
     now = C.classification_metrics(t.filter("seq >= 400"), ["rr"], "p", "y").join(ref, "rr")
     return now.select("rr", tidy(col("brier") - col("b")).alias("brier_change"), tidy(col("auc") - col("a")).alias("auc_change"))
@@ -131,23 +132,23 @@ def at_points(df, keys, fit):
     return points.select(*keys, tidy(col("p"), 9).alias("p"), tidy(C.interpolate(col("p"), col("x"), col("v"))).alias("value"))
 
 
-@query("C7_isotonic_per_level", sql(ALL_LEVELS + iso_sql("iso", "lv", "rr", 100) + f"SELECT rr, {r6('p', 9)} AS p, {r6('v')} AS value FROM iso", TRADES))
+@query("C7_isotonic_per_level", sql(LEVELS + iso_sql("iso", "lv", "rr", 100) + f"SELECT rr, {r6('p', 9)} AS p, {r6('v')} AS value FROM iso", TRADES))
 def c7(spark, d):
-    t = leveled(spark, d, FE.RR_LEVELS)
+    t = leveled(spark, d)
     return at_points(t, ["rr"], C.isotonic(t, ["rr"], "p", "y"))
 
 
-@query("C8_isotonic_per_combo", sql(LEVELS + iso_sql("iso", "lv", "combo_id", 1800) + f"SELECT combo_id, {r6('p', 9)} AS p, {r6('v')} AS value FROM iso", TRADES))
+@query("C8_isotonic_per_combo", sql(LEVELS + iso_sql("iso", "lv", "combo_id", OWN_LEAST) + f"SELECT combo_id, {r6('p', 9)} AS p, {r6('v')} AS value FROM iso", TRADES))
 def c8(spark, d):
     t = leveled(spark, d)
-    return at_points(t, ["combo_id"], C.isotonic(t, ["combo_id"], "p", "y", least=1800))
+    return at_points(t, ["combo_id"], C.isotonic(t, ["combo_id"], "p", "y", least=OWN_LEAST))
 
 
-@query("C9_applied_calibrators", sql(LEVELS + iso_sql("own", "lv", "combo_id", 1800) + iso_sql("pooled", "lv", "rr", 100) + f"""SELECT combo_id, rr, count(*) AS n, {rounded(mean_p='avg(lv.p)', mean_cal='avg(coalesce(own.v, pooled.v, lv.p))')}
+@query("C9_applied_calibrators", sql(LEVELS + iso_sql("own", "lv", "combo_id", OWN_LEAST) + iso_sql("pooled", "lv", "rr", 100) + f"""SELECT combo_id, rr, count(*) AS n, {rounded(mean_p='avg(lv.p)', mean_cal='avg(coalesce(own.v, pooled.v, lv.p))')}
   FROM lv LEFT JOIN own USING (combo_id, p) LEFT JOIN pooled USING (rr, p) GROUP BY 1, 2""", TRADES))
 def c9(spark, d):
     t = leveled(spark, d)
-    own, pooled = C.knots(C.isotonic(t, BY, "p", "y", 1800), BY), C.knots(C.isotonic(t, ["rr"], "p", "y"), ["rr"])
+    own, pooled = C.knots(C.isotonic(t, BY, "p", "y", OWN_LEAST), BY), C.knots(C.isotonic(t, ["rr"], "p", "y"), ["rr"])
     out = C.apply_calibrators(t, own, BY, pooled, ["rr"], "p", "p_cal")
     return out.groupBy("combo_id", "rr").agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("p")).alias("mean_p"), tidy(F.avg("p_cal")).alias("mean_cal"))
 
@@ -174,12 +175,12 @@ def recal_out(df, name="p_cal"):
 
 @query("C10_expanding_recalibration", sql(LEVELS + recal_sql("rc", "lv", "combo_id, rr", 200, 100) + RECAL_OUT, TRADES))
 def c10(spark, d):
-    return recal_out(C.recalibrate(leveled(spark, d), ["combo_id", "rr"], "seq", "p", "y", 200, 100, "p_cal"))
+    return recal_out(RC.recalibrate(leveled(spark, d), ["combo_id", "rr"], "seq", "p", "y", 200, 100, "p_cal"))
 
 
 @query("C11_rolling_recalibration", sql(LEVELS + recal_sql("rc", "lv", "combo_id, rr", 200, 100, 250) + RECAL_OUT, TRADES))
 def c11(spark, d):
-    return recal_out(C.recalibrate(leveled(spark, d), ["combo_id", "rr"], "seq", "p", "y", 200, 100, "p_cal", window=250))
+    return recal_out(RC.recalibrate(leveled(spark, d), ["combo_id", "rr"], "seq", "p", "y", 200, 100, "p_cal", window=250))
 
 
 @query("C12_early_late_metrics", sql(f", h AS (SELECT *, CASE WHEN seq < n_combo * 0.5 THEN 'early' ELSE 'late' END AS half FROM ordered_trades) SELECT half, e.n, {rounded(ece='e.ece', brier='b.brier')} FROM {ece_sql('h', 'half')} e JOIN (SELECT half, avg((pwin - outcome) * (pwin - outcome)) AS brier FROM h GROUP BY 1) b USING (half)", TRADES))
@@ -283,21 +284,47 @@ def c19(spark, d):
     return ML.ridge_blend(scores, ["C1_sharpe_log_n", "C4_pf_log_n", "C6_avg_r"], "late_avg_r", col("half") == 0, [0.01, 0.1, 1.0])
 
 
-GLOBAL = """, og AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY trade_date, order_no, line_no, part_no, notional, combo_id) - 1 AS gseq FROM trades),
-  lg AS MATERIALIZED (SELECT combo_id, gseq AS seq, rr, pwin AS p, (mfe_pts >= rr * stop_pts / 5)::INT AS y FROM og, (SELECT unnest([1.0, 1.5, 2.0])::DOUBLE AS rr))"""
+GLOBAL = f""", og AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY trade_date, order_no, line_no, part_no, notional, combo_id) - 1 AS gseq FROM trades),
+  lg AS MATERIALIZED (SELECT combo_id, gseq AS seq, rr, pwin AS p, (mfe_pts >= rr * stop_pts / 5)::INT AS y FROM og, (SELECT unnest({FE.RR_LEVELS})::DOUBLE AS rr))"""
+GLOBAL_FIT = 2000
+WINDOWS = {"rolling_20000_100": (100, 20000), "rolling_5000_500": (500, 5000), "expanding_100": (100, None), "expanding_500": (500, None)}
+GATE, TOLERANCE, NEAR = 0.05, 0.0005, 0.001
+
+
+def grid_recal_sql(name, src, keys, min_fit, refit, window=None):
+    """``recal_sql`` where min_fit and window are multiples of refit: stretches of refit rows are counted once and summed up."""
+    less = f"LEFT JOIN {name}_t o ON o.{keys} = a.{keys} AND o.p = t.p AND o.b = (a.anchor - {window}) // {refit} - 1" if window else "LEFT JOIN (SELECT NULL AS ck, NULL AS cy) o ON true"
+    return f""", {name}_a AS (SELECT {keys}, unnest(range({min_fit}, max(seq)::BIGINT + 1, {refit})) AS anchor FROM {src} GROUP BY {keys}),
+  {name}_g AS (SELECT {keys}, seq // {refit} AS b, p, count(*) AS k, sum(y) AS y FROM {src} GROUP BY ALL),
+  {name}_b AS (SELECT {keys}, unnest(range(0, max(seq)::BIGINT // {refit} + 1)) AS b FROM {src} GROUP BY {keys}),
+  {name}_t AS MATERIALIZED (SELECT {keys}, b, p, sum(coalesce(k, 0)) OVER w AS ck, sum(coalesce(y, 0)) OVER w AS cy
+    FROM {name}_b JOIN (SELECT DISTINCT {keys}, p FROM {src}) USING ({keys}) LEFT JOIN {name}_g USING ({keys}, b, p) WINDOW w AS (PARTITION BY {keys}, p ORDER BY b)),
+  {name}_h AS MATERIALIZED (SELECT a.{keys}, a.anchor, t.p, t.ck - coalesce(o.ck, 0) AS k, t.cy - coalesce(o.cy, 0) AS y
+    FROM {name}_a a JOIN {name}_t t ON t.{keys} = a.{keys} AND t.b = a.anchor // {refit} - 1 {less} WHERE t.ck > coalesce(o.ck, 0))
+  {iso_sql(name + '_f', name + '_h', keys + ', anchor', 1, 'sum(k)', 'sum(y)')},
+  {name} AS MATERIALIZED (SELECT s.*, coalesce(f.v, s.p) AS p_cal FROM (SELECT *, CASE WHEN seq >= {min_fit} THEN {min_fit} + ((seq - {min_fit}) // {refit}) * {refit} END AS anchor FROM {src}) s
+    LEFT JOIN {name}_f f USING ({keys}, anchor, p))"""
+
+
+VARIANTS = "".join(grid_recal_sql(f"v{i}", "lg", "rr", GLOBAL_FIT, refit, window) for i, (refit, window) in enumerate(WINDOWS.values()))
+STACKED = "SELECT 'raw' AS variant, p AS q, y FROM lg" + "".join(f" UNION ALL SELECT '{name}', p_cal, y FROM v{i}" for i, name in enumerate(WINDOWS))
 
 
-@query("C20_method_comparison", sql(GLOBAL + recal_sql("ex", "lg", "rr", 2000, 2000) + recal_sql("ro", "lg", "rr", 2000, 2000, 4000) + f""", v AS (SELECT 'raw' AS variant, p AS q, y FROM lg UNION ALL SELECT 'expanding', p_cal, y FROM ex UNION ALL SELECT 'rolling', p_cal, y FROM ro),
-  e AS MATERIALIZED (SELECT variant, n, ece FROM {ece_sql('v', 'variant', 'round(q, 12)', 'y')})
-  SELECT variant, n, {r6('ece')} AS ece, round(ece, 9) < 0.05 AS passes, CASE WHEN (SELECT round(ece, 9) FROM e WHERE variant = 'expanding') <= (SELECT round(ece, 9) FROM e WHERE variant = 'rolling') + 0.0005 THEN 'expanding' ELSE 'rolling' END AS pick FROM e""", TRADES))
+@query("C20_method_comparison", sql(GLOBAL + VARIANTS + f""", v AS ({STACKED}), e AS MATERIALIZED (SELECT variant, n, ece, round(ece, 9) AS e FROM {ece_sql('v', 'variant', 'round(q, 12)', 'y')}),
+  f AS (SELECT max(e) FILTER (WHERE variant = 'rolling_20000_100') AS rolling, max(e) FILTER (WHERE variant = 'expanding_100') AS expanding, min(e) FILTER (WHERE variant LIKE 'expanding%') AS best FROM e)
+  SELECT variant, n, {r6('ece')} AS ece, e < {GATE} AS passes, round(abs(best - rolling), 9) < {NEAR} AS expanding_matches, CASE WHEN round(expanding - rolling, 9) <= {TOLERANCE} THEN 'expanding_100' ELSE 'rolling_20000_100' END AS pick FROM e, f""", TRADES))
 def c20(spark, d):
+    """Raw probabilities against two rolling and two expanding recalibrations, one stream per ratio."""
     t = global_levels(spark, d)
-    full = {"expanding": C.recalibrate(t, ["rr"], "seq", "p", "y", 2000, 2000, "q"), "rolling": C.recalibrate(t, ["rr"], "seq", "p", "y", 2000, 2000, "q", window=4000)}
+    full = {name: RC.recalibrate(t, ["rr"], "seq", "p", "y", GLOBAL_FIT, refit, "q", window) for name, (refit, window) in WINDOWS.items()}
     long = union_all([t.select(F.lit("raw").alias("variant"), F.round("p", 12).alias("q"), "y"), *[v.select(F.lit(k).alias("variant"), F.round("q", 12).alias("q"), "y") for k, v in full.items()]])
     e = C.ece(long, ["variant"], "q", "y").withColumn("e", F.round("ece", 9))
-    facts = e.agg(F.struct(*[F.max(F.when(col("variant") == v, col("e"))).alias(v) for v in full])).scalar()
-    pick = F.when(col("f.expanding") <= col("f.rolling") + 0.0005, "expanding").otherwise("rolling")
-    return e.withColumn("f", facts).select("variant", "n", tidy(col("ece")).alias("ece"), (col("e") < 0.05).alias("passes"), pick.alias("pick"))
+    of = lambda v: F.max(F.when(col("variant") == v, col("e")))
+    facts = e.agg(F.struct(of("rolling_20000_100").alias("rolling"), of("expanding_100").alias("expanding"), F.min(F.when(col("variant").startswith("expanding"), col("e"))).alias("best"))).scalar()
+    out = e.withColumn("f", facts)
+    near = F.round(F.abs(col("f.best") - col("f.rolling")), 9) < NEAR
+    pick = F.when(F.round(col("f.expanding") - col("f.rolling"), 9) <= TOLERANCE, "expanding_100").otherwise("rolling_20000_100")
+    return out.select("variant", "n", tidy(col("ece")).alias("ece"), (col("e") < GATE).alias("passes"), near.alias("expanding_matches"), pick.alias("pick"))
 
 
 def global_levels(spark, d):
@@ -305,7 +332,7 @@ def global_levels(spark, d):
     t = trades(spark, d)
     order = ["trade_date", "order_no", "line_no", "part_no", "notional", "combo_id"]
     t = with_position(t, [], order, [F.year("trade_date") * 12 + F.month("trade_date"), F.floor(col("order_no") / 1_000_000)], "seq")
-    t = t.withColumn("rr", F.explode(F.array(F.lit(1.0), F.lit(1.5), F.lit(2.0))))
+    t = t.withColumn("rr", F.explode(F.array(*[F.lit(x) for x in FE.RR_LEVELS])))
     won = (col("mfe_pts") >= col("rr") * col("stop_pts") / 5.0).cast("int")
     return materialise(t.select("combo_id", "seq", "rr", col("pwin").alias("p"), won.alias("y")), "levels")
 
@@ -316,9 +343,9 @@ def global_levels(spark, d):
   m AS (SELECT rc.combo_id, rc.rr, rc.y, CASE WHEN n >= 590 AND rc.seq >= 200 THEN rc.p_cal ELSE pm.p_cal END AS p_cal FROM rc JOIN pm USING (combo_id, rr, seq) JOIN n USING (combo_id))
   SELECT combo_id, rr, count(*) AS n, {rounded(mean_cal='avg(p_cal)', brier='avg((p_cal - y) * (p_cal - y))')} FROM m GROUP BY 1, 2""", TRADES))
 def c21(spark, d):
-    pooled = C.recalibrate(global_levels(spark, d), ["rr"], "seq", "p", "y", 2000, 4000, "p_pooled")
+    pooled = RC.recalibrate(global_levels(spark, d), ["rr"], "seq", "p", "y", 2000, 4000, "p_pooled")
     streams = with_position(pooled, ["combo_id", "rr"], ["seq"], [F.floor(col("seq") / 1_000_000)], "own_seq", "n_own")
-    own = C.recalibrate(materialise(streams, "pooled"), ["combo_id", "rr"], "own_seq", "p", "y", 200, 200, "p_own")
+    own = RC.recalibrate(materialise(streams, "pooled"), ["combo_id", "rr"], "own_seq", "p", "y", 200, 200, "p_own")
     long_enough = (col("n_own") >= 590) & (col("own_seq") >= 200)
     return recal_out(own.withColumn("p_cal", F.when(long_enough, col("p_own")).otherwise(col("p_pooled"))))
 
