@@ -155,14 +155,17 @@ def place_in(edges: Column, value: Column, most: int) -> Column:
 
 
 def value_cdf(
-    df: DataFrame, keys: Sequence[str], value: str, grid: Column | None = None, splits: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, grid: Column | None = None, splits: int | None = None, weight: str | None = None
 ) -> DataFrame:
     """Distinct values per key with their count ``_n``, the rows ``_below`` them and the key's ``_total``.
 
+    ``weight`` counts a row so many times.
+
     Equal values are counted first, so ties cost one row. Blocks are value ranges: ``grid`` if given,
     else ``splits`` ranges of near-equal weight from a bounded quantile sketch.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("_n"))
     if grid is None:
         splits = splits or default_splits(df)
         marks = [i / splits for i in range(1, splits)] or [0.5]
@@ -180,9 +183,10 @@ def quantiles(
     probs: dict[str, float],
     grid: Column | None = None,
     splits: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, whatever the size of a key."""
-    cdf = value_cdf(df, keys, value, grid, splits)
+    cdf = value_cdf(df, keys, value, grid, splits, weight)
     aggs, final = [], []
     for name, q in probs.items():
         h = (F.col("_total") - 1) * F.lit(float(q))

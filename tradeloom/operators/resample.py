@@ -1,23 +1,45 @@
-"""Bootstrap and permutation statistics with hashed, reproducible draws."""
+"""Bootstrap and permutation statistics with hashed, reproducible draws.
+
+A draw is a function of (seed, simulation, slot), so no drawn row need exist as a row. Simulations are dealt to tasks in
+chunks; a task gets the values of each key in order of position, draws whole slots at once and carries a small state per
+simulation over stretches of slots: sum, moments, equity, its peak and the worst fall so far. Rows out are one per
+simulation (or position, or bin), whatever the number of draws. Keys of more than ``HELD`` rows, whose values a task would
+not hold, are drawn by an equi-join instead, with the same result.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tradeloom.functions.maths import hash_draw, hash_uniform, safe_div
 from tradeloom.operators.ordered import default_splits, equity_curve, quantiles, with_position
 
+CHUNK = 64  # simulations a task follows together
+STRETCH = 1 << 14  # slots drawn at once
+HELD = 1 << 22  # most rows of a key whose values a task holds
+KEPT = 1 << 18  # slots whose draws are kept for the next key
+
 
-def bootstrap(df: DataFrame, keys: list[str], values: list[str], n_sims: int, seed: int, seq: str = "seq", count: str = "n") -> DataFrame:
+def bootstrap(df: DataFrame, keys: list[str], values: list[str], n_sims: int, seed: int, seq: str = "seq", count: str = "n", source: bool = False) -> DataFrame:
     """(keys, sim, seq, values): every simulation redraws each position from the key's rows.
 
     Positions are exploded over the simulations and meet their drawn row by an equi-join on
-    (keys, position), which spreads evenly however large a key is.
+    (keys, position), which spreads evenly however large a key is. ``source`` gives the drawn positions as ``_from`` alone.
     """
     sims = F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))
     asks = df.select(*keys, F.col(seq).alias("_to"), F.col(count).alias("_n"), sims.alias("sim"))
     asks = asks.withColumn(seq, hash_draw(seed, F.col("sim"), F.col("_to")) % F.col("_n"))
+    if source:
+        return asks.select(*keys, "sim", F.col("_to").alias("_slot"), F.col(seq).alias("_from"))
     drawn = asks.join(df.select(*keys, seq, *values), [*keys, seq])
     return drawn.select(*keys, "sim", F.col("_to").alias(seq), *values)
 
@@ -58,10 +80,166 @@ def across_sims(paths: DataFrame, keys: list[str], column: str, probs: dict[str,
     return out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
 
 
-def tail_risk(df: DataFrame, keys: list[str], pnl: str, share: float = 0.05) -> DataFrame:
-    """Quantile of the results and the mean at or below it."""
-    cut = quantiles(df, keys, pnl, {"var": share})
-    tail = F.avg(F.when(F.col(pnl) <= F.col("var"), F.col(pnl)))
+# ---------------------------------------------------------------- draws inside the tasks
+
+
+class _Draws:
+    """32-bit draws of a chunk of simulations, the same for every key; the first ``KEPT`` slots are computed once."""
+
+    def __init__(self, seed: int, sims: range):
+        self.heads = [md5(f"{seed}|{sim}|".encode()) for sim in sims]
+        self.kept = np.zeros((len(sims), 0), np.uint32)
+
+    def _fresh(self, lo: int, hi: int) -> np.ndarray:
+        tails = [str(slot).encode() for slot in range(lo, hi)]
+        out = np.empty((len(self.heads), hi - lo), np.uint32)
+        for row, head in zip(out, self.heads):
+            taken = bytearray()
+            for tail in tails:
+                h = head.copy()
+                h.update(tail)
+                taken += h.digest()[:4]
+            row[:] = np.frombuffer(taken, ">u4")
+        return out
+
+    def get(self, lo: int, hi: int) -> np.ndarray:
+        if hi > KEPT:
+            return self._fresh(lo, hi)
+        if hi > self.kept.shape[1]:
+            self.kept = np.concatenate((self.kept, self._fresh(self.kept.shape[1], hi)), axis=1)
+        return self.kept[:, lo:hi]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str], values: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """Whole groups of a partition sorted by ``by``: its key and its values as arrays."""
+    key, parts = None, []
+
+    def whole() -> dict[str, np.ndarray]:
+        return {v: np.concatenate([p[v] for p in parts]) for v in values}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_pylist() for c in by]
+        arrays = {v: batch.column(v).to_numpy(zero_copy_only=False) for v in values}
+        at = 0
+        for row, now in enumerate(zip(*columns)):
+            if now != key:
+                if row > at:
+                    parts.append({v: a[at:row] for v, a in arrays.items()})
+                if key is not None and parts:
+                    yield key, whole()
+                key, parts, at = now, [], row
+        parts.append({v: a[at:] for v, a in arrays.items()})
+    if key is not None:
+        yield key, whole()
+
+
+def _follow(batches: Iterator[pa.RecordBatch], by: list[str], values: list[str], n_sims: int, seed: int, work: Callable, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    chunk, draws = None, None
+    for key, held in _groups(batches, by, values):
+        sims = range(key[0] * CHUNK, min((key[0] + 1) * CHUNK, n_sims))
+        if key[0] != chunk:
+            chunk, draws = key[0], _Draws(seed, sims)
+        n = len(next(iter(held.values())))
+        slots = ((lo, min(lo + STRETCH, n)) for lo in range(0, n, STRETCH))
+        columns = work(np.array(sims), n, held, (draws.get(lo, hi) for lo, hi in slots))
+        size = len(columns[0])
+        heads = [pa.array([k] * size, f.type) for k, f in zip(key[1:], out)]
+        rest = [pa.array(c, f.type) for c, f in zip(columns, list(out)[len(heads) :])]
+        yield pa.RecordBatch.from_arrays([*heads, *rest], schema=out)
+
+
+def _in_tasks(df: DataFrame, keys: list[str], values: dict[str, Column], n_sims: int, seed: int, work: Callable, result: str, seq: str) -> DataFrame:
+    """``work(sims, n, values, draws)`` per key and chunk of simulations; ``draws`` yields a matrix per stretch of slots."""
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((n_sims - 1) // CHUNK)))
+    rows = df.select(chunks.alias("_chunk"), *keys, seq, *[c.cast("double").alias(v) for v, c in values.items()])
+    rows = rows.repartition("_chunk").sortWithinPartitions("_chunk", *keys, seq).drop(seq)
+    schema = T.StructType([*[df.schema[k] for k in keys], *T.StructType.fromDDL(result)])
+    run = partial(_follow, by=["_chunk", *keys], values=list(values), n_sims=n_sims, seed=seed, work=work, out=to_arrow_schema(schema))
+    return rows.mapInArrow(run, schema)
+
+
+class _Moments:
+    """Count, mean and squared deviations per simulation, merged stretch by stretch."""
+
+    def __init__(self, sims: int):
+        self.n, self.mean, self.m2 = 0, np.zeros(sims), np.zeros(sims)
+
+    def add(self, x: np.ndarray) -> None:
+        n, mean = x.shape[1], x.mean(axis=1)
+        gap, both = mean - self.mean, self.n + n
+        self.m2 += ((x - mean[:, None]) ** 2).sum(axis=1) + gap**2 * (self.n * n / both)
+        self.mean += gap * (n / both)
+        self.n = both
+
+    def ratio(self) -> np.ndarray:
+        sd = np.sqrt(self.m2 / max(1, self.n - 1)) if self.n > 1 else np.zeros_like(self.m2)
+        return np.divide(self.mean, sd, out=np.zeros_like(sd), where=sd > 0)
+
+
+def _paths(sims: np.ndarray, n: int, held: dict, draws: Iterator[np.ndarray], start: float, share: float) -> list:
+    equity, peak = np.full(len(sims), start), np.full(len(sims), start)
+    fall, pct, wins, growth = (np.zeros(len(sims)) for _ in range(4))
+    flat, logs = _Moments(len(sims)), _Moments(len(sims))
+    grow = np.log1p(np.maximum(held["r"] * share, -0.999999))
+    for raw in draws:
+        at = raw % np.uint32(n) if n < 1 << 32 else raw
+        x = held["pnl"][at]
+        flat.add(x)
+        logs.add(grow[at])
+        growth += grow[at].sum(axis=1)
+        wins += (x > 0).sum(axis=1)
+        curve = equity[:, None] + np.cumsum(x, axis=1)
+        high = np.maximum(np.maximum.accumulate(curve, axis=1), peak[:, None])
+        fall = np.maximum(fall, (high - curve).max(axis=1))
+        pct = np.maximum(pct, np.divide(high - curve, high, out=np.zeros_like(high), where=high != 0).max(axis=1))
+        equity, peak = curve[:, -1], high[:, -1]
+    return [sims, np.full(len(sims), n), equity - start, wins / n, flat.ratio(), fall, pct * 100.0, start * np.exp(growth), logs.ratio()]
+
+
+def simulated_paths(
+    df: DataFrame, keys: list[str], pnl: str, r: str, n_sims: int, seed: int, start: float, share: float = 0.05, years: float | None = None, seq: str = "seq", count: str = "n", held: int = HELD
+) -> DataFrame:
+    """One row per key and simulation: n, total, win_rate, sharpe, dd_dollars, dd_pct of the redrawn path with fixed sizes,
+    final_equity and log_sharpe of the same draws when a fixed share of the equity is risked.
+
+    ``seq`` counts a key's rows from 0 and ``count`` is their number. Ratios of a path without spread are 0; with ``years``
+    they are annualised. A peak of 0 counts as no fall.
+    """
+    values = {"pnl": F.col(pnl), "r": F.col(r)}
+    result = "sim bigint, n bigint, total double, win_rate double, sharpe double, dd_dollars double, dd_pct double, final_equity double, log_sharpe double"
+    small = _in_tasks(df.filter(F.col(count) <= held), keys, values, n_sims, seed, partial(_paths, start=start, share=share), result, seq)
+    by = [*keys, "sim"]
+    rows = bootstrap(df.filter(F.col(count) > held), keys, [pnl, r], n_sims, seed, seq, count)
+    large = path_summary(rows, keys, pnl, start).join(compounded_paths(rows, keys, r, share, start).withColumnRenamed("sharpe", "log_sharpe"), by)
+    out = small.unionByName(large.select(*small.columns))
+    scale = F.sqrt(F.col("n") / F.lit(years)) if years else F.lit(1.0)
+    return out.withColumns({c: F.col(c) * scale for c in ("sharpe", "log_sharpe")})
+
+
+def _times(sims: np.ndarray, n: int, held: dict, draws: Iterator[np.ndarray]) -> list:
+    times = np.zeros(n, np.int64)
+    for raw in draws:
+        times += np.bincount((raw % np.uint32(n)).ravel(), minlength=n)
+    at = np.flatnonzero(times)
+    return [at, times[at]]
+
+
+def draw_counts(df: DataFrame, keys: list[str], n_sims: int, seed: int, seq: str = "seq", count: str = "n", held: int = HELD) -> DataFrame:
+    """(keys, seq, times): how often each position is drawn over all simulations, enough for statistics without order."""
+    small = _in_tasks(df.filter(F.col(count) <= held), keys, {"_v": F.lit(0.0)}, n_sims, seed, _times, f"{seq} bigint, times bigint", seq)
+    large = bootstrap(df.filter(F.col(count) > held), keys, [], n_sims, seed, seq, count, source=True)
+    large = large.groupBy(*keys, "_from").agg(F.count(F.lit(1)).alias("times")).withColumnRenamed("_from", seq)
+    return small.unionByName(large).groupBy(*keys, seq).agg(F.sum("times").alias("times"))
+
+
+def tail_risk(df: DataFrame, keys: list[str], pnl: str, share: float = 0.05, weight: str | None = None) -> DataFrame:
+    """Quantile of the results and the mean at or below it; ``weight`` counts a row several times."""
+    cut = quantiles(df, keys, pnl, {"var": share}, weight=weight)
+    n = F.col(weight) if weight else F.lit(1)
+    below = F.col(pnl) <= F.col("var")
+    tail = F.sum(F.when(below, F.col(pnl) * n)) / F.sum(F.when(below, n))
     return df.join(cut, keys).groupBy(*keys).agg(F.max("var").alias("var"), tail.alias("cvar"))
 
 
@@ -71,12 +249,20 @@ def ruin_share(paths: DataFrame, keys: list[str], threshold: float, start: float
     return paths.groupBy(*keys).agg(F.avg(hit.cast("int")).alias("ruin_prob"))
 
 
-def win_rate_test(df: DataFrame, keys: list[str], rr: Column, n_sims: int, seed: int, seq: str = "seq") -> DataFrame:
+def _wins(sims: np.ndarray, n: int, held: dict, draws: Iterator[np.ndarray]) -> list:
+    rate = held["rate"][0]
+    return [sims, sum((raw / 4294967296.0 < rate).sum(axis=1) for raw in draws)]
+
+
+def win_rate_test(df: DataFrame, keys: list[str], rr: Column, n_sims: int, seed: int, seq: str = "seq", count: str = "n", held: int = HELD) -> DataFrame:
     """Observed wins against draws at the break-even rate 1 / (1 + mean planned ratio)."""
     facts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_trades"), F.sum("win").alias("observed_wins"), (1.0 / (F.avg(rr) + 1.0)).alias("break_even"))
-    draws = df.select(*keys, seq, F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim")).join(facts, keys)
+    rows = df.select(*keys, seq, count).join(facts.select(*keys, "break_even"), keys)
+    small = _in_tasks(rows.filter(F.col(count) <= held), keys, {"rate": F.col("break_even")}, n_sims, seed, _wins, "sim bigint, wins bigint", seq)
+    draws = rows.filter(F.col(count) > held).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
     won = (hash_uniform(seed, F.col("sim"), F.col(seq)) < F.col("break_even")).cast("int")
-    sims = draws.groupBy(*keys, "sim").agg(F.sum(won).alias("wins"))
+    large = draws.groupBy(*keys, F.col("sim").cast("bigint").alias("sim")).agg(F.sum(won).alias("wins"))
+    sims = small.unionByName(large)
     null = sims.join(facts, keys).groupBy(*keys).agg(
         F.max("n_trades").alias("n_trades"), F.max("observed_wins").alias("observed_wins"), F.max("break_even").alias("break_even"),
         F.avg(F.col("wins") / F.col("n_trades")).alias("null_mean"),
@@ -85,6 +271,32 @@ def win_rate_test(df: DataFrame, keys: list[str], rr: Column, n_sims: int, seed:
     return null.withColumn("significant_05", F.col("p_value") < 0.05)
 
 
+def _bins(sims: np.ndarray, n: int, held: dict, draws: Iterator[np.ndarray], bins: int) -> list:
+    size = len(sims) * bins
+    place = np.minimum(np.floor(held["p"] * bins), bins - 1).astype(np.int64)
+    count, p, y = np.zeros(size), np.zeros(size), np.zeros(size)
+    for raw in draws:
+        at = raw % np.uint32(n)
+        cell = (place[at] + np.arange(len(sims))[:, None] * bins).ravel()
+        count += np.bincount(cell, minlength=size)
+        p += np.bincount(cell, held["p"][at].ravel(), size)
+        y += np.bincount(cell, held["y"][at].ravel(), size)
+    safe = np.where(count > 0, count, 1.0)
+    gap = np.where(count > 0, np.abs(p / safe - y / safe) * count, 0.0)
+    return [sims, gap.reshape(len(sims), bins).sum(axis=1) / n]
+
+
+def bootstrap_ece(df: DataFrame, keys: list[str], p: str, y: str, n_sims: int, seed: int, bins: int = 20, seq: str = "seq", count: str = "n", held: int = HELD) -> DataFrame:
+    """(keys, sim, ece): calibration error over equal-width bins of every redrawn set of rows."""
+    from tradeloom.operators.calibrate import ece
+
+    values = {"p": F.col(p), "y": F.col(y)}
+    small = _in_tasks(df.filter(F.col(count) <= held), keys, values, n_sims, seed, partial(_bins, bins=bins), "sim bigint, ece double", seq)
+    rows = bootstrap(df.filter(F.col(count) > held), keys, [p, y], n_sims, seed, seq, count)
+    large = ece(rows, [*keys, "sim"], p, y, bins).select(*keys, F.col("sim").cast("bigint").alias("sim"), "ece")
+    return small.unionByName(large)
+
+
 def permute_in_blocks(df: DataFrame, keys: list[str], block: str, order: str, column: str, seed: int) -> DataFrame:
     """``column`` rearranged within blocks of a few rows; adds ``<column>_permuted``."""
     by = [*keys, block]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradeloom.functions.maths import tidy
-from tradeloom.operators import calibrate as C
 from tradeloom.operators import resample as B
 from tradeloom.operators.ordered import with_position
 from tradeloom.plans import sqltext as S
@@ -16,7 +15,7 @@ from tradeloom.plans.trade_queries import FLAT, fixed_hold_trades
 from tradeloom.session import materialise
 
 col, r6 = F.col, S.r6
-SIMS, SEED, START, YEARS = 100, 42, 1500.0, 0.08
+SIMS, ECE_SIMS, SEED, START, YEARS = 10_000, 1000, 42, 1500.0, 0.08
 KEY = ["symbol"]
 
 
@@ -26,12 +25,8 @@ def stream(spark, d):
     return materialise(with_position(t, KEY, ["bar_idx"], [F.floor(col("bar_idx") / 4096)], "seq", "n"), "stream")
 
 
-def draws(spark, d):
-    return B.bootstrap(stream(spark, d), KEY, ["pnl", "r"], SIMS, SEED)
-
-
 def paths(spark, d):
-    return B.path_summary(draws(spark, d), KEY, "pnl", START, YEARS)
+    return B.simulated_paths(stream(spark, d), KEY, "pnl", "r", SIMS, SEED, START, 0.05, YEARS)
 
 
 STREAM = FLAT + """, st AS MATERIALIZED (SELECT symbol, pts * 2 AS pnl, pts / 50 AS r, (pts > 0)::INT AS win, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) - 1 AS seq,
@@ -47,9 +42,7 @@ LOG_GROWTH = "ln(1 + greatest(r * 0.05, -0.999999))"
 
 @query("B1_bootstrap_paths", sql(BOOT + f", lg AS (SELECT symbol, sim, {START} * exp(sum({LOG_GROWTH})) AS fe FROM bs GROUP BY 1, 2) SELECT symbol, sim, n, {rounded(total='total', final_compounded='fe')} FROM pa JOIN lg USING (symbol, sim)", BARS))
 def b1(spark, d):
-    sims = draws(spark, d)
-    out = B.path_summary(sims, KEY, "pnl", START).join(B.compounded_paths(sims, KEY, "r", 0.05, START), ["symbol", "sim"])
-    return out.select("symbol", "sim", "n", tidy(col("total")).alias("total"), tidy(col("final_equity")).alias("final_compounded"))
+    return paths(spark, d).select("symbol", "sim", "n", tidy(col("total")).alias("total"), tidy(col("final_equity")).alias("final_compounded"))
 
 
 QS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "worst": 1.0}
@@ -57,7 +50,7 @@ QS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "worst": 1.0}
 
 @query("B2_drawdown_quantiles", sql(BOOT + "SELECT symbol, " + rounded(**{f"pct_{k}": f"quantile_cont(dd_pct, {v})" for k, v in QS.items()}, **{f"usd_{k}": f"quantile_cont(dd_dollars, {v})" for k, v in QS.items()}) + " FROM pa GROUP BY 1", BARS))
 def b2(spark, d):
-    p = paths(spark, d)
+    p = materialise(paths(spark, d), "paths")
     out = B.across_sims(p, KEY, "dd_pct", {f"pct_{k}": v for k, v in QS.items()}).join(B.across_sims(p, KEY, "dd_dollars", {f"usd_{k}": v for k, v in QS.items()}), KEY)
     return picks(out, KEY, *[f"{t}_{k}" for t in ("pct", "usd") for k in QS])
 
@@ -70,13 +63,14 @@ def tail_sql(src):
 def b3(spark, d):
     s = stream(spark, d).withColumn("pnl", F.round("pnl", 9))
     seen = B.tail_risk(s, KEY, "pnl").withColumnsRenamed({"var": "var_observed", "cvar": "cvar_observed"})
-    drawn = B.tail_risk(B.bootstrap(s, KEY, ["pnl"], SIMS, SEED), KEY, "pnl").withColumnsRenamed({"var": "var_bootstrap", "cvar": "cvar_bootstrap"})
+    times = s.join(B.draw_counts(s, KEY, SIMS, SEED), [*KEY, "seq"])
+    drawn = B.tail_risk(times, KEY, "pnl", weight="times").withColumnsRenamed({"var": "var_bootstrap", "cvar": "cvar_bootstrap"})
     return picks(seen.join(drawn, KEY), KEY, "var_observed", "cvar_observed", "var_bootstrap", "cvar_bootstrap")
 
 
 @query("B4_risk_of_ruin", sql(BOOT + f"SELECT symbol, {rounded(from_peak='avg((round(coalesce(dd_pct, 0), 9) >= 50)::INT)', from_start=f'avg((round(dd_dollars, 9) >= {START / 2})::INT)')} FROM pa GROUP BY 1", BARS))
 def b4(spark, d):
-    p = paths(spark, d).withColumns({"dd_pct": F.round("dd_pct", 9), "dd_dollars": F.round("dd_dollars", 9)})
+    p = materialise(paths(spark, d), "paths").withColumns({"dd_pct": F.round("dd_pct", 9), "dd_dollars": F.round("dd_dollars", 9)})
     peak, start = B.ruin_share(p, KEY, 0.5, START), B.ruin_share(p, KEY, 0.5, START, from_start=True)
     return picks(peak.withColumnRenamed("ruin_prob", "from_peak").join(start.withColumnRenamed("ruin_prob", "from_start"), KEY), KEY, "from_peak", "from_start")
 
@@ -84,17 +78,16 @@ def b4(spark, d):
 @query("B5_bootstrap_sharpe", sql(BOOT + f""", lg AS (SELECT symbol, sim, {SHARPE.format(x=LOG_GROWTH)} * sqrt(count(*) / {YEARS}) AS ls FROM bs GROUP BY 1, 2)
   SELECT symbol, {rounded(p50='median(sharpe)', low='quantile_cont(sharpe, 0.025)', high='quantile_cont(sharpe, 0.975)', positive='avg((sharpe > 0)::INT)', log_p50='median(ls)')} FROM pa JOIN lg USING (symbol, sim) GROUP BY 1""", BARS))
 def b5(spark, d):
-    sims = draws(spark, d)
-    p = B.path_summary(sims, KEY, "pnl", START, YEARS)
+    p = materialise(paths(spark, d), "paths")
     out = B.across_sims(p, KEY, "sharpe", {"p50": 0.5, "low": 0.025, "high": 0.975})
     out = out.join(p.groupBy(*KEY).agg(F.avg((col("sharpe") > 0).cast("int")).alias("positive")), KEY)
-    out = out.join(B.across_sims(B.compounded_paths(sims, KEY, "r", 0.05, START, YEARS), KEY, "sharpe", {"log_p50": 0.5}), KEY)
+    out = out.join(B.across_sims(p, KEY, "log_sharpe", {"log_p50": 0.5}), KEY)
     return picks(out, KEY, "p50", "low", "high", "positive", "log_p50")
 
 
 @query("B6_win_rate_interval", sql(BOOT + f"SELECT symbol, {rounded(mean='avg(win_rate)', low='quantile_cont(win_rate, 0.025)', high='quantile_cont(win_rate, 0.975)')} FROM pa GROUP BY 1", BARS))
 def b6(spark, d):
-    p = paths(spark, d)
+    p = materialise(paths(spark, d), "paths")
     out = B.across_sims(p, KEY, "win_rate", {"low": 0.025, "high": 0.975}).join(p.groupBy(*KEY).agg(F.avg("win_rate").alias("mean")), KEY)
     return picks(out, KEY, "mean", "low", "high")
 
@@ -126,13 +119,13 @@ def b9(spark, d):
     return B.shuffle_column(o, ["o_orderkey"], "o_totalprice", 5).select("o_orderkey", col("o_totalprice_shuffled").alias("shuffled"))
 
 
-@query("B10_bootstrap_ece", sql(f""", ask AS (SELECT combo_id, sim, ('0x' || substr(md5('7|' || sim || '|' || seq), 1, 8))::BIGINT % n_combo AS seq FROM ordered_trades, (SELECT unnest(range(20)) AS sim)),
+@query("B10_bootstrap_ece", sql(f""", ask AS (SELECT combo_id, sim, ('0x' || substr(md5('7|' || sim || '|' || seq), 1, 8))::BIGINT % n_combo AS seq FROM ordered_trades, (SELECT unnest(range({ECE_SIMS})) AS sim)),
   g AS (SELECT combo_id, sim, least(floor(pwin * 20), 19) AS bin, count(*) AS n, avg(pwin) AS p, avg(outcome) AS y FROM ask JOIN ordered_trades USING (combo_id, seq) GROUP BY 1, 2, 3),
   e AS (SELECT combo_id, sim, round(sum(n * abs(p - y)) / sum(n), 9) AS ece FROM g GROUP BY 1, 2)
   SELECT combo_id, {rounded(low='quantile_cont(ece, 0.025)', p50='median(ece)', high='quantile_cont(ece, 0.975)', below_gate='avg((ece < 0.27)::INT)')} FROM e GROUP BY 1""", TRADES))
 def b10(spark, d):
     t = ordered_trades(spark, d)
-    sims = B.bootstrap(t, BY, ["pwin", "outcome"], 20, 7, count="n_combo")
-    e = C.ece(sims, ["combo_id", "sim"], "pwin", "outcome").withColumn("ece", F.round("ece", 9))
+    sims = B.bootstrap_ece(t, BY, "pwin", "outcome", ECE_SIMS, 7, count="n_combo")
+    e = materialise(sims.withColumn("ece", F.round("ece", 9)), "errors")
     out = B.across_sims(e, BY, "ece", {"low": 0.025, "p50": 0.5, "high": 0.975}).join(e.groupBy(*BY).agg(F.avg((col("ece") < 0.27).cast("int")).alias("below_gate")), BY)
     return picks(out, BY, "low", "p50", "high", "below_gate")
