@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeloom.functions.maths import safe_div
 from tradeloom.operators.calendar import day_spine
 from tradeloom.operators.ordered import ROWS_PER_BLOCK, running
+from tradeloom.session import materialise
+
+TILE, TILE_DAYS = 256, 4096  # members and days of a correlation task
 
 
 def month_block(day: str) -> list[Column]:
@@ -57,42 +62,53 @@ def align_benchmark(days: DataFrame, quotes: DataFrame, start: float) -> DataFra
     return asked.withColumn("scaled", F.col("close") / F.nullif(first, F.lit(0.0)) * start)
 
 
-def correlation_matrix(df: DataFrame, key: str, day: str, pnl: str, largest: int = 2000) -> DataFrame:
-    """Pearson correlation of daily sums between all members of a pool; a missing day counts 0.
-
-    The result has a row per pair, so the pool must be small. Each task reduces its days to one
-    square of cross products; only these squares are shuffled.
+def _cross_products(key: tuple, rows: pa.Table) -> pa.Table:
+    """Partial sums of products for all pairs of one cell, the upper half where both tiles are one."""
+    i, j, _ = (k.as_py() for k in key)
+    member = rows["member"].combine_chunks().dictionary_encode()
+    names, at = member.dictionary, member.indices.to_numpy()
+    side = np.zeros(len(names), dtype=np.int64)
+    side[at] = rows["side"].to_numpy()
+    day = rows["day"].combine_chunks().dictionary_encode()
+    seen = day.indices.is_valid().to_numpy(zero_copy_only=False)
+    grid = np.zeros((len(names), max(1, len(day.dictionary))))
+    grid[at[seen], day.indices.fill_null(0).to_numpy()[seen]] = rows["p"].to_numpy()[seen]
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == (i != j))
+    xy = grid[first] @ grid[second].T
+    rank = np.empty(len(names), dtype=np.int64)  # the same order of a pair in every stretch
+    rank[pa.compute.sort_indices(names).to_numpy()] = np.arange(len(names))
+    keep = rank[first][:, None] <= rank[second][None, :] if i == j else np.ones(xy.shape, dtype=bool)
+    a, b = np.nonzero(keep)
+    return pa.table([names.take(pa.array(first[a])), names.take(pa.array(second[b])), pa.array(xy[keep])], names=["member_a", "member_b", "xy"])
+
+
+def correlation_matrix(df: DataFrame, key: str, day: str, pnl: str, tile: int = TILE, days: int = TILE_DAYS) -> DataFrame:
+    """Pearson correlation of daily sums between all members of a pool; a missing day counts 0, a member without spread gives 0.
+
+    Members are dealt to tiles and days to stretches. A task owns a pair of tiles and a stretch and multiplies two small
+    matrices; partial products add up over the stretches. Only pairs of tiles i <= j are computed, the other half mirrored,
+    and no task or driver sees all members. The result has a row per ordered pair. Rows without a member or day are left out,
+    a missing result counts 0.
     """
-    members = [r[0] for r in df.select(key).distinct().limit(largest + 1).collect()]
-    if len(members) > largest:
-        raise ValueError(f"more than {largest} members: select a pool first")
-    members = sorted(members)
-    at = {m: i for i, m in enumerate(members)}
-    daily = df.groupBy(day, key).agg(F.sum(pnl).alias("_p"))
-    rows = daily.groupBy(day).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("_p").alias("p"))).alias("v"))
-    n = len(members)
-
-    def squares(batches):
-        cross, sums, days = np.zeros((n, n)), np.zeros(n), 0
-        for batch in batches:
-            for cells in batch["v"]:
-                line = np.zeros(n)
-                for c in cells:
-                    line[at[c["k"]]] = c["p"]
-                cross += np.outer(line, line)
-                sums += line
-                days += 1
-        i, j = np.divmod(np.arange(n * n), n)
-        if days:
-            yield pd.DataFrame({"i": i, "j": j, "xy": cross.ravel(), "x": sums[i], "y": sums[j], "days": days})
-
-    parts = rows.select("v").mapInPandas(squares, "i bigint, j bigint, xy double, x double, y double, days bigint")
-    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "x", "y", "days")])
-    cov = F.col("xy") / F.col("days") - F.col("x") / F.col("days") * F.col("y") / F.col("days")
-    total = total.withColumn("cov", cov)
-    diag = total.filter(F.col("i") == F.col("j")).select("i", F.col("cov").alias("var"))
-    out = total.join(F.broadcast(diag.withColumnRenamed("var", "vi")), "i")
-    out = out.join(F.broadcast(diag.select(F.col("i").alias("j"), F.col("var").alias("vj"))), "j")
-    names = F.array(*[F.lit(m) for m in members])
-    corr = F.when((F.col("vi") > 1e-12) & (F.col("vj") > 1e-12), safe_div(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj")))).otherwise(0.0)
-    return out.select(names[F.col("i")].alias("member_a"), names[F.col("j")].alias("member_b"), corr.alias("corr"), F.col("days").alias("n_days"))
+    rows = df.filter(F.col(key).isNotNull() & F.col(day).isNotNull())
+    daily = materialise(rows.groupBy(F.col(key).alias("member"), F.col(day).alias("day")).agg(F.sum(F.coalesce(F.col(pnl).cast("double"), F.lit(0.0))).alias("p")), "daily")
+    members = daily.groupBy("member").agg(F.sum("p").alias("x"), F.sum(F.col("p") * F.col("p")).alias("xx"))
+    size, n_days = daily.agg(F.count_distinct("member"), F.count_distinct("day")).first()
+    tiles, stretches = -(-size // tile) or 1, -(-n_days // days) or 1
+    home = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    cells = daily.select("member", "day", "p", home("day", stretches).alias("stretch"))
+    every = members.select("member", F.lit(None).cast(daily.schema["day"].dataType).alias("day"), F.lit(0.0).alias("p"), F.lit(0).alias("stretch"))  # all pairs exist
+    placed = cells.unionByName(every).withColumn("t", home("member", tiles)).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = placed.select(F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "stretch", "member", "day", "p", (F.col("t") > F.col("other")).cast("int").alias("side"))
+    kind = T.StructType([T.StructField(c, daily.schema["member"].dataType) for c in ("member_a", "member_b")] + [T.StructField("xy", T.DoubleType())])
+    parts = dealt.groupBy("i", "j", "stretch").applyInArrow(_cross_products, kind)
+    total = parts.groupBy("member_a", "member_b").agg(F.sum("xy").alias("xy"))
+    n = F.lit(float(max(1, n_days)))
+    spread = members.select("member", (F.col("x") / n).alias("mean"), (F.col("xx") / n - (F.col("x") / n) * (F.col("x") / n)).alias("var"))
+    for side in ("a", "b"):
+        total = total.join(spread.withColumnsRenamed({"member": f"member_{side}", "mean": f"mean_{side}", "var": f"var_{side}"}), f"member_{side}")
+    cov = F.col("xy") / n - F.col("mean_a") * F.col("mean_b")
+    flat = (F.col("var_a") <= 1e-12) | (F.col("var_b") <= 1e-12)
+    upper = total.select("member_a", "member_b", F.when(flat, 0.0).otherwise(safe_div(cov, F.sqrt(F.col("var_a") * F.col("var_b")))).alias("corr"), F.lit(n_days).alias("n_days"))
+    lower = upper.filter(~F.col("member_a").eqNullSafe(F.col("member_b"))).select(F.col("member_b").alias("member_a"), F.col("member_a").alias("member_b"), "corr", "n_days")
+    return upper.unionByName(lower)
