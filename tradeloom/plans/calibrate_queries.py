@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tradeloom.functions.maths import tidy, wilson
 from tradeloom.operators import calibrate as C
 from tradeloom.operators import features as FE
+from tradeloom.operators import folds as FO
 from tradeloom.operators import learn as ML
 from tradeloom.operators import metrics as M
 from tradeloom.operators import recalibrate as RC
@@ -233,9 +234,22 @@ def c14b(spark, d):
     return year_fold_rows(spark, d, 3)
 
 
-@query("C15_grouped_folds", sql("SELECT (('0x' || substr(md5('fold|' || combo_id), 1, 8))::BIGINT % 5)::INT AS fold, count(*) AS n, count(DISTINCT combo_id) AS n_combos FROM trades GROUP BY 1", TRADES))
+FOLDS = 5
+DEALT = f""", fc AS (SELECT combo_id, count(*) AS n, sum(outcome)::BIGINT AS pos FROM trades GROUP BY 1), fn AS (SELECT sum(n - pos)::DOUBLE AS n0, sum(pos)::DOUBLE AS n1 FROM fc),
+  fg AS MATERIALIZED (SELECT combo_id, n, pos, (n - pos)::DOUBLE AS a, pos::DOUBLE AS b, row_number() OVER (ORDER BY n DESC, ('0x' || substr(md5('fold|' || combo_id), 1, 8))::BIGINT, combo_id) AS i FROM fc),
+  fw AS (SELECT 0::BIGINT AS i, -1::BIGINT AS fold, {[0.0] * FOLDS}::DOUBLE[] AS ta, {[0.0] * FOLDS}::DOUBLE[] AS tb
+    UNION ALL SELECT i, f - 1, list_transform(range(1, {FOLDS + 1}), lambda k: ta[k] + CASE WHEN k = f THEN a ELSE 0 END), list_transform(range(1, {FOLDS + 1}), lambda k: tb[k] + CASE WHEN k = f THEN b ELSE 0 END)
+    FROM (SELECT i, a, b, ta, tb, list_position(costs, list_min(costs)) AS f FROM (
+      SELECT g.i, g.a, g.b, ta, tb, list_transform(range(1, {FOLDS + 1}), lambda k: 0.0::DOUBLE + ta[k] * g.a / n0 / n0 + tb[k] * g.b / n1 / n1) AS costs FROM fw JOIN fg g ON g.i = fw.i + 1, fn)))"""
+
+
+@query("C15_grouped_folds", sql(DEALT + f"SELECT fold::INT AS fold, sum(n)::BIGINT AS n, count(*) AS n_combos, {r6('sum(pos) / sum(n)')} AS positive_share FROM fw JOIN fg USING (i) GROUP BY 1", TRADES))
 def c15(spark, d):
-    return trades(spark, d).groupBy(C.fold_of(col("combo_id"), 5).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("combo_id").alias("n_combos"))
+    """Rows, groups and class share of every fold; no combo is split."""
+    t = trades(spark, d)
+    rows = t.join(FO.stratified_group_folds(t, "combo_id", col(Y), FOLDS), "combo_id")
+    out = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("combo_id").alias("n_combos"), F.avg(Y).alias("positive_share"))
+    return picks(out, ["fold", "n", "n_combos"], "positive_share")
 
 
 @query("C16_regression_metrics", sql(SPLIT + f""", x AS (SELECT round(early_avg_r, 9) AS a, round(late_avg_r, 9) AS b FROM halves), r AS (SELECT *, {sql_rank('a')} AS ra, {sql_rank('b')} AS rb FROM x)
