@@ -11,30 +11,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.operators.calibrate import regression_metrics
+from tradeloom.operators.forest import by_fold
 from tradeloom.operators.ordered import union_all
 
 
 def out_of_fold_probabilities(df: DataFrame, features: list[str], label: str, fold: str, folds: int, rounds: int = 10, depth: int = 3, seed: int = 42) -> DataFrame:
     """Win probability of every row by a boosted tree model that has not seen the row's fold."""
-    frames = []
-    for f in range(folds):
+
+    def work(f: int) -> DataFrame:
         stages = [
             VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"),
             GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed),
         ]
         model = Pipeline(stages=stages).fit(df.filter(F.col(fold) != f))
         scored = model.transform(df.filter(F.col(fold) == f))
-        frames.append(scored.withColumn("pwin_model", vector_to_array("probability")[1]).select(*df.columns, "pwin_model"))
-    return union_all(frames)
+        return scored.withColumn("pwin_model", vector_to_array("probability")[1]).select(*df.columns, "pwin_model")
+
+    return by_fold(folds, work)
 
 
 def out_of_fold_scores(df: DataFrame, features: list[str], target: str, fold: str, folds: int, rounds: int = 10, depth: int = 3, seed: int = 42) -> DataFrame:
     """Predicted target of every combo by boosted trees fitted on the other folds."""
-    frames = []
-    for f in range(folds):
+
+    def work(f: int) -> DataFrame:
         model = _regressor(features, target, rounds, depth, seed).fit(df.filter(F.col(fold) != f))
-        frames.append(model.transform(df.filter(F.col(fold) == f)).select(*df.columns, F.col("prediction").alias("pred")))
-    return union_all(frames)
+        return model.transform(df.filter(F.col(fold) == f)).select(*df.columns, F.col("prediction").alias("pred"))
+
+    return by_fold(folds, work)
 
 
 def importances(df: DataFrame, features: list[str], target: str, rounds: int = 10, depth: int = 3, seed: int = 42) -> DataFrame:

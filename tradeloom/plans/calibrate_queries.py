@@ -8,10 +8,12 @@ from tradeloom.functions.maths import tidy, wilson
 from tradeloom.operators import calibrate as C
 from tradeloom.operators import features as FE
 from tradeloom.operators import folds as FO
+from tradeloom.operators import forest as FR
 from tradeloom.operators import learn as ML
 from tradeloom.operators import metrics as M
+from tradeloom.operators import ranking as K
 from tradeloom.operators import recalibrate as RC
-from tradeloom.operators.ordered import union_all, with_position
+from tradeloom.operators.ordered import quantiles, union_all, with_position
 from tradeloom.plans import sqltext as S
 from tradeloom.plans.inputs import TRADES, ordered_trades, sql, trades
 from tradeloom.plans.registry import query
@@ -260,30 +262,40 @@ def c16(spark, d):
     return picks(C.regression_metrics(h, [], "pred", "truth", 0.9).withColumn("spearman", rho), [], "r2", "rmse", "pinball", "spearman")
 
 
+WIN_FEATURES = ["candidate_rr", "zscore_entry", "volume_zscore", "stop_pts", "prior_wr_10", "prior_wr_50", "prior_r_ma10"]
+
+
 @query("C17_win_probability_model")
 def c17(spark, d):
-    """Boosted trees on the expanded levels, scored out of fold by combo."""
-    t = FE.expand_levels(FE.lagged_outcomes(ordered_trades(spark, d), BY), [1.0, 2.0, 3.0])
-    t = t.select("combo_id", "candidate_rr", "zscore_entry", "volume_zscore", "stop_pts", "prior_wr_10", "prior_wr_50", "prior_r_ma10",
-                 col("would_win").cast("double").alias("would_win"), C.fold_of(col("combo_id"), 2).alias("fold"))
-    t = materialise(t, "training")
-    features = ["candidate_rr", "zscore_entry", "volume_zscore", "stop_pts", "prior_wr_10", "prior_wr_50", "prior_r_ma10"]
-    scored = ML.out_of_fold_probabilities(t, features, "would_win", "fold", 2, rounds=4)
+    """Boosted trees on the levels of all ratios, scored out of five stratified folds that split no combo."""
+    trades_of = FE.lagged_outcomes(ordered_trades(spark, d), BY)
+    t = FE.expand_levels(trades_of, FE.RR_LEVELS).withColumn("would_win", col("would_win").cast("double"))
+    t = materialise(t.select("combo_id", *WIN_FEATURES, "would_win"), "levels")
+    t = materialise(t.join(FO.stratified_group_folds(t, "combo_id", col("would_win"), FOLDS), "combo_id"), "training")
+    scored = ML.out_of_fold_probabilities(t, WIN_FEATURES, "would_win", "fold", FOLDS, rounds=4)
     return C.classification_metrics(scored, ["candidate_rr"], "pwin_model", "would_win")
 
 
 def combo_table(spark, d):
-    p = per_combo(spark, d).select("combo_id", "n_trades", "win_rate", "std_trade_pnl", "profit_factor", "avg_r_multiple", "sharpe_ratio", C.fold_of(col("combo_id"), 2).alias("fold"))
-    return materialise(p, "combos")
+    """Facts of every combo with a fold stratified by quarters of its Sharpe ratio."""
+    p = per_combo(spark, d).select("combo_id", *COMBO_FEATURES, "sharpe_ratio")
+    return with_quarter_folds(materialise(p, "combos"), "combo_id", "sharpe_ratio")
+
 
+def with_quarter_folds(df, key, target):
+    cuts = quantiles(df, [], target, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).select(F.struct("q1", "q2", "q3").alias("q"))
+    quarter = sum([(col(target) > col(f"_q.{c}")).cast("int") for c in ("q1", "q2", "q3")], F.lit(0))
+    rows = df.withColumn("_q", cuts.scalar())
+    return materialise(df.join(FO.stratified_group_folds(rows, key, quarter, FOLDS), key), "folded")
 
-COMBO_FEATURES = ["n_trades", "win_rate", "std_trade_pnl", "profit_factor"]
+
+COMBO_FEATURES = ["n_trades", "win_rate", "std_trade_pnl", "profit_factor", "total_return_dollars", "avg_trade_pnl", "final_equity"]
 
 
 @query("C18_combo_regressor")
 def c18(spark, d):
-    """Out-of-fold predictions of a combo's Sharpe ratio from its other facts."""
-    return ML.out_of_fold_scores(combo_table(spark, d), COMBO_FEATURES, "sharpe_ratio", "fold", 2, rounds=5).select("combo_id", "sharpe_ratio", "pred")
+    """Out-of-fold predictions of a combo's Sharpe ratio from its other facts, by boosted trees."""
+    return ML.out_of_fold_scores(combo_table(spark, d), COMBO_FEATURES, "sharpe_ratio", "fold", FOLDS, rounds=5).select("combo_id", "sharpe_ratio", "pred")
 
 
 @query("C18b_feature_importances")
@@ -291,6 +303,50 @@ def c18b(spark, d):
     return ML.importances(combo_table(spark, d), COMBO_FEATURES, "sharpe_ratio", rounds=5)
 
 
+BANDS = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+PART_FEATURES = ["n_trades", "avg_stop", "avg_mfe", "avg_mae", "avg_hold", "long_share"]
+
+
+def part_table(spark, d):
+    """Trades grouped by part: a larger set of parameter groups than the combos, with the mean result as target."""
+    facts = trades(spark, d).groupBy("part_no").agg(
+        F.count(F.lit(1)).cast("double").alias("n_trades"), F.avg("stop_pts").alias("avg_stop"), F.avg("mfe_pts").alias("avg_mfe"), F.avg("mae_pts").alias("avg_mae"),
+        F.avg("hold_bars").alias("avg_hold"), F.avg((col("side") == "long").cast("double")).alias("long_share"), F.avg("net_pnl").alias("avg_pnl"),
+    )
+    return materialise(facts, "parts")
+
+
+def banded_parts(spark, d):
+    return FR.out_of_fold_quantiles(with_quarter_folds(part_table(spark, d), "part_no", "avg_pnl"), PART_FEATURES, "part_no", "avg_pnl", "fold", FOLDS, BANDS)
+
+
+@query("C18c_quantile_surrogate")
+def c18c(spark, d):
+    """Point and quantile predictions of every group's mean result, out of fold."""
+    return banded_parts(spark, d)
+
+
+@query("C16b_quantile_losses")
+def c16b(spark, d):
+    """Pinball loss and coverage of the predicted quantiles next to those of the best constant."""
+    return FR.quantile_losses(materialise(banded_parts(spark, d), "bands"), "avg_pnl", BANDS)
+
+
+@query("K3b_surrogate_upper_bound")
+def k3b(spark, d):
+    """The 25 groups of highest predicted upper bound, by the quantile surrogate."""
+    bands = banded_parts(spark, d).withColumn("ucb", K.upper_bound_score(col("p10"), col("p50"), col("p90")))
+    return K.top_k(bands, "ucb", 25, "part_no").select("part_no", "p10", "p50", "p90", "ucb")
+
+
+@query("K12b_surrogate_search")
+def k12b(spark, d):
+    """50,000 drawn parameter sets scored by the surrogate: the best 50 outside what was tried, and how far outside."""
+    tried = part_table(spark, d)
+    draws = spark.range(50_000).withColumnRenamed("id", "draw")
+    return FR.search(FR.fit_forest(tried, PART_FEATURES, "avg_pnl"), tried, draws, PART_FEATURES, "draw", 42)
+
+
 @query("C19_ridge_blend")
 def c19(spark, d):
     """Composite scores blended on one half of the combos and tested on the other."""
