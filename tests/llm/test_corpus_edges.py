@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tradeloom.llm import chat, decontaminate, language, packing, quality, repeats, rules, simhash, token_file, tokens, toxicity
+from tradeloom.llm.common import keep_smallest
+from tradeloom.llm import chat, decontaminate, language, near_copies, packing, quality, repeats, rules, simhash, token_file, tokens, toxicity
 from tradeloom.session import scratch_path
 
 WORDS = [f"w{k}" for k in range(40)]
@@ -140,10 +141,11 @@ def test_fuzzy_lexicon_is_levenshtein():
         term = chance.choice(terms[:3])
         word = list(term)
         for _ in range(chance.randrange(4)):
-            at = chance.randrange(1, len(word))
+            at = chance.randrange(len(word))
             word[at : at + chance.randrange(2)] = chance.choice(["", "a", "t", "ö"])
         word = "".join(word)
-        near = [(distance(t[1:], word[1:]), k) for k, t in enumerate(terms[:3]) if t[0] == word[:1]]
+        near = [(distance(t, word), k) for k, t in enumerate(terms[:3]) if len(t) >= toxicity.FIRST]  # any letter may be wrong
+        near += [(distance(t[1:], word[1:]), k) for k, t in enumerate(terms[:3]) if t[0] == word[:1]]
         near = [(d, k) for d, k in near if d <= toxicity.edits_allowed(terms[k])]
         assert lexicon.match(word) == (min(near)[::-1] if near else None), word
     assert lexicon.match("worthless") == (3, 1) and lexicon.match("wor") is None
@@ -152,7 +154,7 @@ def test_fuzzy_lexicon_is_levenshtein():
 def test_quotation_lowers_the_score():
     scorer = toxicity.Scorer(["idiot"], [3.0])
     plain, cited = scorer.features("you are an idiot and always were"), scorer.features('she wrote "what an idiot he is" in the report')
-    assert plain[1:] == (1, 0) and cited[1:] == (1, 1) and cited[0][0] == 0 < cited[0][2]
+    assert plain[1:] == (1, 0) and cited[1:] == (1, 1) and cited[0][0] == 0 < cited[0][1]
     assert scorer.features(None)[1] == scorer.features("")[1] == 0
 
 
@@ -222,3 +224,22 @@ def test_chat_round_trip_and_mask(spark):
         spans = np.column_stack((r["starts"], r["ends"]))
         assert [t for t in chat.learned_texts(r["formatted"], spans, np.array(r["mask"], dtype=bool))] == [text for _, _, role, text in own if role == "assistant" and text]
     assert chat.digests(chat.format_chats(frame.where(F.lit(False)), path)).count() == 0
+
+
+def test_stages_take_any_columns(spark):
+    """Helper names of the stages as columns, no n_chars, a third of the rows without id, one id on several texts."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [passage + " one", passage + " two", "short", "", None, "alpha beta " * 20, "alpha beta " * 20, " ".join(f"b{k}" for k in range(20))]
+    names = ["_id", "_key", "_kept", "_rows", "_item", "root", "a", "b", "h", "n", "place", "m", "text_key"]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t, *[k] * len(names)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} long" for c in names))
+    benchmark = spark.createDataFrame([(1, texts[-1])], "item_id long, text string")
+    cut = repeats.cut_repeats(docs).collect()
+    assert len(cut) == len(texts) and {r["_key"]: r["text"] for r in cut} == {k: {0: "one", 1: "two", 5: "", 6: ""}.get(k, t) for k, t in enumerate(texts)}
+    kept = decontaminate.drop_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(r["_id"] for r in kept.collect()) == list(range(len(texts) - 1))
+    alone = keep_smallest(docs, near_copies.near_copies(docs))
+    assert alone.columns == docs.columns and sorted(r["_id"] for r in alone.collect()) == [1, 2, 4, 5, 7]
+    none = docs.where("1 = 0")
+    for out in (repeats.cut_repeats(none), decontaminate.drop_contaminated(none, benchmark), keep_smallest(none, near_copies.near_copies(none))):
+        assert out.columns == docs.columns and out.count() == 0

@@ -69,3 +69,18 @@ def test_survivors_by_component_not_by_id(spark):
     want = sorted([(0, a), (0, b), (7, c), (7, d)])
     for kept in (simhash.keep_one(docs), keep_smallest(docs, near_copies.near_copies(docs))):
         assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == want
+
+
+def test_counts_never_rule_out_a_similar_pair():
+    chance = random.Random(9)
+    for _ in range(300):
+        n = chance.choice([1, 3, 20, 400, 40000])
+        a = [f"w{chance.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(chance.randrange(1 + n // 30)):
+            b[chance.randrange(n)] = "other"
+        x, y = (near_copies.shingles(" ".join(t).encode()) for t in (a, b[chance.randrange(1 + n // 20) :]))
+        if near_copies.similar(x, y):
+            assert near_copies.possible(len(x), near_copies.counts(x), len(y), near_copies.counts(y))
+    x, y = (near_copies.shingles(" ".join(f"{c}{k}" for k in range(300)).encode()) for c in "ab")
+    assert not near_copies.possible(len(x), near_copies.counts(x), len(y), near_copies.counts(y))

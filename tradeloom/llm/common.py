@@ -81,15 +81,32 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted`` with underscores put before it until no column of ``df`` has the name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def same_row(docs: DataFrame, doc_id: str, text_key: str) -> Column:
+    """Join condition: the id, null or not, and the text of ``docs`` are those of a keyed row."""
+    return docs["doc_id"].eqNullSafe(F.col(doc_id)) & (text_hash(docs["text"]) == F.col(text_key))
+
+
 def keep_smallest(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """One row of ``docs`` for each root of ``rooted`` (doc_id, text_key, root): the smallest id, then the smallest text_key.
 
-    A row without an id stays only where no member has one. Rows alike in id and text are kept once.
+    A row without an id stays only where no member has one. Rows alike in id and text are kept once. Further columns, of any
+    name, stay as they are; an empty table stays empty.
     """
-    rows = rooted.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("_rows"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "_rows")).alias("best"))
-    chosen = best.select(F.col("best.doc_id").alias("_kept"), F.col("best.text_key").alias("_key"), F.col("best._rows").alias("_rows"))
-    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_kept"]) & (text_hash(docs["text"]) == chosen["_key"]))
-    columns = [docs[c] for c in docs.columns]
-    once, repeated = joined.where("_rows = 1").select(*columns), joined.where("_rows > 1").select(*columns)
-    return once.unionByName(repeated.withColumn("_key", text_hash(F.col("text"))).dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    kept, key, rows = free_names(docs, "_kept", "_key", "_rows")
+    each = rooted.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("best"))
+    chosen = best.select(F.col("best.doc_id").alias(kept), F.col("best.text_key").alias(key), F.col("best.n").alias(rows))
+    joined = docs.join(chosen, same_row(docs, kept, key)).select(*[docs[c] for c in docs.columns], key, rows)
+    once = joined.where(F.col(rows) == 1).drop(key, rows)
+    return once.unionByName(joined.where(F.col(rows) > 1).dropDuplicates(["doc_id", key]).drop(key, rows))

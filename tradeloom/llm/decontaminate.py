@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import step, table, text_hash
+from tradeloom.llm.common import free_names, same_row, step, table, text_hash
 
 WIDTH, SHARE = 13, 0.8
 BROADCAST_BYTES = 8 << 20  # seeds of the benchmark, at 40 bytes a row, are sent to every task up to this size, and so are its items
@@ -138,6 +138,11 @@ SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap an item."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash(docs["text"]) == F.col("_key")), "left_anti")
+    """``docs`` without the documents that overlap an item.
+
+    Null and empty texts stay; rows repeated or without an id are judged by their text. All columns pass, whatever their
+    names; without items every row stays.
+    """
+    doc_id, key = free_names(docs, "_id", "_key")
+    found = overlaps(docs, benchmark).select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key)).distinct()
+    return docs.join(found, same_row(docs, doc_id, key), "left_anti")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import map_rows, sorted_groups, step, table, text_hash
+from tradeloom.llm.common import free_names, map_rows, same_row, sorted_groups, step, table, text_hash
 
 WINDOW = 35  # consecutive words judged together
 M = 6  # words hashed to one minimiser candidate
@@ -239,8 +239,15 @@ FROM d LEFT JOIN g USING (row_no)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated windows cut from their texts and n_chars following; every row stays."""
-    rows = repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_key"])
-    joined = docs.join(rows, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash(docs["text"]) == F.col("_key")), "left")
-    changed = {"text": F.coalesce("_kept", docs["text"]), "n_chars": F.when(F.col("_id").isNull() & F.col("_kept").isNull(), docs["n_chars"]).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)}
+    """``docs`` with the repeated windows cut from their texts, and n_chars following where there is such a column.
+
+    Every row stays, with all its columns, whatever their names. Null and empty texts and texts without a repeated window are
+    unchanged; rows repeated with their id repeat each other's windows and lose them; an empty table stays empty.
+    """
+    doc_id, key, kept = free_names(docs, "_id", "_key", "_kept")
+    rows = repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key), F.col("kept_text").alias(kept)).dropDuplicates([doc_id, key])
+    joined = docs.join(rows, same_row(docs, doc_id, key), "left")
+    changed = {"text": F.coalesce(kept, docs["text"])}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(key).isNull(), docs["n_chars"]).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
     return joined.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])

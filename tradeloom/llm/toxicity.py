@@ -3,8 +3,9 @@
 The lexicon is learned from labelled rows. Its terms form a trie; a Levenshtein automaton of the budgeted number of edits
 is intersected with the trie, and the product is determinised lazily, so a word is read once, letter by letter, and most
 words leave the automaton after a few letters. Each hit is weighed by its context window: quotation marks around it and
-words of speaking before it lower it, other hits nearby raise it. A logistic model over the sums of a text, fitted on the
-same labelled sample, turns them into the score.
+words of speaking before it lower it, other hits nearby raise it. A misspelt hit carries its term's weight at a fixed
+discount per edit. A logistic model over the sums of a text turns them into the score; it is fitted on the same labelled
+sample and on toxic texts of it with their terms misspelt.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import held_out, map_rows, table
+from tradeloom.llm.common import held_out, map_rows, step, table
 
 SAMPLE = 2000  # labelled rows of each class that the lexicon and the model are fitted on, at most
 TERMS = 2000  # terms of the lexicon, at most
-EVIDENCE, RATIO = 15.0, 8.0  # a term needs this G² and this ratio of its rates in toxic and clean documents
+EVIDENCE, RATIO = 0.0, 8.0  # a term needs this G² beyond what the best of all candidates has by chance, and this ratio of rates
+DISCOUNT = 0.85  # of a misspelt term's weight, for each edit
+CHANCE = 0.001  # of clean texts in which a misspelt term may show before only its right spelling counts
+FIRST = 5  # letters of a term whose first letter may be wrong
 STEM = 4  # letters of the beginnings that are learned as terms too, written with a star
 NEAR = 6  # words on each side of a hit that form its context
-MEMO = 200_000  # words remembered by a worker
+MEMO, STATES = 200_000, 100_000  # words and automaton states remembered by a worker
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‚‘’¡¿…–—"
 _OPEN, _CLOSE = "\"'«„“‚‘`", "\"'»“”’`"
@@ -33,19 +37,20 @@ REPORTING = frozenset("said says wrote called calling word term phrase quote quo
 
 
 def edits_allowed(term: str) -> int:
-    """Misspellings accepted for a term by its length: none below 5 letters and for beginnings, one below 9, then two."""
-    return 0 if term.endswith("*") or len(term) < 5 else 1 if len(term) < 9 else 2
+    """Misspellings accepted for a term by its length: none below 4 letters and for beginnings, one below 9, then two."""
+    return 0 if term.endswith("*") or len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class FuzzyLexicon:
     """The product of a lexicon trie and Levenshtein automata, made deterministic as words arrive.
 
-    A product state is a set of (trie node, edits so far); the first letter must be right, as misspellings meant to be
-    read keep it. ``match`` gives (term index, edits) of the nearest term, ties to the smaller index, or None; a word that
+    A product state is a set of (trie node, whether the first letter was edited, edits so far); only terms of ``FIRST``
+    letters or more may have their first letter wrong. ``match`` gives (term index, edits) of the nearest term, ties to the smaller index, or None; a word that
     only begins like a starred term counts as one edit away.
     """
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], exact: frozenset[int] = frozenset()):
+        self.allowed = [0 if i in exact else edits_allowed(t) for i, t in enumerate(terms)]
         self.child: list[dict[str, int]] = [{}]
         self.term, self.budget = [-1], [0]
         self.stem: dict[int, int] = {}  # trie node at which any word with this beginning is a hit
@@ -58,50 +63,56 @@ class FuzzyLexicon:
                     self.term.append(-1)
                     self.budget.append(0)
                 node = self.child[node][ch]
-                self.budget[node] = max(self.budget[node], edits_allowed(term))
+                self.budget[node] = max(self.budget[node], self.allowed[i])
             if term.endswith("*"):
                 self.stem[node] = i
             else:
                 self.term[node] = i
-        self.allowed = [edits_allowed(t) for t in terms]
         self.letters = {ch for t in terms for ch in t}
+        self.long = [len(t) >= FIRST for t in terms]
+        self.budget[0] = max((a for a, long in zip(self.allowed, self.long) if long), default=0)
+        self._forget()
+
+    def _forget(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
         self.begins: list[int] = []
-        self._state(frozenset({(0, 0)}))
+        start: dict[tuple[int, bool], int] = {}
+        self._reach(start, 0, False, 0)
+        self._state(frozenset(start.items()))
 
     def _state(self, now: frozenset) -> int:
         if now not in self.ids:
             self.ids[now] = len(self.states)
             self.states.append(now)
             self.moves.append({})
-            ends = [(e, self.term[n]) for n, e in now if self.term[n] >= 0 and e <= self.allowed[self.term[n]]]
+            ends = [(e, t) for (n, first), e in now if (t := self.term[n]) >= 0 and e <= self.allowed[t] and (self.long[t] or not first)]
             self.accepts.append(min(ends)[::-1] if ends else None)
-            self.begins.append(next((self.stem[n] for n, e in now if n in self.stem and not e), -1))
+            self.begins.append(next((self.stem[n] for (n, _), e in now if n in self.stem and not e), -1))
         return self.ids[now]
 
-    def _step(self, state: int, ch: str) -> int:
-        best: dict[int, int] = {}
-
-        def reach(node: int, edits: int) -> None:
-            if edits <= self.budget[node] and edits < best.get(node, 99):
-                best[node] = edits
-                for below in self.child[node].values():  # a letter of the term left out
-                    reach(below, edits + 1)
+    def _reach(self, best: dict[tuple[int, bool], int], node: int, first: bool, edits: int) -> None:
+        if edits <= self.budget[node] and edits < best.get((node, first), 99):
+            best[node, first] = edits
+            for below in self.child[node].values():  # a letter of the term left out
+                self._reach(best, below, first or not node, edits + 1)
 
-        for node, edits in self.states[state]:
+    def _step(self, state: int, ch: str) -> int:
+        best: dict[tuple[int, bool], int] = {}
+        for (node, first), edits in self.states[state]:
             for letter, below in self.child[node].items():
                 if letter == ch:
-                    reach(below, edits)
-                elif node:  # a letter replaced
-                    reach(below, edits + 1)
-            if node:  # a letter put in
-                reach(node, edits + 1)
+                    self._reach(best, below, first, edits)
+                else:  # a letter replaced
+                    self._reach(best, below, first or not node, edits + 1)
+            self._reach(best, node, first or not node, edits + 1)  # a letter put in
         return self._state(frozenset(best.items())) if best else -1
 
     def match(self, word: str) -> tuple[int, int] | None:
+        if len(self.states) > STATES:
+            self._forget()
         state, begun = 0, None
         for ch in word:
             ch = ch if ch in self.letters else "\0"
@@ -119,8 +130,8 @@ class FuzzyLexicon:
 class Scorer:
     """Hits and context sums of whole texts for one lexicon."""
 
-    def __init__(self, terms: list[str], weights: list[float]):
-        self.lexicon, self.weights, self.memo = FuzzyLexicon(terms), weights, {}
+    def __init__(self, terms: list[str], weights: list[float], exact: list[int] | tuple = ()):
+        self.lexicon, self.weights, self.memo = FuzzyLexicon(terms, frozenset(exact)), weights, {}
 
     def find(self, word: str) -> tuple[int, int] | None:
         try:
@@ -139,22 +150,31 @@ class Scorer:
         return [(i, *known[w], quoted(words, i)) for i, w in enumerate(words) if w in known]
 
     def features(self, text: str | None) -> tuple[list[float], int, int]:
-        """Log sums of plain, misspelt, quoted and crowded hits, the share of words hit; hits and quoted hits."""
+        """Log sums of used, quoted and crowded hits, the share of words hit; hits and quoted hits."""
         words = (text or "").lower().split()
         hits = self.hits(words)
-        plain = fuzzy = cited = crowded = 0.0
+        used = cited = crowded = 0.0
         for k, (at, term, edits, inside) in enumerate(hits):
-            weight = self.weights[term]
+            weight = self.weights[term] * DISCOUNT**edits
             near = sum(1 for j in (k - 1, k + 1) if 0 <= j < len(hits) and abs(hits[j][0] - at) <= NEAR)
             if inside:
                 cited += weight
-            elif edits:
-                fuzzy += weight / (1 + edits)
             else:
-                plain += weight
+                used += weight
                 crowded += weight * near
         share = math.log1p(1000 * len(hits) / len(words)) if words else 0.0
-        return [math.log1p(plain), math.log1p(fuzzy), math.log1p(cited), math.log1p(crowded), share], len(hits), sum(h[3] for h in hits)
+        return [math.log1p(used), math.log1p(cited), math.log1p(crowded), share], len(hits), sum(h[3] for h in hits)
+
+
+def misspelt(text: str, scorer: Scorer) -> str:
+    """``text`` with one letter of every whole term it holds replaced, at a place that the term and its position choose."""
+    out = (text or "").lower().split()
+    for i, w in enumerate(out):
+        found, word = scorer.find(w), w.strip(_EDGE)
+        if found and not found[1] and len(word) > 4:
+            at = 1 + (i + len(word)) % (len(word) - 1)
+            out[i] = w.replace(word, f"{word[:at]}{chr(97 + (ord(word[at]) + 7) % 26)}{word[at + 1:]}")
+    return " ".join(out)
 
 
 def quoted(words: list[str], at: int, near: int = NEAR) -> bool:
@@ -191,7 +211,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     learn = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "toxic")
     each = [learn.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     chosen = each[0].unionByName(each[1]).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # 2 * most rows of two numbers
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # 2 * most rows of two numbers
+    return met.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))  # an id on several texts gives one row
 
 
 def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[tuple[str, float]]:
@@ -208,8 +229,9 @@ def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[tuple[str, float
     ratio = ((t + 0.5) / (all_t + 1)) / ((c + 0.5) / (all_c + 1))
     expected = (t + c) * (all_t / (all_t + all_c))
     g2 = 2 * (t * F.log(t / expected) + F.when(c > 0, c * F.log(c / ((t + c) - expected))).otherwise(0))
-    scored = per_term.where("t > 2").select("term", F.log(ratio).alias("weight"), g2.alias("g2"))
-    top = scored.where((F.col("g2") >= EVIDENCE) & (F.col("weight") >= math.log(RATIO))).orderBy(F.desc("g2"), "term").limit(most)
+    scored = step(per_term.where("t > 2").select("term", F.log(ratio).alias("weight"), g2.alias("g2")), "candidates")
+    chance = 2 * math.log(max(1, scored.count()))
+    top = scored.where((F.col("g2") >= EVIDENCE + chance) & (F.col("weight") >= math.log(RATIO))).orderBy(F.desc("g2"), "term").limit(most)
     return [(r["term"], r["weight"]) for r in top.collect()]
 
 
@@ -228,17 +250,32 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2
     return beta
 
 
+def _ambiguous(clean: DataFrame, model: dict) -> list[int]:
+    """Terms whose neighbours by edits are words of their language: more than ``CHANCE`` of the clean texts hold one."""
+
+    def rows(part: list) -> Iterator[tuple]:
+        scorer = Scorer(model["terms"], model["weights"])
+        for (text,) in part:
+            yield from {(term,) for _, term, edits, _ in scorer.hits((text or "").lower().split()) if edits and not model["terms"][term].endswith("*")}
+
+    seen = map_rows(clean, rows, "term int").groupBy("term").count()
+    return sorted(r["term"] for r in seen.where(F.col("count") > CHANCE * clean.count()).collect())  # at most the lexicon
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
     """Lexicon and model from a bounded labelled sample outside the held-out fold."""
     sample = labelled_sample(docs, labels, most)
     terms = learn_lexicon(sample)
-    model = {"terms": [t for t, _ in terms], "weights": [w for _, w in terms], "beta": None}
+    model = {"terms": [t for t, _ in terms], "weights": [w for _, w in terms], "exact": [], "beta": None}
     if terms:
+        model["exact"] = _ambiguous(sample.where("toxic = 0").select("text"), model)
+
         def rows(part: list) -> list:
-            scorer = Scorer(model["terms"], model["weights"])
-            return [(toxic, scorer.features(text)[0]) for toxic, text in part]
+            scorer = Scorer(model["terms"], model["weights"], model["exact"])
+            misspellings = [(toxic, misspelt(text, scorer)) for toxic, text in part if toxic]
+            return [(toxic, scorer.features(text)[0]) for toxic, text in [*part, *misspellings]]
 
-        seen = map_rows(sample.select("toxic", "text"), rows, "toxic int, x array<double>", chunk=4096).collect()  # 2 * most rows of five numbers
+        seen = map_rows(sample.select("toxic", "text"), rows, "toxic int, x array<double>", chunk=4096).collect()  # 3 * most rows of four numbers
         x, y = np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen])
         if len(set(y.tolist())) == 2:
             model["beta"] = fit_logistic(x, y, 0.5).tolist()
@@ -268,7 +305,7 @@ class _Judge:
     """(score, hits, quoted hits) of a text under a model."""
 
     def __init__(self, model: dict):
-        self.scorer, self.beta = Scorer(model["terms"], model["weights"]), model["beta"]
+        self.scorer, self.beta = Scorer(model["terms"], model["weights"], model.get("exact", ())), model["beta"]
 
     def __call__(self, text: str | None) -> tuple[float, int, int]:
         x, n, cited = self.scorer.features(text)
@@ -287,7 +324,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without the texts that score ``least`` or more; the model learns from ``labelled`` documents.
 
-    Rows pass with all their columns in the one scan that scores them.
+    Rows pass with all their columns, whatever their names, in the one scan that scores them. Null and empty texts stay unless
+    the model scores them as toxic, rows repeated or without an id are judged each by its text; an empty table stays empty.
     """
     model = learn(labelled, labels)
 
