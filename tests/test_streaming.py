@@ -7,6 +7,7 @@ import pytest
 
 from tradeloom.session import scratch_path
 from tradeloom.streaming import bars as ST
+from tradeloom.streaming import event_mean as EV
 
 SCHEMA = "symbol string, time timestamp, tick_id bigint, value double"
 
@@ -64,3 +65,27 @@ def test_mean_survives_batches(spark, folder):
         y = v if y is None else 0.5 * v + 0.5 * y
         want.setdefault(tick, []).append(y)
     assert np.allclose(sorted(r.ema for r in got), sorted(v for vs in want.values() for v in vs))
+
+
+@pytest.mark.parametrize("files", [1, 4, 9])
+def test_event_mean_is_the_same_over_any_split(spark, files):
+    """Ticks out of order by less than the delay, dealt to files in order of arrival; two symbols, ties in time."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for symbol, n in (("hot", 60), ("b", 15)):
+        minutes = np.sort(rng.integers(0, 600, n))
+        rows += [(int(m + rng.integers(0, 40)), symbol, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(m)), i, float(v)) for i, (m, v) in enumerate(zip(minutes, rng.normal(size=n)))]
+    rows.sort()
+    path = scratch_path(spark, "ticks")
+    for part in np.array_split(np.arange(len(rows)), files):
+        put(spark, path, [rows[k][1:] for k in part])
+    put(spark, path, [("b", dt.datetime(2024, 1, 2), 99, 0.0)])  # moves the watermark past the others
+    put(spark, path, [("b", dt.datetime(2024, 1, 2, 0, 1), 100, 0.0), ("hot", dt.datetime(2024, 1, 1), 101, 50.0)])  # the second is too late
+    got = {(r.symbol, r.tick_id): r.ema for r in ST.run_available(EV.event_time_ema(stream(spark, path), 5, "1 hour"), "ema", rocksdb=True).collect()}
+    want = {}
+    for symbol in ("hot", "b"):
+        y = None
+        for _, i, v in sorted((t, i, v) for _, s, t, i, v in rows if s == symbol):
+            y = v if y is None else v / 3 + y * 2 / 3
+            want[symbol, i] = y
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)

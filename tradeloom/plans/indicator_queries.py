@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tradeloom.functions.maths import normal_cdf, probit, tidy
 from tradeloom.operators import bars as B
 from tradeloom.operators import indicators as N
+from tradeloom.operators import rolling_rank as RR
 from tradeloom.plans import sqltext as S
 from tradeloom.plans.inputs import BARS, bars, session_bars, sql
 from tradeloom.plans.registry import query
@@ -69,8 +70,8 @@ def n6(spark, d):
 
 @query("N7_mid_rank", text("s", mid_rank=f"({S.rank('close', 30)} - 0.5) / 30"))
 def n7(spark, d):
-    df = N.with_rolling(bars(spark, d), 30, mid_rank=lambda w: N.mid_rank(col("close"), w, 30))
-    return out(df, "mid_rank")
+    df = RR.rolling_rank(bars(spark, d), N.KEYS, "bar_idx", "close", 30, "rank")
+    return out(df.withColumn("mid_rank", RR.mid_share(col("rank"), 30)), "mid_rank")
 
 
 @query("N8_probit", sql(f"""SELECT symbol, bar_idx, {S.r6(S.probit('p'))} AS z
@@ -84,8 +85,8 @@ def n8(spark, d):
   {S.r6(S.probit('m') + ' * (3.0 / ' + S.probit('(29.5::DOUBLE / 30)') + ')')} AS rank_z
   FROM (SELECT symbol, bar_idx, ({S.rank('close', 30)} - 0.5) / 30 AS m FROM s)""", BARS))
 def n9(spark, d):
-    df = N.with_rolling(bars(spark, d), 30, rank_z=lambda w: N.rank_zscore(col("close"), w, 30))
-    return out(df, "rank_z")
+    df = RR.rolling_rank(bars(spark, d), N.KEYS, "bar_idx", "close", 30, "rank")
+    return out(df.withColumn("rank_z", RR.rank_score(col("rank"), 30)), "rank_z")
 
 
 VWAP = """, sess AS (SELECT *, sum(session_break::INT) OVER (PARTITION BY symbol ORDER BY bar_idx) AS sid FROM s),
@@ -158,8 +159,20 @@ def n15(spark, d):
 @query("N16_atr_percent_rank", sql(S.SERIES + f"""SELECT symbol, bar_idx, {S.r6(S.rank('atr', 100) + ' / 100')} AS atr_rank
   FROM (SELECT *, round({S.mean('tr', 14)}, 8) AS atr FROM s)""", BARS))
 def n16(spark, d):
+    return atr_rank(spark, d, 100)
+
+
+def atr_rank(spark, d, lookback):
     df = N.add_atr(bars(spark, d), 14).withColumn("atr", F.round("atr", 8))
-    return out(N.with_rolling(df, 100, atr_rank=lambda w: N.percent_rank(col("atr"), w, 100)), "atr_rank")
+    df = RR.rolling_rank(df, N.KEYS, "bar_idx", "atr", lookback, "rank")
+    return out(df.withColumn("atr_rank", col("rank") / lookback), "atr_rank")
+
+
+@query("N16b_long_percent_rank", sql(S.SERIES + f"""SELECT symbol, bar_idx, {S.r6(S.rank('atr', 500) + ' / 500')} AS atr_rank
+  FROM (SELECT *, round({S.mean('tr', 14)}, 8) AS atr FROM s)""", BARS))
+def n16b(spark, d):
+    """The longest lookback in use."""
+    return atr_rank(spark, d, 500)
 
 
 @query("N17_bar_range_volatility", sql(S.SERIES + f"""SELECT symbol, bar_idx, {S.r6(S.RANGE_LOG)} AS range_pct,

@@ -15,8 +15,10 @@ from tradeloom.plans.stat_queries import PER, per_combo, picks
 from tradeloom.session import scratch_path
 from tradeloom.sources import bars_csv as V
 from tradeloom.sources import reports as R
+from tradeloom.sources import keyed as KT
 from tradeloom.sources import tables as Q
 from tradeloom.streaming import bars as ST
+from tradeloom.streaming import event_mean as EV
 
 col, r6 = F.col, S.r6
 
@@ -94,7 +96,10 @@ def io10(spark, d):
     o = table(spark, d, "orders")
     stored = o.select("o_orderkey", "o_orderstatus", F.lit(1).alias("version"))
     changes = o.filter(col("o_orderpriority") == "1-URGENT").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(2).alias("version"))
-    return Q.upsert(stored, changes, ["o_orderkey"], "version")
+    path = scratch_path(spark, "keyed")
+    KT.create_keyed(stored, path, ["o_orderkey"], "version", 16)
+    KT.upsert_keyed(changes, path)
+    return KT.read_keyed(spark, path)
 
 
 @query("IO11_schema_normalisation", """SELECT c_custkey AS id, c_acctbal AS score, CAST(NULL AS VARCHAR) AS note, 0 AS cooldown, 'customer' AS source FROM customer
@@ -166,9 +171,20 @@ def r3(spark, d):
     return out.select("symbol", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_ticks", tidy(col("total")).alias("total"))
 
 
-@query("R4_streaming_ema", f"""WITH RECURSIVE t AS MATERIALIZED (SELECT event_type AS symbol, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
-  e AS (SELECT symbol, event_id, i, value AS y FROM t WHERE i = 1 UNION ALL SELECT t.symbol, t.event_id, t.i, {2 / 22!r}::DOUBLE * value + {1 - 2 / 22!r}::DOUBLE * y FROM e JOIN t ON t.symbol = e.symbol AND t.i = e.i + 1)
-  SELECT symbol, event_id AS tick_id, {r6('y')} AS ema FROM e""")
+EMA_SQL = f"""WITH RECURSIVE t AS MATERIALIZED (SELECT event_type AS symbol, event_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+  e AS (SELECT symbol, event_id, ts, i, value AS y FROM t WHERE i = 1 UNION ALL SELECT t.symbol, t.event_id, t.ts, t.i, {2 / 22!r}::DOUBLE * value + {1 - 2 / 22!r}::DOUBLE * y FROM e JOIN t ON t.symbol = e.symbol AND t.i = e.i + 1)
+  SELECT symbol, event_id AS tick_id, {r6('y')} AS ema FROM e"""
+
+
+@query("R4_streaming_ema", EMA_SQL + f" WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {CLOSED}")
 def r4(spark, d):
+    """In event time: a tick counts once the watermark is past its hour."""
+    out = ST.run_available(EV.event_time_ema(tick_stream(spark, d), 21, "2 hours", stretch=3600), "ema", rocksdb=True)
+    return out.select("symbol", "tick_id", tidy(col("ema")).alias("ema"))
+
+
+@query("R4b_arrival_ema", EMA_SQL)
+def r4b(spark, d):
+    """In order of arrival, which is event order where files come in order."""
     out = ST.run_available(ST.streaming_ema(tick_stream(spark, d), 21), "ema", rocksdb=True)
     return out.select("symbol", "tick_id", tidy(col("ema")).alias("ema"))
