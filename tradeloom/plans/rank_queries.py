@@ -62,24 +62,29 @@ def j7(spark, d):
 
 
 @query("J8_basket_difference", sql("""SELECT coalesce(a.part_no, b.part_no) AS part_no, CASE WHEN b.part_no IS NULL THEN 'a' ELSE 'b' END AS only_in
-  FROM (SELECT DISTINCT part_no FROM trades WHERE trade_date < DATE '1995-06-01') a FULL JOIN (SELECT DISTINCT part_no FROM trades WHERE trade_date >= DATE '2001-06-01') b USING (part_no)
+  FROM (SELECT part_no FROM trades WHERE month(trade_date) <= 6 GROUP BY 1 HAVING count(*) >= 15) a FULL JOIN (SELECT part_no FROM trades WHERE month(trade_date) > 6 GROUP BY 1 HAVING count(*) >= 15) b USING (part_no)
   WHERE a.part_no IS NULL OR b.part_no IS NULL""", TRADES))
 def j8(spark, d):
     t = trades(spark, d)
-    early, late = t.filter(col("trade_date") < F.lit("1995-06-01").cast("date")), t.filter(col("trade_date") >= F.lit("2001-06-01").cast("date"))
-    return K.shared_baskets(early, late, "part_no")
+    halves = [K.with_least_rows(t.filter(half), ["part_no"], 15) for half in (F.month("trade_date") <= 6, F.month("trade_date") > 6)]
+    return K.shared_baskets(*halves, "part_no")
 
 
-@query("J9_signal_bar_features", sql(FLAT + f""", fz AS (SELECT symbol, bar_idx, z, coalesce(lag(z) OVER (PARTITION BY symbol ORDER BY bar_idx), CASE WHEN bar_idx = 0 THEN z END) AS zp FROM scored0)
-  SELECT h.symbol, h.bar_idx, {rounded(zscore_entry='z', zscore_prev='zp', zscore_delta='z - zp', bar_range='b.high - b.low', bar_body='abs(b.close - b.open)')}
-  FROM held h JOIN fz USING (symbol, bar_idx) JOIN bars b USING (symbol, bar_idx)""", BARS))
+@query("J9_signal_bar_features", sql(FLAT + S.EMA_PAIR + f""", fz AS (SELECT symbol, bar_idx, z, coalesce(lag(z) OVER (PARTITION BY symbol ORDER BY bar_idx), CASE WHEN bar_idx = 0 THEN z END) AS zp FROM scored0),
+  fb AS (SELECT symbol, bar_idx, high - low AS span, abs(close - open) AS body, ema_fast - ema_slow AS spread, abs(close - ema_fast) AS gap, {S.zscore('volume', 20)} AS vz, {S.mean('tr', 14)} AS atr, {S.RANGE_LOG} AS rl, {S.RANGE_POINTS} AS rp FROM pair)
+  SELECT h.symbol, h.bar_idx, {rounded(zscore_entry='z', zscore_prev='zp', zscore_delta='z - zp', bar_range='span', bar_body='body', volume_zscore='vz', ema_spread='spread', distance_to_ema='gap', atr='atr', range_pct='rl', range_vs_atr='CASE WHEN atr > 0 THEN rp / atr END')}
+  FROM held h JOIN fz USING (symbol, bar_idx) JOIN fb USING (symbol, bar_idx)""", BARS))
 def j9(spark, d):
-    b = N.with_rolling(bars(spark, d), 21, z=lambda w: N.zscore(col("close"), w, 20),
-                       zscore_prev=lambda w: F.coalesce(F.lag("z").over(w), F.when(col("bar_idx") == 0, col("z"))))
+    """Facts of the signal bar and the bar before it, for every trade."""
+    b = N.emas(bars(spark, d), "close", {"ema_fast": 8, "ema_slow": 21})
+    b = N.with_rolling(b, 21, z=lambda w: N.zscore(col("close"), w, 20), zscore_prev=lambda w: F.coalesce(F.lag("z").over(w), F.when(col("bar_idx") == 0, col("z"))),
+                       volume_zscore=lambda w: N.zscore(col("volume"), w, 20), tr=N.true_range, atr=lambda w: N.rolling_mean(col("tr"), w, 14))
     facts = b.select("symbol", "bar_idx", col("z").alias("zscore_entry"), "zscore_prev", (col("z") - col("zscore_prev")).alias("zscore_delta"),
-                     (col("high") - col("low")).alias("bar_range"), F.abs(col("close") - col("open")).alias("bar_body"))
+                     (col("high") - col("low")).alias("bar_range"), F.abs(col("close") - col("open")).alias("bar_body"), "volume_zscore",
+                     (col("ema_fast") - col("ema_slow")).alias("ema_spread"), F.abs(col("close") - col("ema_fast")).alias("distance_to_ema"), "atr",
+                     N.range_log().alias("range_pct"), F.when(col("atr") > 0, N.range_points() / col("atr")).alias("range_vs_atr"))
     t = fixed_hold_trades(spark, d).select("symbol", "bar_idx")
-    return picks(t.join(facts, ["symbol", "bar_idx"]), ["symbol", "bar_idx"], "zscore_entry", "zscore_prev", "zscore_delta", "bar_range", "bar_body")
+    return picks(t.join(facts, ["symbol", "bar_idx"]), ["symbol", "bar_idx"], *facts.columns[2:])
 
 
 @query("J10_equity_by_bar", sql(FLAT + f""", ex AS (SELECT symbol, bar_idx + 12 AS bar_idx, sum(pts) AS p FROM held GROUP BY 1, 2)
@@ -98,12 +103,12 @@ def j11(spark, d):
     return a.join(b, "combo_id").agg(F.count(F.lit(1)).alias("n_joined"), F.count_if(col("n") != col("m")).alias("n_mismatch"))
 
 
-@query("J12_benchmark", """WITH q AS (SELECT l_shipdate::DATE AS day, avg(l_extendedprice) AS close FROM lineitem WHERE isodow(l_shipdate) IN (1, 4) GROUP BY 1),
+@query("J12_benchmark", """WITH q AS (SELECT l_shipdate::DATE AS day, avg(l_extendedprice) AS close FROM lineitem GROUP BY 1),
   d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), j AS (SELECT d.day, q.close FROM d ASOF LEFT JOIN q ON d.day >= q.day)
   SELECT strftime(day, '%Y-%m-%d') AS day, round(close / (SELECT arg_min(close, day) FROM j WHERE close IS NOT NULL) * 50000 + 3.7e-8, 4) + 0.0 AS scaled FROM j""")
 def j12(spark, d):
     days = table(spark, d, "orders").select(col("o_orderdate").cast("date").alias("day")).distinct()
-    li = table(spark, d, "lineitem").filter(F.weekday("l_shipdate").isin(0, 3))
+    li = table(spark, d, "lineitem")
     quotes = li.groupBy(col("l_shipdate").cast("date").alias("day")).agg(F.avg("l_extendedprice").alias("close"))
     out = L.align_benchmark(days, quotes, 50000.0)
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), tidy(col("scaled"), 4).alias("scaled"))
@@ -302,13 +307,14 @@ def k14(spark, d):
     return per.groupBy("combo_id").agg(F.count(F.lit(1)).alias("n_cells"), passed.alias("n_pass"), (passed >= 14).alias("neighbourhood_pass"))
 
 
-@query("K15_merged_stream", sql(f""", u AS (SELECT 'a' AS src, trade_date, order_no, line_no, part_no, notional, net_pnl FROM trades WHERE flag = 'A' UNION ALL SELECT 'r', trade_date, order_no, line_no, part_no, notional, net_pnl FROM trades WHERE flag = 'R')
+@query("K15_merged_stream", sql(f""", u AS (SELECT 'a' AS src, trade_date, order_no, line_no, part_no, notional, net_pnl FROM trades WHERE flag = 'A' UNION ALL SELECT 'n', trade_date, order_no, line_no, part_no, notional, net_pnl FROM trades WHERE flag = 'N'
+    UNION ALL SELECT 'r', trade_date, order_no, line_no, part_no, notional, net_pnl FROM trades WHERE flag = 'R')
   SELECT src, order_no, line_no, part_no, notional, row_number() OVER (ORDER BY trade_date, src, order_no, line_no, part_no, notional) - 1 AS at FROM u""", TRADES))
 def k15(spark, d):
     from tradeloom.operators.ordered import union_all, with_position
 
     t = trades(spark, d).select("trade_date", *KEYS4, "net_pnl", "flag")
-    streams = union_all([t.filter(col("flag") == f).withColumn("src", F.lit(f.lower())) for f in ("A", "R")])
+    streams = union_all([t.filter(col("flag") == f).withColumn("src", F.lit(f.lower())) for f in ("A", "N", "R")])
     out = with_position(streams, [], ["trade_date", "src", *KEYS4], [col("trade_date"), col("src"), F.floor(col("order_no") / 1_000_000)], "at")
     return out.select("src", *KEYS4, "at")
 

@@ -363,18 +363,18 @@ def a29(spark, d):
     return p.agg(tidy(F.corr("n_trades", "sharpe_ratio")).alias("pearson")).withColumn("spearman", tidy(rho))
 
 
+TRUTHS = ["late_total_pnl", "late_sharpe", "late_avg_r", "late_pf", "late_wr"]
 SP_LONG = SCORED + ", lg AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS score, '{t}' AS truth, {c}::DOUBLE AS x, {t}::DOUBLE AS y FROM sc" for c in SCORES for t in ("late_avg_r", "late_sharpe", "late_total_pnl")) + ")"
+    f"SELECT '{c}' AS score, '{t}' AS truth, {c}::DOUBLE AS x, {t}::DOUBLE AS y FROM sc" for c in SCORES for t in TRUTHS) + ")"
 SP_TABLE = SP_LONG + f""", rk AS (SELECT score, truth, {sql_rank('x', 'score, truth')} AS rx, {sql_rank('y', 'score, truth')} AS ry
   FROM (SELECT score, truth, round(x, 9) AS x, round(y, 9) AS y FROM lg WHERE x IS NOT NULL AND y IS NOT NULL))"""
 
 
 @query("A30_spearman_table", sql(SP_TABLE + f"SELECT score, truth, count(*) AS n_pairs, {r6('corr(rx, ry)')} AS rho FROM rk GROUP BY 1, 2", TRADES))
 def a30(spark, d):
-    truths = ["late_avg_r", "late_sharpe", "late_total_pnl"]
     t = M.composites(halves(spark, d))
-    t = t.withColumns({c: F.round(c, 9) for c in [*M.COMPOSITES, *truths]})
-    return picks(M.spearman_table(t, "combo_id", M.COMPOSITES, truths), ["score", "truth", "n_pairs"], "rho")
+    t = t.withColumns({c: F.round(c, 9) for c in [*M.COMPOSITES, *TRUTHS]})
+    return picks(M.spearman_table(t, "combo_id", M.COMPOSITES, TRUTHS), ["score", "truth", "n_pairs"], "rho")
 
 
 @query("A31_daily_correlation", sql(f""", g AS (SELECT side || flag AS member, trade_date, sum(net_pnl) AS p FROM trades GROUP BY 1, 2),
