@@ -182,15 +182,16 @@ def test_isotonic_matches_plain_pooling(spark, scored):
         assert all(np.diff(got[k][1]) >= 0)
 
 
-@pytest.mark.parametrize("dims,chunk", [(2, 2048), (2, 16), (20, 50)])
-def test_nearest_matches_brute_force(spark, monkeypatch, dims, chunk):
+@pytest.mark.parametrize("dims,chunk,cell_rows", [(2, 2048, 256), (2, 16, 8), (20, 50, 5)])
+def test_nearest_matches_brute_force(spark, monkeypatch, dims, chunk, cell_rows):
     monkeypatch.setattr(NN, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(NN, "FLAT", 64 if chunk > 1000 else 3)
     monkeypatch.setattr(NN, "PART_ROWS", chunk)
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(0, 1, (120, dims)), np.tile(rng.normal(5, 1, (1, dims)), (40, 1)) + rng.normal(0, 1e-3, (40, dims))])  # a dense clump
     grp = rng.integers(0, 3, len(x))
     df = spark.createDataFrame([(i, list(map(float, v)), int(g)) for i, (v, g) in enumerate(zip(x, grp))], "id bigint, vec array<double>, grp bigint")
-    got = NN.nearest(df, 5, held_out=[0, 1, 2]).toPandas()
+    got = NN.nearest(df, 5, held_out=[0, 1, 2], cell_rows=cell_rows).toPandas()
     dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     np.fill_diagonal(dist, np.inf)
     for skip in range(3):
@@ -200,6 +201,20 @@ def test_nearest_matches_brute_force(spark, monkeypatch, dims, chunk):
     assert len(got) == 3 * 5 * len(x)
 
 
+def test_metric_tree_prunes(spark):
+    """In few dimensions a row is measured against few others, and no neighbour is lost."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 0.3, (500, 3)) for c in rng.uniform(-8, 8, (6, 3))])
+    df = spark.createDataFrame([(i, list(map(float, v)), -1) for i, v in enumerate(x)], "id bigint, vec array<double>, grp bigint")
+    tree = NN.MetricTree(df, 32)
+    first = NN._search(tree.rows.select("id", "vec", "cell"), tree.rows.select("id", "vec", "grp", "cell"), tree.cells, 5, [-2])
+    assert tree.measured_share(tree.visits(first, 5, [-2])) < 0.2
+    got = NN.nearest(df.drop("grp"), 5, cell_rows=32).toPandas()
+    for i in range(0, 3000, 50):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(axis=1)), 12)
+        d[i] = np.inf
+        assert list(got[got.id == i].sort_values("rank").neighbour) == list(np.argsort(d, kind="stable")[:5])
+
 def test_shuffle_is_a_permutation(spark):
     df = spark.range(500).withColumn("v", F.col("id") * 2)
     got = R.shuffle_column(df, ["id"], "v", 3).toPandas()

@@ -1,8 +1,11 @@
 """Exact nearest neighbours without comparing all rows with all rows.
 
-Rows are grouped around pivots. A row's k-th distance inside its own cell bounds its search radius;
-by the triangle inequality only cells that reach into this radius can hold a nearer row, so a row is
-sent to those alone. Large cells and many visits are split into chunks of bounded size, and each
+Rows stand in a metric tree of two levels: groups around pivots, and in each group cells around
+pivots of its own. A node keeps the nearest and the farthest distance of its rows to its pivot. A
+row's k-th distance inside its own cell, or to the k-th pivot if that is less, bounds its search
+radius; by the triangle inequality only nodes whose ring of distances meets this radius can hold a
+nearer row. A row goes down the tree: groups first, and only in those that remain it is measured
+against their cells. Large cells and many visits are split into chunks of bounded size, and each
 (cell, chunk, part) task returns its k best per query.
 """
 
@@ -19,7 +22,10 @@ from tradeloom.session import materialise
 
 CHUNK_ROWS = 2048
 PART_ROWS = 20_000
-MOST_PIVOTS = 4096
+CELL_ROWS = 256  # rows of a cell on average
+MOST_GROUPS = 1024  # pivots of the upper level, which every row is measured against
+FLAT = 64  # up to so many cells need no level above them
+SLACK = 1e-9  # distances are rounded to 12 digits
 SCHEMA = "id bigint, skip bigint, neighbour bigint, dist double"
 
 
@@ -71,7 +77,7 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
 def _search(asks: DataFrame, rows: DataFrame, sizes: DataFrame, k: int, skips: list[int]) -> DataFrame:
     """Best k per query over the cells it visits; groups hold a chunk of the cell and a part of the visits."""
     visits = asks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    plan = F.broadcast(sizes.select("cell", "chunks").join(visits, "cell"))  # one row per pivot
+    plan = sizes.select("cell", "chunks").join(visits, "cell")  # one row per cell; Spark broadcasts it where it is small
     q = asks.join(plan, "cell").select(
         "id", "vec", "cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
@@ -85,37 +91,125 @@ def _search(asks: DataFrame, rows: DataFrame, sizes: DataFrame, k: int, skips: l
     return _merge(found, k)
 
 
-def nearest(vectors: DataFrame, k: int = 10, held_out: list[int] | None = None) -> DataFrame:
+def _dealt(rows: DataFrame, nodes: DataFrame, by: str, work, schema: str) -> DataFrame:
+    """``work(rows, nodes)`` for parts of the rows of one group next to all cells of that group."""
+    parts = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    left = rows.join(parts, by).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
+    right = nodes.join(parts, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return left.groupBy(by, "part").cogroup(right.groupBy(by, "part")).applyInPandas(work, schema)
+
+
+def _nearest_cell(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    """The cell of every row and its distance to that cell's pivot; ties to the smaller cell."""
+    if not len(rows):
+        return pd.DataFrame({"id": [], "cell": [], "to_centre": []}).astype({"id": "int64", "cell": "int64", "to_centre": "float64"})
+    cells = cells.sort_values("cell")
+    points, names = np.stack(cells["centre"].to_numpy()), cells["cell"].to_numpy()
+    best, gap = [], []
+    for start in range(0, len(rows), 256):
+        d = _matrix(np.stack(rows["vec"].iloc[start : start + 256].to_numpy()), points)
+        at = d.argmin(axis=1)
+        best.append(names[at])
+        gap.append(d[np.arange(len(d)), at])
+    return pd.DataFrame({"id": rows["id"].to_numpy(), "cell": np.concatenate(best), "to_centre": np.concatenate(gap)})
+
+
+def _met_cells(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    """(id, cell) of the cells other than a row's own whose ring meets its radius."""
+    found = [pd.DataFrame({"id": [], "cell": []}).astype("int64")]
+    if len(rows) and len(cells):
+        points, names = np.stack(cells["centre"].to_numpy()), cells["cell"].to_numpy()
+        low, high = cells["low"].to_numpy(), cells["high"].to_numpy()
+        for start in range(0, len(rows), 256):
+            part = rows.iloc[start : start + 256]
+            d = _matrix(np.stack(part["vec"].to_numpy()), points)
+            r = part["radius"].fillna(np.inf).to_numpy()[:, None] + SLACK
+            i, j = np.nonzero((d - high <= r) & (low - d <= r) & (names[None, :] != part["own"].to_numpy()[:, None]))
+            found.append(pd.DataFrame({"id": part["id"].to_numpy()[i], "cell": names[j]}))
+    return pd.concat(found)
+
+
+class MetricTree:
+    """Rows (id, vec, grp) under two levels of pivots, written to the shared folder."""
+
+    def __init__(self, vectors: DataFrame, cell_rows: int = CELL_ROWS):
+        self.base = base = materialise(vectors, "vectors")
+        cells = max(4, base.count() // cell_rows)
+        self.flat = cells <= FLAT
+        self.width = cells if self.flat else min(MOST_GROUPS, round(cells**0.5))
+        below = -(-cells // self.width)
+        tops = base.orderBy(hash_draw("pivot", F.col("id")), "id").limit(self.width)
+        tops = materialise(tops.select(F.col("id").alias("top"), F.col("vec").alias("top_centre"), F.col("grp").alias("top_grp")), "groups")
+        self.book = tops.agg(F.array_sort(F.collect_list(F.struct("top", "top_centre", "top_grp")))).scalar()  # at most MOST_GROUPS vectors
+        homes = F.transform("book", lambda c: F.struct(_distance(c["top_centre"], F.col("vec")).alias("d"), c["top"].alias("top")))
+        placed = base.withColumn("book", self.book).withColumn("home", F.array_min(homes))
+        placed = materialise(placed.select("id", "vec", "grp", F.col("home.top").alias("top"), F.col("home.d").alias("to_top")), "grouped")
+        ring = [F.min("to_centre").alias("low"), F.max("to_centre").alias("high")]
+        if self.flat:
+            self.rows = placed.withColumns({"cell": F.col("top"), "to_centre": F.col("to_top")})
+            sizes = self.rows.groupBy("cell").agg(*ring, F.count(F.lit(1)).alias("rows"), F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
+            self.cells = materialise(sizes.join(tops.select(F.col("top").alias("cell"), F.col("top_centre").alias("centre")), "cell"), "sizes")
+            self.tops = self.cells.select(F.col("cell").alias("top"), F.col("centre").alias("top_centre"), "low", "high")
+            return
+        order = Window.partitionBy("top").orderBy(hash_draw("cell", F.col("id")), "id")
+        subs = placed.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= below)  # a limit per group before rows move
+        subs = materialise(subs.select("top", F.col("id").alias("cell"), F.col("vec").alias("centre")), "cells")
+        at = _dealt(placed.select("top", "id", "vec"), subs, "top", lambda left, right: _nearest_cell(left, right), "id bigint, cell bigint, to_centre double")
+        self.rows = materialise(placed.join(at, "id"), "placed")
+        sizes = self.rows.groupBy("cell").agg(*ring, F.count(F.lit(1)).alias("rows"), F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
+        self.cells = materialise(sizes.join(subs, "cell"), "sizes")
+        self.tops = materialise(self.rows.groupBy("top").agg(F.min("to_top").alias("low"), F.max("to_top").alias("high")).join(tops, "top"), "rings")
+
+    def pivot_radius(self, k: int, skips: list[int]) -> Column:
+        """Distance within which a row has k pivots of other rows in every asked pool, NULL if there are too few."""
+
+        def within(skip: int) -> Column:
+            others = F.filter("book", lambda c: (c["top"] != F.col("id")) & (c["top_grp"] != skip))
+            return F.get(F.array_sort(F.transform(others, lambda c: _distance(c["top_centre"], F.col("vec")))), F.lit(k - 1))
+
+        every = [within(s) for s in skips]
+        known = F.greatest(*every) if len(every) > 1 else every[0]
+        return F.when(sum([e.isNull().cast("int") for e in every], F.lit(0)) == 0, known)
+
+    def visits(self, first: DataFrame, k: int, skips: list[int]) -> DataFrame:
+        """(id, cell) of every further cell that can hold one of a row's k nearest, by what its own cell gave."""
+        full = first.filter(F.col("rank") == k).groupBy("id").agg(F.count(F.lit(1)).alias("full"), F.max("dist").alias("far"))
+        seen = full.filter(F.col("full") == len(skips)).select("id", "far")
+        asks = self.rows.select("id", "vec", F.col("cell").alias("own")).join(seen, "id", "left").withColumn("book", self.book)
+        asks = asks.select("id", "vec", "own", F.least("far", self.pivot_radius(k, skips)).alias("radius"))
+        rings = self.tops.agg(F.collect_list(F.struct("top", "top_centre", "low", "high"))).scalar()
+
+        def meets(c):
+            d = _distance(c["top_centre"], F.col("vec"))
+            return F.col("radius").isNull() | ((d - c["high"] <= F.col("radius") + SLACK) & (c["low"] - d <= F.col("radius") + SLACK))
+
+        down = asks.withColumn("rings", rings)
+        down = down.select("id", "vec", "own", "radius", F.explode(F.transform(F.filter("rings", meets), lambda c: c["top"])).alias("top"))
+        if self.flat:
+            return down.filter(F.col("top") != F.col("own")).select("id", F.col("top").alias("cell"))
+        return _dealt(down, self.cells.select("top", "cell", "centre", "low", "high"), "top", lambda left, right: _met_cells(left, right), "id bigint, cell bigint")
+
+    def measured_share(self, visits: DataFrame) -> float:
+        """Row-row distances of the own cells and ``visits``, as a share of all ordered pairs."""
+        own = self.rows.select("id", "cell")
+        n = self.base.count()
+        met = own.unionByName(visits).join(self.cells.select("cell", "rows"), "cell").agg(F.sum("rows")).first()[0] or 0
+        return met / max(1, n * n)
+
+
+def nearest(vectors: DataFrame, k: int = 10, held_out: list[int] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id, skip, neighbour, dist, rank) with rank 1..k; a row is never its own neighbour.
 
     ``vectors``: id bigint, vec array<double>, and grp bigint if ``held_out`` lists groups: then every
     row is asked once per listed group, with that group kept out of the pool.
     """
     skips = list(held_out or [-2])
-    base = materialise(vectors.withColumn("grp", F.col("grp") if held_out else F.lit(-1).cast("bigint")), "vectors")
-    pivots = min(MOST_PIVOTS, max(8, int(base.count() ** 0.5 / 4)))
-    centres = base.orderBy(hash_draw("pivot", F.col("id")), "id").limit(pivots).select(F.col("id").alias("cell"), F.col("vec").alias("centre"))
-    centres = materialise(centres, "pivots")  # at most MOST_PIVOTS vectors
-    book = centres.agg(F.collect_list(F.struct("cell", "centre"))).scalar()
-    homes = F.transform("book", lambda c: F.struct(_distance(c["centre"], F.col("vec")).alias("d"), c["cell"].alias("cell")))
-    rows = base.withColumn("book", book).withColumn("home", F.array_min(homes))
-    rows = materialise(rows.select("id", "vec", "grp", F.col("home.cell").alias("cell"), F.col("home.d").alias("to_centre")), "cells")
-    sizes = rows.groupBy("cell").agg(F.max("to_centre").alias("reach"), F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
-    sizes = materialise(sizes.join(centres, "cell"), "sizes")
-    asks = rows.select("id", "vec", "cell")
-    first = materialise(_search(asks, rows, sizes, k, skips), "first")
-
-    full = first.filter(F.col("rank") == k).groupBy("id").agg(F.count(F.lit(1)).alias("full"), F.max("dist").alias("far"))
-    radius = full.filter(F.col("full") == len(skips)).select("id", F.col("far").alias("radius"))
-    cells = sizes.agg(F.collect_list(F.struct("cell", "centre", "reach"))).scalar()
-
-    def may_hold(c):
-        gap = _distance(c["centre"], F.col("vec")) - c["reach"] - 1e-9
-        return (c["cell"] != F.col("cell")) & (F.col("radius").isNull() | (gap <= F.col("radius")))
-
-    more = asks.join(radius, "id", "left").withColumn("book", cells)
-    more = more.select("id", "vec", F.explode(F.transform(F.filter("book", may_hold), lambda c: c["cell"])).alias("cell"))
-    second = _search(more, rows, sizes, k, skips)
+    tree = MetricTree(vectors.withColumn("grp", F.col("grp") if held_out else F.lit(-1).cast("bigint")), cell_rows)
+    asks = tree.rows.select("id", "vec", "cell")
+    points = tree.rows.select("id", "vec", "grp", "cell")
+    first = materialise(_search(asks, points, tree.cells, k, skips), "first")
+    more = tree.rows.select("id", "vec").join(tree.visits(first, k, skips), "id")
+    second = _search(more, points, tree.cells, k, skips)
     return _merge(first.drop("rank").unionByName(second.drop("rank")), k)
 
 
