@@ -132,6 +132,33 @@ def compatible(params: DataFrame) -> DataFrame:
     )
 
 
+def draw_by_rules(draws: DataFrame, rules: list[tuple], draw_id: str, seed: int) -> DataFrame:
+    """Parameters drawn one after the other, so that a range or a choice may depend on those before it.
+
+    ``rules``: (parameter, cases); a case is (condition or None, kind, ...), the first that holds applies. Kinds: ``int`` and ``float``
+    with SQL texts of the lower and the excluded upper end, ``choice`` with a list (repeat a value to favour it), ``is``
+    with a SQL text. An empty int range gives its lower end.
+    """
+    out = draws
+    for name, cases in rules:
+        u = hash_uniform(seed, F.col(draw_id), name)
+        value = None
+        for condition, kind, *args in reversed(cases):
+            if kind == "int":
+                lo, hi = F.expr(args[0]), F.expr(args[1])
+                here = (lo + F.floor(u * F.greatest(hi - lo, F.lit(0)))).cast("bigint")
+            elif kind == "float":
+                lo, hi = (F.expr(a).cast("double") for a in args)
+                here = F.round(lo + u * (hi - lo), 4)
+            elif kind == "choice":
+                here = F.get(F.array(*map(F.lit, args[0])), F.floor(u * len(args[0])).cast("int"))
+            else:
+                here = F.expr(args[0])
+            value = here if condition is None else F.when(F.expr(condition), here).otherwise(value)
+        out = out.withColumn(name, value)
+    return out
+
+
 def range_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     schema = "mode string, param string, kind string, lo double, hi double, choices array<string>"
     return spark.createDataFrame(rows, schema)

@@ -291,6 +291,62 @@ def k13(spark, d):
     return W.compatible(W.sample_params(draws, W.range_table(spark, RANGES), "draw", 9))
 
 
+#: two modes of the sweep with all their parameters: ranges, dependent ranges and rules of compatibility
+VARIANT, WINRATE = "mode = 'zscore_variants'", None
+ONLY_FIXED, ONLY_ATR, ONLY_SWING = "stop_method = 'fixed'", "stop_method = 'atr'", "stop_method = 'swing'"
+NOTHING = (None, "is", "CAST(NULL AS DOUBLE)")
+MODE_RULES = [
+    ("ema_fast", [(VARIANT, "int", "5", "16"), (WINRATE, "int", "5", "9")]),
+    ("ema_slow", [(VARIANT, "int", "ema_fast + 5", "36"), (WINRATE, "int", "ema_fast + 5", "least(ema_fast + 20, 26)")]),
+    ("stop_method", [(VARIANT, "choice", ["fixed", "atr", "swing"]), (WINRATE, "choice", ["swing", "swing", "atr", "fixed"])]),
+    ("z_window", [(VARIANT, "int", "10", "31"), (WINRATE, "int", "20", "31")]),
+    ("z_type", [(VARIANT, "choice", ["parametric", "quantile_rank"]), (WINRATE, "is", "'parametric'")]),
+    ("z_input", [(VARIANT, "choice", ["close", "returns", "typical_price"]), (WINRATE, "is", "'close'")]),
+    ("z_anchor", [("mode <> 'zscore_variants' OR z_input = 'returns'", "is", "'rolling_mean'"), (None, "choice", ["rolling_mean", "vwap_session", "ema_fast", "ema_slow"])]),
+    ("z_denom", [("mode <> 'zscore_variants'", "is", "'rolling_std'"), ("z_type = 'quantile_rank'", "is", "'n/a'"), ("z_input = 'returns'", "choice", ["rolling_std", "parkinson"]), (None, "choice", ["rolling_std", "atr", "parkinson"])]),
+    ("use_window_2", [(VARIANT, "int", "0", "2"), (WINRATE, "is", "CAST(0 AS BIGINT)")]),
+    ("z_window_2", [("use_window_2 = 1 AND z_window + 5 < 51", "int", "z_window + 5", "51"), (None, "is", "CAST(0 AS BIGINT)")]),
+    ("z_window_2_weight", [("z_window_2 > 0", "float", "0.2", "0.5"), (None, "is", "CAST(0 AS DOUBLE)")]),
+    ("z_band_k", [(VARIANT, "float", "1.5", "3.5"), (WINRATE, "float", "2.5", "3.5")]),
+    ("volume_zscore_window", [(None, "int", "10", "31")]),
+    ("stop_fixed_pts", [(ONLY_FIXED, "float", "10", "30"), NOTHING]),
+    ("atr_multiplier", [(ONLY_ATR, "float", "1", "3"), NOTHING]),
+    ("swing_lookback", [(ONLY_SWING, "int", "3", "11"), (None, "is", "CAST(NULL AS BIGINT)")]),
+    ("min_rr", [(VARIANT, "float", "2", "5"), (WINRATE, "float", "2", "3")]),
+    ("exit_on_opposite_signal", [(VARIANT, "choice", [True, False]), (WINRATE, "choice", [True, True, True, False])]),
+    ("use_breakeven_stop", [(None, "choice", [True, False])]),
+    ("max_hold_bars", [(None, "choice", [0, 0, 15, 30, 60, 120])]),
+    ("zscore_confirmation", [(None, "choice", [True, False])]),
+]
+
+
+def rules_sql(rules, seed):
+    """The drawn parameters as SQL; later ones refer to earlier ones by name."""
+    picked = []
+    for name, cases in rules:
+        u = f"(('0x' || substr(md5('{seed}|' || draw || '|{name}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+        text = "CASE"
+        for condition, kind, *args in cases:
+            if kind == "int":
+                value = f"(({args[0]}) + floor({u} * greatest(({args[1]}) - ({args[0]}), 0)))::BIGINT"
+            elif kind == "float":
+                value = f"round({args[0]}::DOUBLE + {u} * ({args[1]}::DOUBLE - {args[0]}::DOUBLE), 4)"
+            elif kind == "choice":
+                value = f"({args[0]!r})[floor({u} * {len(args[0])})::INT + 1]"
+            else:
+                value = args[0]
+            text += f" WHEN {condition or 'true'} THEN {value}"
+        picked.append(f"{text} END AS {name}")
+    return ", ".join(picked)
+
+
+@query("K13b_dependent_parameters", "WITH d AS (SELECT s_suppkey AS draw, CASE WHEN s_suppkey % 2 = 0 THEN 'winrate' ELSE 'zscore_variants' END AS mode FROM supplier) SELECT draw, mode, " + rules_sql(MODE_RULES, 21) + " FROM d")
+def k13b(spark, d):
+    """All parameters of two sampling modes, with ranges that depend on earlier draws."""
+    mode = F.when(col("s_suppkey") % 2 == 0, "winrate").otherwise("zscore_variants")
+    return W.draw_by_rules(table(spark, d, "supplier").select(col("s_suppkey").alias("draw"), mode.alias("mode")), MODE_RULES, "draw", 21)
+
+
 @query("K14_neighbourhood", sql(f""", g AS (SELECT combo_id, f1, f2, f3, avg(CASE WHEN mfe_pts >= 0.2::DOUBLE * f1 * stop_pts * f2 THEN 0.3::DOUBLE * f1 ELSE r_multiple * f3 END) AS m
     FROM trades, (SELECT unnest([0.8, 1.0, 1.2])::DOUBLE AS f1), (SELECT unnest([0.8, 1.0, 1.2])::DOUBLE AS f2), (SELECT unnest([0.8, 1.0, 1.2])::DOUBLE AS f3) GROUP BY 1, 2, 3, 4)
   SELECT combo_id, count(*) AS n_cells, (count(*) FILTER (WHERE round(m, 9) > 0.33)) AS n_pass, (count(*) FILTER (WHERE round(m, 9) > 0.33)) >= 14 AS neighbourhood_pass FROM g GROUP BY 1""", TRADES))
