@@ -22,7 +22,7 @@ from tradeloom.llm.common import held_out, map_rows, step, table
 
 SAMPLE = 2000  # labelled rows of each class that the lexicon and the model are fitted on, at most
 TERMS = 2000  # terms of the lexicon, at most
-EVIDENCE, RATIO = 0.0, 8.0  # a term needs this G² beyond what the best of all candidates has by chance, and this ratio of rates
+EVIDENCE, RATIO = 4.0, 8.0  # a term needs this G² beyond what the best of all candidates has by chance, and this ratio of rates
 DISCOUNT = 0.85  # of a misspelt term's weight, for each edit
 CHANCE = 0.001  # of clean texts in which a misspelt term may show before only its right spelling counts
 FIRST = 5  # letters of a term whose first letter may be wrong
