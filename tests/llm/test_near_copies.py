@@ -3,7 +3,7 @@
 import random
 
 from tradeloom.llm import near_copies, simhash
-from tradeloom.llm.common import keep_smallest
+from tradeloom.llm.common import finish, keep_smallest, step
 
 SAME = " ".join(f"s{k}" for k in range(60))
 
@@ -84,3 +84,15 @@ def test_counts_never_rule_out_a_similar_pair():
             assert near_copies.possible(len(x), near_copies.counts(x), len(y), near_copies.counts(y))
     x, y = (near_copies.shingles(" ".join(f"{c}{k}" for k in range(300)).encode()) for c in "ab")
     assert not near_copies.possible(len(x), near_copies.counts(x), len(y), near_copies.counts(y))
+
+
+def test_a_finished_stage_leaves_only_its_result(spark):
+    from pathlib import Path
+
+    from tradeloom.session import shared_folder
+
+    folder = Path(shared_folder(spark))
+    before = {p.name for p in folder.iterdir()}
+    out = finish(lambda: step(step(spark.range(7), "inner-one"), "inner-two").where("id > 2"), "stage-result")
+    assert sorted(r.id for r in out.collect()) == [3, 4, 5, 6]
+    assert [p.name.split("-")[0] for p in folder.iterdir() if p.name not in before] == ["stage"]

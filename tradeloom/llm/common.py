@@ -64,6 +64,9 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield held
 
 
+_STEPS: list[str] = []  # folders written by this driver, in order
+
+
 def step(df: DataFrame, name: str) -> DataFrame:
     """Write a finished step and read it back; the shuffle files it no longer needs leave the disks at once.
 
@@ -71,11 +74,24 @@ def step(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _STEPS.append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finish(result: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write a whole stage and read it back; the steps it wrote on the way have no reader left and are removed."""
+    before = len(_STEPS)
+    out = step(result(), name)
+    spark = out.sparkSession
+    for path in _STEPS[before:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _STEPS[before:]
+    return out
+
+
 def text_hash(text: Column) -> Column:
     """Second half of a row's key; rows that share id and text are alike in every result."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
