@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tradeloom.operators.calibrate import interpolate
-from tradeloom.operators.ordered import place_in
+from tradeloom.operators.ordered import place_in, running
 from tradeloom.session import materialise
 
 UNIT = 512  # distinct probabilities of one part
@@ -175,15 +175,28 @@ def fits(moved: DataFrame, asked: DataFrame, keys: list[str], unit: int = UNIT,
         versions = _run(up, keys, _Parts, False)
 
 
-def recalibrate(df: DataFrame, keys: list[str], seq: str, p: str, y: str, min_fit: int, refit: int, name: str, window: int | None = None, unit: int = UNIT, fan: int = FAN) -> DataFrame:
+def seen_probabilities(rows: DataFrame, keys: list[str], seq: str, p: str, y: str, min_fit: int, refit: int, window: int | None) -> DataFrame:
+    """(keys, _fit, _seen): of the probabilities of a stretch's rows, those that the rows its refit learns from have as well."""
+    known = F.when(F.col(y).isNotNull(), F.col(seq))
+    last = rows.filter(F.col(p).isNotNull()).groupBy(*keys, "_fit", F.col(p).alias("_p")).agg(F.max(known).alias("_last"))
+    last = running(last, [*keys, "_p"], ["_fit"], [F.floor(F.col("_fit") / ROWS)], maxes={"_prior": F.col("_last")}, exclusive=True)
+    low = F.lit(0) if window is None else F.col("_fit") * refit + (min_fit - window)
+    return last.filter((F.col("_fit") >= 0) & (F.col("_prior") >= low)).groupBy(*keys, "_fit").agg(F.collect_list("_p").alias("_seen"))
+
+
+def recalibrate(df: DataFrame, keys: list[str], seq: str, p: str, y: str, min_fit: int, refit: int, name: str, window: int | None = None, unit: int = UNIT, fan: int = FAN, between: bool = True) -> DataFrame:
     """Refit every ``refit`` rows on the rows before (all, or the last ``window``) and apply to the next.
 
-    Rows before ``min_fit``, and stretches whose history has one class, keep the raw probability; a row without one stays
+    A probability that no learned row has lies on the line between its neighbours, or stays raw unless ``between``. Rows before ``min_fit``, and stretches whose history has one class, keep the raw probability; a row without one stays
     without. Rows without an outcome are not learned from. Equal positions are seen by the same refits.
     """
     rows = df.withColumn("_fit", F.floor((F.col(seq) - min_fit) / refit))
     asked = rows.filter("_fit >= 0").select(*keys, "_fit").distinct()
     moved = materialise(changes(df, keys, seq, p, y, min_fit, refit, window), "changes")
     table = fits(moved, asked, keys, unit, fan)
+    fitted = interpolate(F.col(p), F.col("x"), F.col("v"))
+    if not between:
+        table = table.join(seen_probabilities(rows, keys, seq, p, y, min_fit, refit, window), [*keys, "_fit"])
+        fitted = F.when(F.array_contains("_seen", F.col(p)), fitted)
     out = rows.join(table, [*keys, "_fit"], "left")
-    return out.withColumn(name, F.when(F.col(p).isNotNull(), F.coalesce(interpolate(F.col(p), F.col("x"), F.col("v")), F.col(p)))).drop("_fit", "x", "v")
+    return out.withColumn(name, F.when(F.col(p).isNotNull(), F.coalesce(fitted, F.col(p)))).drop("_fit", "x", "v", "_seen")
