@@ -58,3 +58,20 @@ def test_search(spark):
     for r in got:
         assert r.kind in ("even", "odd") and t[:, 0].min() <= r.x <= t[:, 0].max()
         assert r.nearest_tried == pytest.approx(np.sqrt((((t - [r.x, r.z]) / sd) ** 2).sum(axis=1)).min())
+
+
+def test_large_leaves_are_not_met_row_by_row(spark):
+    """Few leaves with thousands of distinct targets each: no join of rows with leaf contents, answers as before."""
+    train, asked = rows(spark, 6000).withColumn("y", F.col("y") + F.col("id") * 1e-7), rows(spark, 900, 2)
+    model = FR.fit_forest(train, ["x", "z"], "y", trees=3, depth=2)
+    out = FR.predicted_quantiles(model, train, asked, "id", "y", PROBS)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: (r.p10, r.p50, r.p90) for r in out.collect()}
+    place = lambda df: np.array([r._leaves.toArray() for r in model.transform(df).orderBy("id").select("_leaves").collect()])
+    leaf, ask, y = place(train), place(asked), np.array([r.y for r in train.orderBy("id").collect()])
+    order = np.argsort(y)
+    assert len(got) == 900
+    for i in range(0, 900, 9):
+        weight = sum((leaf[:, t] == ask[i, t]) / (leaf[:, t] == ask[i, t]).sum() / 3 for t in range(3))
+        upto = np.cumsum(weight[order])
+        assert got[i] == tuple(y[order][int(np.argmax(upto >= q - 1e-9))] for q in PROBS.values())

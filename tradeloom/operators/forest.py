@@ -2,15 +2,17 @@
 
 A forest's leaves keep the targets of the training rows that fall into them as counts per distinct value. A row's
 conditional distribution averages the leaves it falls into, each tree with equal weight; its quantiles are read off the
-cumulated weights. Leaves, weights and quantiles are joins and aggregations, so neither training targets nor rows pass
-through the driver; only the trees do.
+cumulated weights, first over ranges of the target, then inside one range, so that no row meets the contents of its leaves
+one by one. Neither training targets nor rows pass through the driver; the trees and their leaves' weights per range do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,10 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.maths import hash_uniform
-from tradeloom.operators.ordered import union_all
+from tradeloom.operators.ordered import place_in, union_all
 from tradeloom.session import materialise
 
 TREES, DEPTH, LEAST = 40, 10, 5
+RANGES, CHUNK = 64, 256  # ranges of the target, and rows handled at once
 SLACK = 1e-9  # weights add up to 1 but for rounding
 
 
@@ -39,22 +42,81 @@ def leaves(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     return placed.withColumn("_leaf", F.col("_leaf").cast("int"))
 
 
-def leaf_weights(model: PipelineModel, train: DataFrame, target: str) -> DataFrame:
-    """(_tree, _leaf, _y, _w): weight of every distinct training target in a leaf; a leaf's weights add up to 1 / trees."""
+def leaf_counts(model: PipelineModel, train: DataFrame, target: str) -> DataFrame:
+    """(_tree, _leaf, _y, _n): training rows of every distinct target in a leaf."""
     rows = leaves(model, train.filter(F.col(target).isNotNull()), [F.col(target).cast("double").alias("_y")])
-    counts = rows.groupBy("_tree", "_leaf", "_y").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.groupBy("_tree", "_leaf").agg(F.sum("_n").alias("_all"))
-    trees = model.stages[-1].getNumTrees
-    return counts.join(sizes, ["_tree", "_leaf"]).select("_tree", "_leaf", "_y", (F.col("_n") / F.col("_all") / trees).alias("_w"))
+    return rows.groupBy("_tree", "_leaf", "_y").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+
+
+def _ranges(batches: Iterator[pa.RecordBatch], sums: np.ndarray, width: int, probs: list[float]) -> Iterator[pa.RecordBatch]:
+    """The range of every quantile of every row, the weight below it and the row's leaves."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, CHUNK):
+            batch = whole.slice(at, CHUNK)
+            found = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1)
+            codes = found + np.arange(found.shape[1]) * width
+            upto = sums[codes].sum(axis=1)
+            packed = pa.array([c.astype(np.int32).tobytes() for c in codes], pa.binary())
+            for k, q in enumerate(probs):
+                reached = upto >= q - SLACK
+                place = np.where(reached.any(axis=1), reached.argmax(axis=1), reached.shape[1] - 1)
+                below = np.where(place > 0, upto[np.arange(len(place)), place - 1], 0.0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(np.full(len(place), k), pa.int32()), pa.array(place, pa.int32()), pa.array(below), packed], names=["_id", "_q", "_bin", "_base", "_codes"]
+                )
+
+
+def _inside(asked: pa.Table, held: pa.Table, sizes: np.ndarray, width: int, probs: list[float]) -> pa.Table:
+    """The quantiles that lie in one range: the values of its leaves are searched by halves, for many rows at once."""
+    values, place = np.unique(held["_y"].to_numpy(), return_inverse=True)
+    at = (held["_tree"].to_numpy().astype(np.int64) * width + held["_leaf"].to_numpy()) * len(values) + place
+    order = np.argsort(at, kind="stable")
+    at, cum = at[order], np.concatenate(([0], np.cumsum(held["_n"].to_numpy()[order], dtype=np.int64)))
+    answers = []
+    for start in range(0, asked.num_rows, CHUNK):
+        part = asked.slice(start, CHUNK)
+        codes = np.frombuffer(b"".join(part["_codes"].to_pylist()), np.int32).reshape(part.num_rows, -1).astype(np.int64)
+        share, first = sizes[codes], cum[np.searchsorted(at, codes * len(values))]
+        need = np.array(probs)[part["_q"].to_numpy()] - SLACK - part["_base"].to_numpy()
+        low, high = np.zeros(len(need), np.int64), np.full(len(need), len(values))  # the answer's place; the end if none reaches it
+        while (low < high).any():
+            mid = np.minimum((low + high) // 2, len(values) - 1)
+            weight = ((cum[np.searchsorted(at, codes * len(values) + mid[:, None], side="right")] - first) * share).sum(axis=1)
+            open_ = low < high
+            low, high = np.where(open_ & (weight < need), mid + 1, low), np.where(open_ & (weight >= need), mid, high)
+        answers.append(pa.array(np.append(values, 0.0)[low], pa.float64(), mask=low == len(values)))
+    return pa.table({"_id": asked["_id"], "_q": asked["_q"], "_y": pa.chunked_array(answers, pa.float64())})
 
 
 def predicted_quantiles(model: PipelineModel, train: DataFrame, rows: DataFrame, row_id: str, target: str, probs: dict[str, float]) -> DataFrame:
-    """(row_id, one column per probability): the smallest target whose cumulated weight reaches the probability."""
-    met = leaves(model, rows, [row_id]).join(leaf_weights(model, train, target), ["_tree", "_leaf"])
-    weighted = met.groupBy(row_id, "_y").agg(F.sum("_w").alias("_w"))  # at most the targets of its leaves per row
-    upto = F.sum("_w").over(Window.partitionBy(row_id).orderBy("_y"))
-    reached = weighted.withColumn("_upto", upto)
-    return reached.groupBy(row_id).agg(*[F.min(F.when(F.col("_upto") >= q - SLACK, F.col("_y"))).alias(name) for name, q in probs.items()])
+    """(row_id, one column per probability): the smallest target whose cumulated weight reaches the probability.
+
+    The targets are cut into ``RANGES``. The weight of every leaf in every range, a table whose size the trees bound, tells
+    the range of each answer; one unit of work then holds the leaf contents of one range, never those of a row's leaves.
+    """
+    names, marks = list(probs), list(probs.values())
+    counts = materialise(leaf_counts(model, train, target), "leaf-counts")
+    edges = counts.agg(F.percentile_approx("_y", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []
+    counts = counts.withColumn("_bin", place_in(F.lit(sorted(set(edges))).cast("array<double>"), F.col("_y"), RANGES))
+    book = counts.groupBy("_tree", "_leaf", "_bin").agg(F.sum("_n").alias("_n")).toArrow()  # trees x leaves x RANGES at most
+    trees, width = model.stages[-1].getNumTrees, max(t.numNodes // 2 + 1 for t in model.stages[-1].trees)
+    table = np.zeros((trees * width, RANGES))
+    table[book["_tree"].to_numpy().astype(np.int64) * width + book["_leaf"].to_numpy(), book["_bin"].to_numpy()] = book["_n"].to_numpy()
+    sizes = table.sum(axis=1)
+    sizes = np.divide(1.0 / trees, sizes, out=np.zeros_like(sizes), where=sizes > 0)
+    shared = rows.sparkSession.sparkContext.broadcast((table.cumsum(axis=1) * sizes[:, None], sizes))
+    kind = rows.schema[row_id].dataType.simpleString()
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _ranges(batches, shared.value[0], width, marks)
+
+    def inside(asked: pa.Table, held: pa.Table) -> pa.Table:
+        return _inside(asked, held, shared.value[1], width, marks)
+
+    placed = model.transform(rows).select(F.col(row_id).alias("_id"), vector_to_array("_leaves").alias("_at"))
+    asked = placed.mapInArrow(ranges, f"_id {kind}, _q int, _bin int, _base double, _codes binary")
+    found = asked.groupBy("_bin").cogroup(counts.groupBy("_bin")).applyInArrow(inside, f"_id {kind}, _q int, _y double")
+    return found.groupBy(F.col("_id").alias(row_id)).agg(*[F.max(F.when(F.col("_q") == k, F.col("_y"))).alias(name) for k, name in enumerate(names)])
 
 
 def by_fold(folds: int, work: Callable[[int], DataFrame]) -> DataFrame:
