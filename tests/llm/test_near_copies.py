@@ -96,3 +96,48 @@ def test_a_finished_stage_leaves_only_its_result(spark):
     out = finish(lambda: step(step(spark.range(7), "inner-one"), "inner-two").where("id > 2"), "stage-result")
     assert sorted(r.id for r in out.collect()) == [3, 4, 5, 6]
     assert [p.name.split("-")[0] for p in folder.iterdir() if p.name not in before] == ["stage"]
+
+
+def test_marks_rule_out_only_what_is_not_similar():
+    chance = random.Random(10)
+    for _ in range(300):
+        n = chance.choice([1, 3, 20, 400, 40000])
+        a = [f"w{chance.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(chance.randrange(1 + n // 30)):
+            b[chance.randrange(n)] = "other"
+        x, y = (near_copies.shingles(" ".join(t).encode()) for t in (a, b[chance.randrange(1 + n // 20) :]))
+        if near_copies.similar(x, y):
+            assert near_copies.agreeable(len(x), near_copies.marks(x), len(y), near_copies.marks(y))
+    words = [f"w{chance.randrange(10**6)}" for _ in range(6000)]
+    x, y = (near_copies.shingles(" ".join(words[:5000] + words[a:b]).encode()) for a, b in ((5000, 6000), (0, 0)))
+    z = near_copies.shingles(" ".join(words[1200:] + [f"v{k}" for k in range(1200)]).encode())
+    assert near_copies.similar(x, y) and not near_copies.similar(x, z)
+    assert near_copies.possible(len(x), near_copies.counts(x), len(z), near_copies.counts(z))
+    assert not near_copies.agreeable(len(x), near_copies.marks(x), len(z), near_copies.marks(z))
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """The index of fingerprints gives links; the lists need not find them again."""
+    words = [f"w{k * 7919 % 10007}" for k in range(900)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words + ["more"])), (2, " ".join(words[::-1]))], "doc_id long, text string")
+    prints = [simhash.majority(simhash.shingle_hashes(r["text"].encode(), near_copies.SHINGLE)) for r in docs.collect()]
+    assert prints[0] != prints[1] and (prints[0] ^ prints[1]).bit_count() <= simhash.MOST
+    monkeypatch.setattr(near_copies, "prefix", lambda own, frequent: own[:0])
+    roots = {r["doc_id"]: r["root"] for r in near_copies.near_copies(docs).collect()}
+    assert roots[0] == roots[1] != roots[2]
+
+
+def test_stages_leave_only_their_small_results(spark):
+    from pathlib import Path
+
+    import corpus_pipeline
+    from tradeloom.session import shared_folder
+
+    folder = Path(shared_folder(spark))
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(0, text), (1, text + " more"), (2, None), (3, text[::-1])], "doc_id long, text string")
+    for stage, left in ((corpus_pipeline.near_duplicates, "near-copies"), (corpus_pipeline.substrings, "changed-texts")):
+        before = {p.name for p in folder.iterdir()}
+        stage(spark, docs, "").count()
+        assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before} <= {left, "edges"}

@@ -80,14 +80,26 @@ def step(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of steps whose last reader has been written; frames that are no step are left alone."""
+    for df in frames:
+        folders = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        for path in [p for p in _STEPS if p.rsplit("/", 1)[-1] in folders]:
+            _remove(df.sparkSession, path)
+            _STEPS.remove(path)
+
+
 def finish(result: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Write a whole stage and read it back; the steps it wrote on the way have no reader left and are removed."""
+    """Write a whole result and read it back; the steps it wrote on the way have no reader left and are removed."""
     before = len(_STEPS)
     out = step(result(), name)
-    spark = out.sparkSession
     for path in _STEPS[before:-1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _remove(out.sparkSession, path)
     del _STEPS[before:]
     return out
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import free_names, map_rows, same_row, sorted_groups, step, table, text_hash
+from tradeloom.llm.common import finish, free_names, map_rows, same_row, sorted_groups, step, table, text_hash
 
 WINDOW = 35  # consecutive words judged together
 M = 6  # words hashed to one minimiser candidate
@@ -245,7 +245,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     unchanged; rows repeated with their id repeat each other's windows and lose them; an empty table stays empty.
     """
     doc_id, key, kept = free_names(docs, "_id", "_key", "_kept")
-    rows = repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key), F.col("kept_text").alias(kept)).dropDuplicates([doc_id, key])
+    rows = finish(lambda: repeats(docs).where("n_removed > 0").select("doc_id", "text_key", "kept_text").dropDuplicates(["doc_id", "text_key"]), "changed-texts")
+    rows = rows.select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key), F.col("kept_text").alias(kept))
     joined = docs.join(rows, same_row(docs, doc_id, key), "left")
     changed = {"text": F.coalesce(kept, docs["text"])}
     if "n_chars" in docs.columns:

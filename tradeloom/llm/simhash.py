@@ -30,23 +30,33 @@ FAN = 8  # children of a node
 PAIRS = 1 << 20  # node pairs expanded at once
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Majority bits of the shingles' hashes, as a signed long; no words gives 0."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hash of every shingle of words, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1]
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+        return np.array([digest(joined, seed)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1]
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half the hashes, as a signed long; none gives 0."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
     ones = np.add.reduce(bits, axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(ones, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Majority bits of the shingles' hashes, as a signed long; no words gives 0."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Place of each code in the reflected Gray sequence: prefix exclusive-or of its bits."""
     rank = codes.copy()
