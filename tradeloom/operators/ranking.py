@@ -75,11 +75,11 @@ def jaccard_matrix(baskets: DataFrame, basket: str, member: str) -> DataFrame:
     return pairs.select("basket_a", "basket_b", both.alias("n_shared"), F.coalesce(safe_div(both, either), F.lit(0.0)).alias("jaccard"))
 
 
-def shared_baskets(left: DataFrame, right: DataFrame, member: str) -> DataFrame:
-    """Members of exactly one of two baskets, with the side they are on."""
-    a, b = left.select(member).distinct(), right.select(member).distinct()
-    only_a = a.join(b, member, "left_anti").withColumn("only_in", F.lit("a"))
-    return only_a.unionByName(b.join(a, member, "left_anti").withColumn("only_in", F.lit("b")))
+def basket_difference(df: DataFrame, member: str, in_left: Column, in_right: Column, least: int) -> DataFrame:
+    """Members with at least ``least`` rows in exactly one of two baskets, with its side; one count per member and no join of rows."""
+    sizes = df.filter(F.col(member).isNotNull()).groupBy(member).agg(F.count_if(in_left).alias("_a"), F.count_if(in_right).alias("_b"))
+    a, b = F.col("_a") >= least, F.col("_b") >= least
+    return sizes.filter(a != b).select(member, F.when(a, "a").otherwise("b").alias("only_in"))
 
 
 def stability_arms(df: DataFrame, keys: list[str], gross: str, fractions: list[float], k: int, least: int, years: float = TRAIN_YEARS,
