@@ -73,3 +73,17 @@ def test_pooling_of_parts_is_pooling_of_rows():
     cells = [(x, x, float(n), float(rng.integers(0, n + 1))) for x, n in zip(np.sort(rng.random(300)), rng.integers(1, 5, 300))]
     for cut in (1, 50, 299):
         assert RC.pooled(RC.pooled(cells[:cut]) + RC.pooled(cells[cut:])) == RC.pooled(cells)
+
+
+@pytest.mark.parametrize("run", [4, 2048])
+def test_counted_stretches(spark, scored, run):
+    """Fits side by side from counts give each row what following its stream gives, over several runs and windows."""
+    df = spark.createDataFrame(scored.assign(p=scored.p.round(1))).repartition(5)
+    cells = df.groupBy("k", F.floor(F.col("seq") / 10).alias("_at"), "p").agg(F.count("*").alias("rows"), F.count("y").alias("n"), F.sum("y").alias("s"))
+    plans = {"all": (2, None), "last": (3, 13), "each": (1, 5)}
+    got = RC.stretch_values(cells, ["k"], 10, plans, run).toPandas().set_index(["k", "_at", "p"])
+    assert len(got) == cells.count() and got.rows.sum() == len(scored)
+    for name, (refit, window) in plans.items():
+        want = RC.recalibrate(df, ["k"], "seq", "p", "y", 100, 10 * refit, "c", window and 10 * window, between=False).toPandas()
+        for r in want.itertuples():
+            assert got.loc[(r.k, r.seq // 10, r.p), name] == pytest.approx(r.c, abs=1e-12)

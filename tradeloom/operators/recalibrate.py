@@ -5,6 +5,9 @@ change: it enters a cell (stream, probability) at the first refit that sees it,
 does. The probability range of a stream is cut into parts; a task follows one part through the refits and pools it again
 only where cells changed, which gives a new version of the part's blocks. Pooling the blocks of neighbouring parts equals
 pooling their rows, so versions are merged up a tree over the parts, ``FAN`` at a time; the top is the fit.
+
+Streams of few distinct probabilities need no tree: rows are counted per stretch and probability, and the refits of a run of
+stretches are fitted side by side from cumulative counts (``stretch_values``), so a long stream is spread over its runs.
 """
 
 from __future__ import annotations
@@ -13,8 +16,9 @@ from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,6 +31,9 @@ UNIT = 512  # distinct probabilities of one part
 FAN = 64  # parts merged by one node of the tree
 PARTS = 65536  # most parts
 ROWS = 4096  # versions per batch a task hands on
+FEW = 64  # most distinct probabilities of a stream whose refits are fitted side by side
+RUN = 2048  # stretches of a run, unless a window reaches further
+CELLS = 1 << 16  # cells a task fits together, beyond whole runs
 
 Block = tuple[float, float, float, float]  # lowest and highest probability, weight, weighted sum of outcomes
 
@@ -200,3 +207,129 @@ def recalibrate(df: DataFrame, keys: list[str], seq: str, p: str, y: str, min_fi
         fitted = F.when(F.array_contains("_seen", F.col(p)), fitted)
     out = rows.join(table, [*keys, "_fit"], "left")
     return out.withColumn(name, F.when(F.col(p).isNotNull(), F.coalesce(fitted, F.col(p)))).drop("_fit", "x", "v", "_seen")
+
+
+# ---------------------------------------------------------------- streams of few distinct probabilities
+
+
+def most_probabilities(cells: DataFrame, keys: list[str]) -> int:
+    """The largest number of distinct probabilities of a stream."""
+    per = cells.groupBy(*keys).agg(F.count_distinct("p").alias("d"))
+    return per.agg(F.max("d")).first()[0] or 0
+
+
+def _isotonic(n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Fits of many rows of counts at once: the largest over left ends of the smallest mean to right ends."""
+    width = n.shape[1]
+    cn, cs = (np.concatenate((np.zeros((len(x), 1)), np.cumsum(x, axis=1)), axis=1) for x in (n, s))
+    best = np.full(n.shape, -np.inf)
+    for lo in range(width):
+        weight = cn[:, lo + 1 :] - cn[:, lo : lo + 1]
+        mean = np.divide(cs[:, lo + 1 :] - cs[:, lo : lo + 1], weight, out=np.full(weight.shape, np.inf), where=weight > 0)
+        least = np.minimum.accumulate(mean[:, ::-1], axis=1)[:, ::-1]
+        best[:, lo:] = np.maximum(best[:, lo:], least)
+    return best
+
+
+def _fit_runs(table: pa.Table, group: np.ndarray, span: int, back: int, first: int, plans: list[tuple[int, int | None]]) -> pa.Table:
+    """Own cells (kind 2) of whole runs with one value per plan; kinds 0 and 1 are counts before the run and borrowed cells."""
+    unit, at, p, n, s, kind = (table.column(c).to_numpy() for c in ("_run", "_at", "p", "n", "s", "_kind"))
+    by = np.lexsort((p, group))
+    new = np.ones(len(by), bool)
+    new[1:] = group[by][1:] != group[by][:-1]
+    step = new.copy()
+    step[1:] |= p[by][1:] != p[by][:-1]
+    count = np.cumsum(step) - 1
+    rank = np.empty(len(by), np.int64)
+    rank[by] = count - np.maximum.accumulate(np.where(new, count, 0))
+    groups, width = int(group.max()) + 1, int(rank.max()) + 1
+    rel = np.where(kind > 0, at - (unit * span - back), 0)
+    size = np.zeros(groups, np.int64)
+    np.maximum.at(size, group, rel + 2)
+    base = np.cumsum(size) - size
+    carry, upto = np.zeros((2, groups, width)), np.zeros((2, int(size.sum()), width))
+    for i, x in enumerate((n, s)):
+        old, seen = kind == 0, kind > 0
+        np.add.at(carry[i], (group[old], rank[old]), x[old])
+        np.add.at(upto[i], (base[group[seen]] + rel[seen] + 1, rank[seen]), x[seen])
+    upto = np.cumsum(upto, axis=1)
+    own = kind == 2
+    g, r, t, own_p = group[own], rank[own], at[own], p[own]
+    out = table.filter(pa.array(own))
+    for i, (refit, window) in enumerate(plans):
+        k = (t - first) // refit
+        anchor = first + k * refit - (unit[own] * span - back)
+        fit, where = np.unique(np.where(k >= 0, base[g] + anchor, -1), return_inverse=True)
+        of = np.empty(len(fit), np.int64)
+        of[where] = g
+        if window is None:
+            seen = carry[:, of] + upto[:, fit] - upto[:, base[of] + back]
+        else:
+            seen = upto[:, fit] - upto[:, np.maximum(fit - window, 0)]
+        weight, ones = seen.sum(axis=2)
+        sound = (fit >= 0) & (ones > 0) & (ones < weight)
+        values = np.where((seen[0] > 0) & sound[:, None], _isotonic(*seen), np.nan)[where, r]
+        out = out.append_column(f"_v{i}", pa.array(np.where(np.isnan(values), own_p, values)))
+    return out
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str], fit, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Cuts sorted rows at ends of runs and fits those it has, some ``CELLS`` at a time."""
+    def marks(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for c in names:
+            codes = table.column(c).combine_chunks().dictionary_encode()
+            codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
+            codes = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        return new
+
+    def done(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from fit(table, np.cumsum(new)).select(out.names).cast(out).to_batches()
+
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) < CELLS:
+            continue
+        table = pa.Table.from_batches(waiting)
+        new = marks(table)
+        cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if cut:
+            yield from done(table.slice(0, cut), new[:cut])
+        waiting = table.slice(cut).combine_chunks().to_batches()
+    if any(b.num_rows for b in waiting):
+        table = pa.Table.from_batches(waiting)
+        yield from done(table, marks(table))
+
+
+def stretch_values(cells: DataFrame, keys: list[str], first: int, plans: dict[str, tuple[int, int | None]], run: int = RUN) -> DataFrame:
+    """``cells`` with the recalibrated value of every plan {name: (refit, window)}; equals ``recalibrate`` with ``between=False``.
+
+    Cells are (keys, _at, p, rows, n, s): rows of a stretch of the stream with a probability, those of them with an outcome, and
+    the sum of these. ``first``, refit and window count stretches; a window of None reads all history. The number of distinct
+    probabilities of a stream should be at most ``FEW``. Cells without a probability get NULL.
+    """
+    back = max(refit + (window or 0) for refit, window in plans.values())
+    span = max(run, back)
+    home = F.floor(F.col("_at") / span).cast("bigint")
+    known = cells.filter(F.col("p").isNotNull()).withColumn("_run", home)
+    known = known.withColumns({"p": F.col("p").cast("double"), "n": F.col("n").cast("double"), "s": F.coalesce(F.col("s").cast("double"), F.lit(0.0))})
+    mine = known.withColumn("_kind", F.lit(2))
+    lent = known.filter(F.col("_at") - F.col("_run") * span >= span - back).withColumns({"_run": F.col("_run") + 1, "_kind": F.lit(1)})
+    last = known.groupBy(*keys).agg(F.max("_run").alias("_last")).filter("_last > 0")
+    sums = known.groupBy(*keys, "_run", "p").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(last, keys)
+    runs = sums.select(*keys, "p", "_last").distinct().select(*keys, "p", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_run"))
+    before = Window.partitionBy(*keys, "p").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    past = runs.join(sums.drop("_last"), [*keys, "p", "_run"], "left").select(*keys, "p", "_run", *[F.sum(c).over(before).alias(c) for c in ("n", "s")])
+    past = past.filter("n is not null").withColumn("_kind", F.lit(0))
+    lent = lent.join(last, keys).filter("_run <= _last").drop("_last")
+    rows = mine.unionByName(lent).unionByName(past, allowMissingColumns=True)
+    rows = rows.withColumns({"_at": F.coalesce("_at", F.lit(0).cast("bigint")), "rows": F.coalesce("rows", F.lit(0).cast("bigint"))})
+    rows = rows.select(*keys, "_run", "_at", "p", "rows", "n", "s", "_kind")
+    schema = T.StructType([rows.schema[c] for c in (*keys, "_at", "p", "rows", "n", "s")] + [T.StructField(f"_v{i}", T.DoubleType()) for i in range(len(plans))])
+    fit = partial(_fit_runs, span=span, back=back, first=first, plans=list(plans.values()))
+    work = partial(_whole_runs, names=[*keys, "_run"], fit=fit, out=to_arrow_schema(schema))
+    out = rows.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run").mapInArrow(work, schema)
+    out = out.withColumnsRenamed({f"_v{i}": name for i, name in enumerate(plans)})
+    return out.unionByName(cells.filter(F.col("p").isNull()).withColumns({name: F.lit(None).cast("double") for name in plans}))
