@@ -124,7 +124,7 @@ def b9(spark, d):
   e AS (SELECT combo_id, sim, round(sum(n * abs(p - y)) / sum(n), 9) AS ece FROM g GROUP BY 1, 2)
   SELECT combo_id, {rounded(low='quantile_cont(ece, 0.025)', p50='median(ece)', high='quantile_cont(ece, 0.975)', below_gate='avg((ece < 0.27)::INT)')} FROM e GROUP BY 1""", TRADES))
 def b10(spark, d):
-    t = ordered_trades(spark, d)
+    t = materialise(ordered_trades(spark, d).select(*BY, "seq", "n_combo", "pwin", "outcome"), "ordered")
     sims = B.bootstrap_ece(t, BY, "pwin", "outcome", ECE_SIMS, 7, count="n_combo")
     e = materialise(sims.withColumn("ece", F.round("ece", 9)), "errors")
     out = B.across_sims(e, BY, "ece", {"low": 0.025, "p50": 0.5, "high": 0.975}).join(e.groupBy(*BY).agg(F.avg((col("ece") < 0.27).cast("int")).alias("below_gate")), BY)
