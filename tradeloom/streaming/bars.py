@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tradeloom.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STRETCH = 1 << 16  # ticks handed on at once
 
 
 def read_ticks(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -58,14 +60,20 @@ class _Mean(StatefulProcessor):
         self.mean = handle.getValueState("mean", "mean double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["time", "tick_id"])
+        parts = [tuple(r[c].to_numpy() for c in ("time", "tick_id", "value")) for r in rows]
+        time, tick, value = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        order = np.lexsort((tick, time))
+        del time
         mean = self.mean.get()[0] if self.mean.exists() else None
-        out = []
-        for value in batch["value"]:
-            mean = value if mean is None else self.alpha * value + (1.0 - self.alpha) * mean
-            out.append(mean)
+        for low in range(0, len(order), STRETCH):
+            at = order[low : low + STRETCH]
+            out = []
+            for v in value[at].tolist():
+                mean = v if mean is None else self.alpha * v + (1.0 - self.alpha) * mean
+                out.append(mean)
+            yield pd.DataFrame({"symbol": key[0], "tick_id": tick[at], "ema": out})
         self.mean.update((float(mean),))
-        yield pd.DataFrame({"symbol": key[0], "tick_id": batch["tick_id"], "ema": out})
 
     def close(self) -> None:
         pass
