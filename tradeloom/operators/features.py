@@ -61,11 +61,15 @@ def unsorted_rows(df: DataFrame, keys: list[str], seq: str, bar: str) -> DataFra
     return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("_back"), F.lit(0)).alias("n_unsorted"))
 
 
+def reaches(rr: Column) -> Column:
+    """Whether a trade's best excursion reaches a target ratio."""
+    return F.col("mfe_pts") >= rr * F.col("stop_pts")
+
+
 def expand_levels(df: DataFrame, levels: list[float] | None = None) -> DataFrame:
     """One row per trade and target ratio, with whether its best excursion reaches the target."""
     out = df.withColumn("candidate_rr", F.explode(F.array(*[F.lit(x) for x in levels or RR_LEVELS])))
-    won = F.col("mfe_pts") >= F.col("candidate_rr") * F.col("stop_pts")
-    return out.withColumn("would_win", won.cast("tinyint"))
+    return out.withColumn("would_win", reaches(F.col("candidate_rr")).cast("tinyint"))
 
 
 def expected_r(p: Column, rr: Column) -> Column:
