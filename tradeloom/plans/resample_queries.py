@@ -106,8 +106,7 @@ def b7(spark, d):
   p AS (SELECT x.seq % 17 AS place, x.r_multiple AS r, y.r_multiple AS rp FROM d x JOIN d y ON y.combo_id = x.combo_id AND y.blk = x.blk AND y.a = x.c)
   SELECT place, count(*) AS n, {rounded(mean_r='avg(r)', mean_permuted='avg(rp)')} FROM p GROUP BY 1""", TRADES))
 def b8(spark, d):
-    t = ordered_trades(spark, d).withColumn("blk", F.floor(col("seq") / 17))
-    out = B.permute_in_blocks(t, BY, "blk", "seq", "r_multiple", 1337)
+    out = B.permute_positions(ordered_trades(spark, d), BY, 17, "r_multiple", 1337)
     return out.groupBy((col("seq") % 17).alias("place")).agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("r_multiple")).alias("mean_r"), tidy(F.avg("r_multiple_permuted")).alias("mean_permuted"))
 
 
