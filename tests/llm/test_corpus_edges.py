@@ -243,3 +243,32 @@ def test_stages_take_any_columns(spark):
     none = docs.where("1 = 0")
     for out in (repeats.cut_repeats(none), decontaminate.drop_contaminated(none, benchmark), keep_smallest(none, near_copies.near_copies(none))):
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_words_of_all_blocks_are_followed_at_once():
+    """Same words as from id to id, also for escapes, part blocks and widths that hold few or most ids; no step per id."""
+    chance = np.random.default_rng(3)
+    for n, block in ((1, 4), (37, 8), (700, 64), (5000, 4096)):
+        for most in (2, 300, 49408, 2**32 - 1):
+            ids = (chance.integers(0, most, n, dtype=np.uint64, endpoint=True) >> chance.integers(0, 24, n).astype(np.uint64)).astype("<u4")
+            for some in (ids, ids.astype(np.uint64) << np.uint64(chance.integers(0, 32))):
+                words, starts = token_file.encode(some, block)
+                at, first, total = 0, [], 0
+                while at < n:
+                    if at % block == 0:
+                        first.append(total)
+                    end = min((at // block + 1) * block, n)
+                    fit = next((count for count, bits in token_file.LAYOUT if int(some[at : min(at + count, end)].max()) < 1 << bits), 0)
+                    total += 1 if fit else 2
+                    at = min(at + fit, end) if fit else at + 1
+                assert len(words) == total and starts.tolist() == first
+                assert (token_file.decode(words, starts.astype(np.int64), n, block) == some).all()
+    taken = np.ones(1 << 20, dtype=np.int32)
+    assert len(token_file._heads(np.arange(1 << 20, dtype=np.int32), taken, 256)) == 1 << 20
+
+
+def test_blanks_beside_a_space_are_seen():
+    encoder = tokens.Encoder(packing.vocabulary_path("word_bpe_49k.json"), False)
+    for blank in ("\t", "\n", " ", " ", " "):
+        assert encoder.pieces(f"a {blank}b") is None and encoder.pieces(f"a{blank} b") is None
+    assert encoder.pieces("a b\nc d") == ["a", "b\nc", "d"]

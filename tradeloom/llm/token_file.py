@@ -37,38 +37,67 @@ SEGMENT = 1 << 19  # ids after which a segment is closed
 # fixed values: ids in a word and bits of each, by selector from 1
 LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 
+SPARSE = 16  # where fewer than one in so many ids fits a width, these alone are looked at
+
 _HEAD = "<4sIIIIQ"
 
 
+def _heads(place: np.ndarray, taken: np.ndarray, block: int) -> np.ndarray:
+    """First ids of the words, followed from word to word in all blocks at once; behind each block lies a place that leads to itself."""
+    blocks = -(-len(place) // block)
+    home = place + place // block
+    after = np.arange(blocks * (block + 1))
+    after[home] = home + taken
+    found, at = [], np.arange(blocks) * (block + 1)
+    while True:
+        found.append(at)
+        then = after[at]
+        if (then == at).all():
+            break
+        at = then
+    heads = np.stack(found, axis=1).ravel()
+    heads = heads[after[heads] != heads]
+    return heads - heads // (block + 1)
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, words before each block) of unsigned 64-bit ``ids``."""
     n = len(ids)
     if not n:
         return np.zeros(0, dtype="<u8"), np.zeros(0, dtype="<u4")
-    ids = ids.astype(np.uint64)
-    place = np.arange(n)
-    block_end = np.minimum((place // block + 1) * block, n)
-    selector, taken = np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64)
+    narrow, ids = ids, ids.astype(np.uint64)  # compared as they are
+    place = np.arange(n, dtype=np.int32)
+    block_end = np.minimum((place // block + 1) * block, n).astype(np.int32)
+    selector, taken = np.zeros(n, dtype=np.int8), np.ones(n, dtype=np.int32)
     undecided = np.ones(n, dtype=bool)
     for k, (count, bits) in enumerate(LAYOUT, 1):
-        small = np.flatnonzero(ids < np.uint64(1 << bits))
-        if not len(small):
+        if bits >= 8 * narrow.itemsize:
+            large, few = np.zeros(n, dtype=bool), n
+        else:
+            large = narrow >= narrow.dtype.type(1 << bits)
+            few = n - np.count_nonzero(large)
+        if not few:
             continue
-        stop = np.minimum(small + count, block_end[small])
-        last = np.arange(len(small)) + (stop - small) - 1
-        inside = last < len(small)
-        fits = inside & (small[np.where(inside, last, 0)] == stop - 1) & undecided[small]  # the ids up to ``stop`` are all small
-        starts = small[fits]
-        selector[starts], taken[starts] = k, stop[fits] - starts
+        if few * SPARSE < n:
+            small = np.flatnonzero(~large)
+            stop = np.minimum(small + count, block_end[small])
+            last = np.arange(len(small)) + (stop - small) - 1
+            inside = last < len(small)
+            starts = small[inside & (small[np.where(inside, last, 0)] == stop - 1) & undecided[small]]  # the ids up to ``stop`` are all small
+        else:
+            upto = np.zeros(n + count + 1, dtype=np.int32)
+            np.cumsum(large, out=upto[1 : n + 1])
+            upto[n + 1 :] = upto[n]
+            fits = (upto[count : n + count] == upto[:n]) & undecided
+            edge = np.flatnonzero(block_end - place < count)  # these words end with their block
+            fits[edge] = (upto[block_end[edge]] == upto[edge]) & undecided[edge]
+            starts = np.flatnonzero(fits)
+        selector[starts], taken[starts] = k, np.minimum(starts + count, block_end[starts]) - starts
         undecided[starts] = False
-        if len(small) == n:
+        if few == n:
             break  # every id fits this width
-    after, heads, at = (place + taken).tolist(), [], 0
-    while at < n:
-        heads.append(at)
-        at = after[at]
-    head = np.array(heads)
-    kind, size = selector[head], taken[head]
+    head = _heads(place, taken, block)
+    kind, size = selector[head].astype(np.int64), taken[head]
     width = np.where(kind == 0, 2, 1)  # an escape takes a second word
     slot = np.cumsum(width) - width
     bits = np.array([0] + [b for _, b in LAYOUT], dtype=np.uint64)[kind]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-import struct
+import sys
+from array import array
+from operator import itemgetter
 
 import numpy as np
 import tokenizers
@@ -16,7 +18,7 @@ TOGETHER = 4096  # pieces encoded in one call
 # letters, stops and single line breaks: every tokenizer of these families starts a token where one of them ends
 _FINE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,]+|\n(?!\n)")
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,]+")
-_BESIDE = re.compile(r" \s|\s ")  # a space beside another blank; a line break inside a piece is left to the tokenizer
+_BESIDE = re.compile(r" (?:\s|(?<=\s ))")  # a space beside another blank; a line break inside a piece is left to the tokenizer
 
 # byte-level vocabularies write each byte as a printable character: itself if it is one, else the next free one from 256 on
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -24,7 +26,10 @@ _BYTES = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class Encoder:
@@ -56,7 +61,9 @@ class Encoder:
 
     def word(self, piece: str) -> bytes:
         """Ids of letters or stops, with their leading space if any."""
-        mapped = (piece if self.lead else piece.lower()).encode().decode("latin-1").translate(_BYTES)
+        mapped = piece if self.lead else piece.lower()
+        if self.lead or not mapped.isascii():
+            mapped = mapped.encode().decode("latin-1").translate(_BYTES)
         return _packed([t.id for t in self.model(mapped)])
 
     def learn(self, pieces: list[str]) -> None:
@@ -85,7 +92,7 @@ class Encoder:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = list(set().union(*[p for p in cut if p]).difference(memo))
+        new = list({p for pieces in cut if pieces for p in pieces if p not in memo})
         parts = [f if len(f) > 1 and len("".join(f)) == len(p) else None for p, f in zip(new, map(_FINE.findall, new))]
         fine = set().union(*[f for f in parts if f]).union([p for p, f in zip(new, parts) if not f]).difference(memo)
         self.learn(list(fine))
@@ -93,7 +100,7 @@ class Encoder:
         for piece, f in zip(new, parts):
             if f:
                 memo[piece] = b"".join(map(get, f))
-        out = [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
+        out = [self.whole(t) if pieces is None else b"".join(itemgetter(*pieces)(memo)) if len(pieces) > 1 else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
         for piece in new:
             if len(piece) > LONGEST or "\n" in piece:
                 del memo[piece]
