@@ -33,6 +33,7 @@ from tradeloom.session import scratch_path
 
 END = 2
 BLOCK = 4096  # ids of a block
+MEMO = 1_200_000  # pieces a worker remembers, some 200 MB
 SEGMENT = 1 << 19  # ids after which a segment is closed
 # fixed values: ids in a word and bits of each, by selector from 1
 LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -185,7 +186,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end: int = END, se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        encoder, last = worker_encoder(vocabulary, lead=False), np.array([end], dtype="<u4").tobytes()
+        encoder, last = worker_encoder(vocabulary, lead=False, most=MEMO), np.array([end], dtype="<u4").tobytes()
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
         size = 0

@@ -43,8 +43,8 @@ class Encoder:
     that is always a token of its own; pieces that hold the separator are encoded alone.
     """
 
-    def __init__(self, path: str, lead: bool):
-        self.tokenizer, self.lead, self.memo = Tokenizer.from_file(path), lead, {}
+    def __init__(self, path: str, lead: bool, most: int = MEMO):
+        self.tokenizer, self.lead, self.most, self.memo = Tokenizer.from_file(path), lead, most, {}
         self.model = self.tokenizer.model.tokenize
         self.gap = "\n" if lead else " | "
         (self.gap_id,) = self.tokenizer.encode(self.gap, add_special_tokens=False).ids
@@ -90,7 +90,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) if t else [] for t in texts]
         memo = self.memo
-        if len(memo) > MEMO:
+        if len(memo) > self.most:
             memo.clear()
         new = list({p for pieces in cut if pieces for p in pieces if p not in memo})
         parts = [f if len(f) > 1 and len("".join(f)) == len(p) else None for p, f in zip(new, map(_FINE.findall, new))]
@@ -107,9 +107,9 @@ class Encoder:
         return out
 
 
-def worker_encoder(path: str, lead: bool) -> Encoder:
+def worker_encoder(path: str, lead: bool, most: int = MEMO) -> Encoder:
     """The encoder of this Python process, which serves many tasks: later tasks find the words of earlier ones known."""
     kept = vars(tokenizers).setdefault("_kept_encoders", {})
-    if (path, lead) not in kept:
-        kept[path, lead] = Encoder(path, lead)
-    return kept[path, lead]
+    if (path, lead, most) not in kept:
+        kept[path, lead, most] = Encoder(path, lead, most)
+    return kept[path, lead, most]
