@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import compare
 from tradeloom.operators import calibrate as C
+from tradeloom.plans import ORACLE, QUERIES
 from tradeloom.plans import calibrate_queries as Q
 from tradeloom.plans.inputs import trades
 from tradeloom.streaming import bars as ST
@@ -56,3 +57,14 @@ def test_mean_is_handed_on_in_stretches(monkeypatch):
     assert [len(o) for o in out] == [10, 10, 10, 5]
     whole, want = pd.concat(out), ticks.sort_values("time").value.ewm(span=3, adjust=False).mean()
     assert whole.tick_id.tolist() == list(range(35)) and np.allclose(whole.ema, want) and mean.mean.get()[0] == whole.ema.iloc[-1]
+
+
+@pytest.mark.parametrize("name", ["C11_rolling_recalibration"])
+def test_few_probabilities_take_no_row_per_level(spark, monkeypatch, name):
+    """Neither trades times ratios nor changes per row are written or sent."""
+    def refuse(*args, **kwargs):
+        raise AssertionError("a row per level")
+
+    for place, what in ((Q, "leveled"), (Q, "global_levels"), (Q.RC, "recalibrate")):
+        monkeypatch.setattr(place, what, refuse)
+    assert compare.compare(spark, compare.duck(SMALL), name, QUERIES[name], ORACLE[name], SMALL) == ""

@@ -87,3 +87,20 @@ def test_counted_stretches(spark, scored, run):
         want = RC.recalibrate(df, ["k"], "seq", "p", "y", 100, 10 * refit, "c", window and 10 * window, between=False).toPandas()
         for r in want.itertuples():
             assert got.loc[(r.k, r.seq // 10, r.p), name] == pytest.approx(r.c, abs=1e-12)
+
+
+@pytest.mark.parametrize("run", [4, 2048])
+@pytest.mark.parametrize("window", [None, 50])
+def test_sums_of_counted_stretches(spark, scored, run, window):
+    """Sums of two levels, over cells in use only, are those of the rows of recalibrated streams."""
+    rows = scored.assign(p=scored.p.round(1).where(scored.seq % 11 > 0), rare=scored.y * (scored.seq % 3 == 0), use=scored.seq >= 120)
+    df = spark.createDataFrame(rows).repartition(5).withColumn("p", F.nanvl("p", F.lit(None)))
+    counts = [F.count("*").alias("rows"), F.count("y").alias("n"), F.sum("y").alias("s0"), F.sum("rare").alias("s1")]
+    cells = df.groupBy("k", F.floor(F.col("seq") / 10).alias("_at"), "p", "use").agg(*counts)
+    got = RC.stretch_sums(cells, ["k"], {1.0: "s0", 2.0: "s1"}, 10, 2, window and window // 10, run).groupBy("k", "rr").agg(*[F.sum(c).alias(c) for c in ("rows", "known", "n", "c", "b")]).toPandas().set_index(["k", "rr"])
+    for rr, y in ((1.0, "y"), (2.0, "rare")):
+        want = RC.recalibrate(df, ["k"], "seq", "p", y, 100, 20, "cal", window, between=False).filter("use").toPandas()
+        for k, g in want.groupby("k"):
+            have = got.loc[k, rr]
+            assert (have["rows"], have.known) == (len(g), g.cal.notna().sum())
+            assert have.c == pytest.approx(g.cal.sum()) and have.b == pytest.approx(((g.cal - g[y]) ** 2).sum())

@@ -231,9 +231,12 @@ def _isotonic(n: np.ndarray, s: np.ndarray) -> np.ndarray:
     return best
 
 
-def _fit_runs(table: pa.Table, group: np.ndarray, span: int, back: int, first: int, plans: list[tuple[int, int | None]]) -> pa.Table:
-    """Own cells (kind 2) of whole runs with one value per plan; kinds 0 and 1 are counts before the run and borrowed cells."""
-    unit, at, p, n, s, kind = (table.column(c).to_numpy() for c in ("_run", "_at", "p", "n", "s", "_kind"))
+def _own_values(table: pa.Table, group: np.ndarray, span: int, back: int, first: int, plans: list[tuple[int, int | None]], pairs: list[tuple[str, str]]) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """Which cells are own ones (kind 2) of whole runs, and for each pair of counts their values by each plan.
+
+    Kinds 0 and 1 are counts before the run and borrowed cells.
+    """
+    unit, at, p, kind = (table.column(c).to_numpy() for c in ("_run", "_at", "p", "_kind"))
     by = np.lexsort((p, group))
     new = np.ones(len(by), bool)
     new[1:] = group[by][1:] != group[by][:-1]
@@ -247,32 +250,66 @@ def _fit_runs(table: pa.Table, group: np.ndarray, span: int, back: int, first: i
     size = np.zeros(groups, np.int64)
     np.maximum.at(size, group, rel + 2)
     base = np.cumsum(size) - size
-    carry, upto = np.zeros((2, groups, width)), np.zeros((2, int(size.sum()), width))
-    for i, x in enumerate((n, s)):
-        old, seen = kind == 0, kind > 0
-        np.add.at(carry[i], (group[old], rank[old]), x[old])
-        np.add.at(upto[i], (base[group[seen]] + rel[seen] + 1, rank[seen]), x[seen])
-    upto = np.cumsum(upto, axis=1)
-    own = kind == 2
+    own, old, seen = kind == 2, kind == 0, kind > 0
     g, r, t, own_p = group[own], rank[own], at[own], p[own]
-    out = table.filter(pa.array(own))
-    for i, (refit, window) in enumerate(plans):
+    fits = []
+    for refit, window in plans:
         k = (t - first) // refit
         anchor = first + k * refit - (unit[own] * span - back)
         fit, where = np.unique(np.where(k >= 0, base[g] + anchor, -1), return_inverse=True)
         of = np.empty(len(fit), np.int64)
         of[where] = g
-        if window is None:
-            seen = carry[:, of] + upto[:, fit] - upto[:, base[of] + back]
-        else:
-            seen = upto[:, fit] - upto[:, np.maximum(fit - window, 0)]
-        weight, ones = seen.sum(axis=2)
-        sound = (fit >= 0) & (ones > 0) & (ones < weight)
-        values = np.where((seen[0] > 0) & sound[:, None], _isotonic(*seen), np.nan)[where, r]
-        out = out.append_column(f"_v{i}", pa.array(np.where(np.isnan(values), own_p, values)))
+        fits.append((window, fit, where, of))
+    values = []
+    for pair in pairs:
+        carry, upto = np.zeros((2, groups, width)), np.zeros((2, int(size.sum()), width))
+        for i, x in enumerate(table.column(c).to_numpy() for c in pair):
+            np.add.at(carry[i], (group[old], rank[old]), x[old])
+            np.add.at(upto[i], (base[group[seen]] + rel[seen] + 1, rank[seen]), x[seen])
+        upto = np.cumsum(upto, axis=1)
+        values.append([])
+        for window, fit, where, of in fits:
+            if window is None:
+                known = carry[:, of] + upto[:, fit] - upto[:, base[of] + back]
+            else:
+                known = upto[:, fit] - upto[:, np.maximum(fit - window, 0)]
+            weight, ones = known.sum(axis=2)
+            sound = (fit >= 0) & (ones > 0) & (ones < weight)
+            found = np.where((known[0] > 0) & sound[:, None], _isotonic(*known), np.nan)[where, r]
+            values[-1].append(np.where(np.isnan(found), own_p, found))
+    return own, values
+
+
+def _fit_runs(table: pa.Table, group: np.ndarray, **how) -> pa.Table:
+    """Own cells with one value per plan."""
+    own, values = _own_values(table, group, pairs=[("n", "s")], **how)
+    out = table.filter(pa.array(own))
+    for i, v in enumerate(values[0]):
+        out = out.append_column(f"_v{i}", pa.array(v))
     return out
 
 
+def _sum_runs(table: pa.Table, group: np.ndarray, keys: list[str], levels: dict[float, str], **how) -> pa.Table:
+    """Sums over the own cells of each run that are in use, a row per level: see ``stretch_sums``."""
+    own, values = _own_values(table, group, pairs=[("n", s) for s in levels.values()], **how)
+    use = table.column("use").to_numpy()[own]
+    mine = table.filter(pa.array(own)).filter(pa.array(use))
+    if not mine.num_rows:
+        return pa.table({c: pa.array([], table.schema.field(c).type) for c in keys} | {c: pa.array([], pa.float64()) for c in ("rr", "rows", "known", "n", "c", "b")})
+    at = group[own][use]
+    start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    rows, n = (mine.column(c).to_numpy().astype(np.float64) for c in ("rows", "n"))
+    heads, out = mine.select(keys).take(pa.array(start)), []
+    for (x, name), (v,) in zip(levels.items(), values):
+        v, s = v[use], mine.column(name).to_numpy()
+        sums = np.add.reduceat((rows, rows, n, v * rows, s * (v - 1.0) * (v - 1.0) + (n - s) * v * v), start, axis=1)
+        part = heads.append_column("rr", pa.array(np.full(len(start), x)))
+        for c, total in zip(("rows", "known", "n", "c", "b"), sums):
+            part = part.append_column(c, pa.array(total))
+        out.append(part)
+    return pa.concat_tables(out)
+
+
 def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str], fit, out: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Cuts sorted rows at ends of runs and fits those it has, some ``CELLS`` at a time."""
     def marks(table: pa.Table) -> np.ndarray:
@@ -310,26 +347,51 @@ def stretch_values(cells: DataFrame, keys: list[str], first: int, plans: dict[st
     the sum of these. ``first``, refit and window count stretches; a window of None reads all history. The number of distinct
     probabilities of a stream should be at most ``FEW``. Cells without a probability get NULL.
     """
-    back = max(refit + (window or 0) for refit, window in plans.values())
+    rows, span, back = _run_rows(cells, keys, ["n", "s"], list(plans.values()), run)
+    schema = T.StructType([rows.schema[c] for c in (*keys, "_at", "p", "rows", "n", "s")] + [T.StructField(f"_v{i}", T.DoubleType()) for i in range(len(plans))])
+    out = _in_runs(rows, keys, partial(_fit_runs, span=span, back=back, first=first, plans=list(plans.values())), schema)
+    out = out.withColumnsRenamed({f"_v{i}": name for i, name in enumerate(plans)})
+    return out.unionByName(cells.filter(F.col("p").isNull()).withColumns({name: F.lit(None).cast("double") for name in plans}))
+
+
+def stretch_sums(cells: DataFrame, keys: list[str], levels: dict[float, str], first: int, refit: int, window: int | None = None, run: int = RUN) -> DataFrame:
+    """(keys, rr, rows, known, n, c, b) of each level {rr: column} after a recalibration as in ``stretch_values``, in a few rows a key.
+
+    Cells are (keys, _at, p, use, rows, n, a column per level): as there, the column of a level instead of s; all cells are
+    learned from, those in ``use`` are summed up: rows, those with a value, those of them with an outcome, the values, and
+    the squared distances of values and outcomes. No cell of a level leaves its task.
+    """
+    counts = list(levels.values())
+    rows, span, back = _run_rows(cells, keys, ["n", *counts], [(refit, window)], run, use=F.lit(False))
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in ("rr", "rows", "known", "n", "c", "b")])
+    out = _in_runs(rows, keys, partial(_sum_runs, keys=keys, levels=levels, span=span, back=back, first=first, plans=[(refit, window)]), schema)
+    bare = cells.filter(F.col("p").isNull() & F.col("use")).groupBy(*keys).agg(F.sum("rows").cast("double").alias("rows"))
+    bare = bare.select(*keys, F.explode(F.array(*[F.lit(x) for x in levels])).alias("rr"), "rows", *[F.lit(0.0).alias(c) for c in ("known", "n", "c", "b")])
+    return out.unionByName(bare)
+
+
+def _run_rows(cells: DataFrame, keys: list[str], counts: list[str], plans: list[tuple[int, int | None]], run: int, **fill) -> tuple[DataFrame, int, int]:
+    """Cells of each run (kind 2), those it borrows from the run before (1) and, where a plan reads all history, the counts before it (0)."""
+    back = max(refit + (window or 0) for refit, window in plans)
     span = max(run, back)
     home = F.floor(F.col("_at") / span).cast("bigint")
     known = cells.filter(F.col("p").isNotNull()).withColumn("_run", home)
-    known = known.withColumns({"p": F.col("p").cast("double"), "n": F.col("n").cast("double"), "s": F.coalesce(F.col("s").cast("double"), F.lit(0.0))})
+    known = known.withColumns({"p": F.col("p").cast("double")} | {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in counts})
     mine = known.withColumn("_kind", F.lit(2))
     lent = known.filter(F.col("_at") - F.col("_run") * span >= span - back).withColumns({"_run": F.col("_run") + 1, "_kind": F.lit(1)})
     last = known.groupBy(*keys).agg(F.max("_run").alias("_last")).filter("_last > 0")
-    sums = known.groupBy(*keys, "_run", "p").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(last, keys)
-    runs = sums.select(*keys, "p", "_last").distinct().select(*keys, "p", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_run"))
-    before = Window.partitionBy(*keys, "p").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    past = runs.join(sums.drop("_last"), [*keys, "p", "_run"], "left").select(*keys, "p", "_run", *[F.sum(c).over(before).alias(c) for c in ("n", "s")])
-    past = past.filter("n is not null").withColumn("_kind", F.lit(0))
-    lent = lent.join(last, keys).filter("_run <= _last").drop("_last")
-    rows = mine.unionByName(lent).unionByName(past, allowMissingColumns=True)
-    rows = rows.withColumns({"_at": F.coalesce("_at", F.lit(0).cast("bigint")), "rows": F.coalesce("rows", F.lit(0).cast("bigint"))})
-    rows = rows.select(*keys, "_run", "_at", "p", "rows", "n", "s", "_kind")
-    schema = T.StructType([rows.schema[c] for c in (*keys, "_at", "p", "rows", "n", "s")] + [T.StructField(f"_v{i}", T.DoubleType()) for i in range(len(plans))])
-    fit = partial(_fit_runs, span=span, back=back, first=first, plans=list(plans.values()))
+    rows = mine.unionByName(lent.join(last, keys).filter("_run <= _last").drop("_last"))
+    if any(window is None for _, window in plans):
+        sums = known.groupBy(*keys, "_run", "p").agg(*[F.sum(c).alias(c) for c in counts]).join(last, keys)
+        runs = sums.select(*keys, "p", "_last").distinct().select(*keys, "p", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_run"))
+        before = Window.partitionBy(*keys, "p").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+        past = runs.join(sums.drop("_last"), [*keys, "p", "_run"], "left").select(*keys, "p", "_run", *[F.sum(c).over(before).alias(c) for c in counts])
+        rows = rows.unionByName(past.filter(F.col(counts[0]).isNotNull()).withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    rows = rows.withColumns({"_at": F.coalesce("_at", F.lit(0).cast("bigint")), "rows": F.coalesce("rows", F.lit(0).cast("bigint"))} | {c: F.coalesce(c, v) for c, v in fill.items()})
+    return rows.select(*keys, "_run", "_at", "p", *fill, "rows", *counts, "_kind"), span, back
+
+
+def _in_runs(rows: DataFrame, keys: list[str], fit, schema: T.StructType) -> DataFrame:
+    """``fit`` over whole runs of sorted rows."""
     work = partial(_whole_runs, names=[*keys, "_run"], fit=fit, out=to_arrow_schema(schema))
-    out = rows.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run").mapInArrow(work, schema)
-    out = out.withColumnsRenamed({f"_v{i}": name for i, name in enumerate(plans)})
-    return out.unionByName(cells.filter(F.col("p").isNull()).withColumns({name: F.lit(None).cast("double") for name in plans}))
+    return rows.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run").mapInArrow(work, schema)
