@@ -141,3 +141,24 @@ def test_stages_leave_only_their_small_results(spark):
         before = {p.name for p in folder.iterdir()}
         stage(spark, docs, "").count()
         assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before} <= {left, "edges"}
+
+
+def test_what_travels_at_once_follows_the_sets(spark, monkeypatch):
+    """Lists are made in rounds, pairs and units followed in slices; the components stay those of brute force."""
+    chance, texts, names = random.Random(11), [], []
+    for base in range(6):
+        words = [f"b{base}w{k}" for k in range(chance.randrange(30, 90))]
+        for _ in range(9):
+            own = list(words)
+            for _ in range(chance.randrange(6)):
+                own[chance.randrange(len(own))] = f"x{chance.random()}"
+            texts.append(" ".join(own))
+    texts += [SAME + " " + " ".join(f"t{k}v{j}" for j in range(chance.randrange(4, 30))) for k in range(12)]
+    for name, value in {"SHORT": 2, "PAGE": 4, "ROUNDS": 3, "PAIRS": 0.1, "COUNTED": 0.5, "HELD": 0.1}.items():
+        monkeypatch.setattr(near_copies, name, value)
+    monkeypatch.setattr(near_copies, "step", lambda df, name: names.append(name) or step(df, name))
+    found = {}
+    for r in near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        found.setdefault(r["root"], set()).add(r["doc_id"])
+    assert {frozenset(g) for g in found.values()} == _groups(texts)
+    assert names.count("lists") == 3 and min(names.count(x) for x in ("pairs-by-counts", "links", "unit-members", "unit-links")) > 1
